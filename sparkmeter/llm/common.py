@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Links a task, for the small tables of components().
+ROWS = 20_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -52,7 +56,7 @@ def settle(df: DataFrame) -> DataFrame:
     """Write a table into the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression="none")  # no codec, whose buffers lie outside the heap until a full collection
     _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_path = path
@@ -75,18 +79,19 @@ def components(edges: DataFrame) -> DataFrame:
     one row a task) and two equality joins, which Spark may split where a hub is hot. Nothing goes to the driver but
     two counts a round. Returns (node, root) for each node that has a link; root is the component's smallest node.
     """
+    shared_root(edges.sparkSession)
     kept = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now, seen = settle(kept), None
+    now, seen = kept.checkpoint(), None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(mark) == seen or mark[0] == 0:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = tuple(mark)
+        now = now.coalesce(2 + mark[0] // ROWS)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         star = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        old, now = now, settle(star)
-        discard(old)
+        now = star.coalesce(2 + mark[0] // ROWS).checkpoint()
