@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embdedup, mixing, packing, simhash, suffixes
+from . import embdedup, lm, mixing, packing, simhash, suffixes
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.deduplicated(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
     return packing.pack_documents(table(spark, sf_dir, "documents"), *map(public_tokenizers.path, names))
@@ -35,6 +39,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
+    "op5_lm_scoring": op5_lm_scoring,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_mixing": op9_mixing,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
