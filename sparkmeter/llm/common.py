@@ -52,11 +52,14 @@ def _sweep() -> None:
             return
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write a table into the shared folder and read it back: cuts the lineage and survives lost executors."""
+def settle(df: DataFrame, codec: str = "none") -> DataFrame:
+    """Write a table into the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    By default without a codec, whose buffers lie outside the heap until a full collection.
+    """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression="none")  # no codec, whose buffers lie outside the heap until a full collection
+    df.write.parquet(path, compression=codec)
     _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_path = path
