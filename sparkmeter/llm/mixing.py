@@ -204,3 +204,18 @@ def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for each row of docs."""
     sized = settle(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), words(F.col("text")).alias("size")))
     return taken(sized, seed).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def repeated(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """The rows of docs, with all columns, as often as the mix takes them; a pass that takes half a row or more takes it whole.
+
+    Rows that share id, source and size share what the mix takes of them.
+    """
+    size = words(F.col("text"))
+    sized = settle(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size")))
+    each = taken(sized, seed).groupBy("doc_id", "source", "size").agg((F.sum("taken") / F.count("*")).alias("taken")).where("size > 0")
+    times = each.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("__times"))
+    rows = docs.withColumn("__n", size)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__size"))
+    out = rows.join(times.where("__times > 0"), same).withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times")))
+    return out.select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, embdedup, lm, mixing, packing, pages, quality, simhash, suffixes
+from . import ann, embdedup, licenses, lm, mixing, packing, pages, quality, simhash, suffixes
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.deduplicated(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(licenses.as_files(table(spark, sf_dir, "documents")))
+
+
 def op4_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -51,6 +55,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
+    "op3_license_scan": op3_license_scan,
     "op4_learned_partitions": op4_learned_partitions,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_html_extraction": op6_html_extraction,

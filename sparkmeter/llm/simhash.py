@@ -183,3 +183,15 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = placed.join(smallest, "root").select("fp", "component_id")
     return prints.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """The rows of docs that stand for their component, with all columns: the row with the component's smallest doc_id.
+
+    Rows that share a doc_id are one document, of which one row stays; rows without one have nothing to stand for and stay.
+    """
+    own = near_duplicates(docs, bucket)
+    first = own.where("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
+    named = docs.where("doc_id is not null")
+    kept = named.join(first, named.doc_id == F.col("__first"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)

@@ -108,6 +108,7 @@ class Chunk:
         ids = [LAST if d is None else d for d in table.column("doc_id").to_pylist()]
         texts = [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
         order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
+        self.order = order
         self.ids = np.array([ids[i] for i in order], dtype=np.int64)
         self.texts = [texts[i] for i in order]
         self.nth = np.zeros(len(ids), dtype=np.int32)
@@ -388,43 +389,80 @@ def _merge_part(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(out, schema=pa.schema([("chunk", pa.int32()), *((c, pa.binary()) for c in ("doc", "nth", "at", "low"))]))
 
 
-def _removed(table: pa.Table, spans: pa.Table, text: bool) -> pa.Table:
-    chunk = Chunk(table)
-    begins = np.append(0, chunk.ends[:-1])
-    change = np.zeros(len(chunk.data) + 1, dtype=np.int32)
-    place = {(i, n): k for k, (i, n) in enumerate(zip(chunk.ids.tolist(), chunk.nth.tolist(), strict=True))}
-    for row in spans.to_pylist():
-        doc, nth, at, end = (np.frombuffer(row[c], k) for c, k in (("doc", np.int64), ("nth", np.int32), ("at", np.int64), ("low", np.int64)))
-        base = begins[[place[key] for key in zip(doc.tolist(), nth.tolist(), strict=True)]]
-        np.add.at(change, base + at, 1)
-        np.add.at(change, base + end, -1)
-    gone = np.cumsum(change[:-1]) > 0
-    out: dict[str, list] = {c: [] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-    for k, raw in enumerate(chunk.texts):
-        mask = gone[begins[k] : chunk.ends[k]]
-        n = int(np.count_nonzero(mask))
-        kept = chunk.data[begins[k] : chunk.ends[k]][~mask].tobytes() if n else raw
-        out["doc_id"].append(None if chunk.ids[k] == LAST else int(chunk.ids[k]))
-        out["n_bytes"].append(len(raw))
-        out["n_removed"].append(n)
-        out["n_spans"].append(int(np.count_nonzero(mask[1:] & ~mask[:-1])) + int(n > 0 and bool(mask[0])))
-        out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-        out["kept"].append(kept if text else None)
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-    return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), kinds, strict=True)})
-
-
-def deduplicated(docs: DataFrame, text: bool = False, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of docs, with text also the remaining bytes, kept."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+class Kept:
+    """The documents of a chunk without the spans that are removed from it."""
+
+    def __init__(self, table: pa.Table, spans: pa.Table) -> None:
+        self.chunk = chunk = Chunk(table)
+        self.begins = begins = np.append(0, chunk.ends[:-1])
+        change = np.zeros(len(chunk.data) + 1, dtype=np.int32)
+        place = {(i, n): k for k, (i, n) in enumerate(zip(chunk.ids.tolist(), chunk.nth.tolist(), strict=True))}
+        for row in spans.to_pylist():
+            doc, nth, at, end = (np.frombuffer(row[c], k) for c, k in (("doc", np.int64), ("nth", np.int32), ("at", np.int64), ("low", np.int64)))
+            base = begins[[place[key] for key in zip(doc.tolist(), nth.tolist(), strict=True)]]
+            np.add.at(change, base + at, 1)
+            np.add.at(change, base + end, -1)
+        self.gone = np.cumsum(change[:-1]) > 0
+
+    def __iter__(self) -> Iterator[tuple[bytes, bytes, np.ndarray]]:
+        """(text, what remains, mask of removed bytes) of each document in the chunk's order."""
+        for raw, begin, end in zip(self.chunk.texts, self.begins.tolist(), self.chunk.ends.tolist(), strict=True):
+            mask = self.gone[begin:end]
+            yield raw, self.chunk.data[begin:end][~mask].tobytes() if mask.any() else raw, mask
+
+
+def _digests(table: pa.Table, spans: pa.Table) -> pa.Table:
+    kept = Kept(table, spans)
+    out: list[list] = [[] for _ in range(4)]
+    for raw, rest, mask in kept:
+        runs = int(np.count_nonzero(mask[1:] & ~mask[:-1])) + int(len(mask) > 0 and bool(mask[0]))
+        for column, value in zip(out, (len(raw), len(raw) - len(rest), runs, hashlib.sha256(rest).hexdigest()), strict=True):
+            column.append(value)
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    ids = table.column("doc_id").take(pa.array(kept.chunk.order, pa.int64()))
+    return pa.table([ids, *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
+def _texts(table: pa.Table, spans: pa.Table, names: list[str]) -> pa.Table:
+    """The rows with what remains of their texts; a text of which nothing but white space remains goes with its row."""
+    kept = Kept(table, spans)
+    rows, texts = [], []
+    for k, (raw, rest, _) in zip(kept.chunk.order, kept, strict=True):
+        if len(rest) == len(raw) or rest.strip():
+            rows.append(k)
+            # parts of characters that removal cut go with it
+            texts.append(rest.decode("utf-8", errors="ignore"))
+    out = table.select(["text" if n == "text" else "__" + n for n in names]).take(pa.array(rows, pa.int64())).rename_columns(names)
+    null = out.column("text").is_null().to_pylist()
+    return out.set_column(names.index("text"), "text", pa.array([None if n else t for n, t in zip(null, texts, strict=True)], pa.string()))
+
+
+def _spans(rows: DataFrame, chunk: int) -> tuple[object, DataFrame]:
+    """The rows (doc_id, text, ...) grouped by chunk, and the removed spans of each chunk."""
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-total // chunk))
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
-    by_chunk = dealt.groupBy("chunk")
+    by_chunk = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")).groupBy("chunk")
     hashes = by_chunk.applyInArrow(lambda t: _hashes_out(t, chunks), "bucket int, chunk int, own binary, more binary, times binary")
     flags = hashes.groupBy("bucket").applyInArrow(_recurring, "chunk int, repeated binary, hot binary")
     runs = by_chunk.cogroup(flags.groupBy("chunk")).applyInArrow(lambda t, f: _runs_out(t, f, chunks), _RUN)
-    spans = runs.groupBy("part").applyInArrow(_merge_part, "chunk int, doc binary, nth binary, at binary, low binary")
-    made = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    out = by_chunk.cogroup(spans.groupBy("chunk")).applyInArrow(lambda t, s: _removed(t, s, text), made)
-    return out if text else out.drop("kept")
+    return by_chunk, runs.groupBy("part").applyInArrow(_merge_part, "chunk int, doc binary, nth binary, at binary, low binary")
+
+
+def deduplicated(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of docs."""
+    by_chunk, spans = _spans(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), chunk)
+    made = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return by_chunk.cogroup(spans.groupBy("chunk")).applyInArrow(_digests, made)
+
+
+def without_repeats(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """The rows of docs with the removed bytes gone from their texts, and n_chars, if there is one, of what remains."""
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(f"`{c}`").alias("__" + c) for c in others))
+    by_chunk, spans = _spans(rows, chunk)
+    made = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
+    names = docs.columns
+    out = by_chunk.cogroup(spans.groupBy("chunk")).applyInArrow(lambda t, s: _texts(t, s, names), made)
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return out
