@@ -296,7 +296,7 @@ GRID = "grid AS (SELECT o_orderkey, ['claude-opus-4.7', 'gpt-5.4', 'gemini-2.5-p
 
 @query(
     "cost_estimates",
-    """SELECT o_orderkey, model, round(fresh, 9) AS fresh_input, round(cin, 9) AS cached_input, round(cw, 9) AS cache_write, round(ou, 9) AS output, round((fresh + cin + cw + ou) * greatest(1, o_orderkey % 4), 9) AS grand_total FROM (
+    """SELECT o_orderkey, model, round(fresh, 12) AS fresh_input, round(cin, 12) AS cached_input, round(cw, 12) AS cache_write, round(ou, 12) AS output, round((fresh + cin + cw + ou) * greatest(1, o_orderkey % 4), 12) AS grand_total FROM (
     SELECT *, greatest(i - floor(i * hit + 0.5), 0) / 1e6 * ri * (1 - 0.5 * batch) AS fresh, floor(i * hit + 0.5) / 1e6 * coalesce(read_rate, ri) AS cin, wr / 1e6 * coalesce(CASE WHEN o_orderkey % 2 = 1 THEN w1_rate ELSE w5_rate END, 0) AS cw,
       floor(i * 0.25::DOUBLE + 0.5) / 1e6 * ro * (1 - 0.5 * batch) AS ou FROM (
       SELECT g.*, p.*, CASE WHEN i > long_threshold THEN long_in ELSE in_rate END AS ri, CASE WHEN i > long_threshold THEN long_out ELSE out_rate END AS ro FROM grid g JOIN prices p ON g.model = p.id))""",
@@ -310,4 +310,4 @@ def cost_estimates(spark, d):
         (F.pmod(key, F.lit(5)) / 4.0).alias("cache_hit_rate"), (F.pmod(key, F.lit(7)) * 100).alias("cache_write_tokens"), F.when(F.pmod(key, F.lit(2)) == 1, "1h").otherwise("5m").alias("cache_ttl"), (F.pmod(key, F.lit(3)) / 2.0).alias("batch_fraction"), F.lit(True).alias("long_context"),
     )
     out = estimate(asks, prices(spark))
-    return out.select("o_orderkey", "model", *(F.round(c, 9).alias(c) for c in ("fresh_input", "cached_input", "cache_write", "output", "grand_total")))
+    return out.select("o_orderkey", "model", *(F.round(c, 12).alias(c) for c in ("fresh_input", "cached_input", "cache_write", "output", "grand_total")))
