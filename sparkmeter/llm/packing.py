@@ -132,6 +132,39 @@ def best_fit(lengths: np.ndarray, items: list[int], bins: list[list[int]], size:
     return bins
 
 
+def least_slack(lengths: np.ndarray, size: int) -> list[list[int]]:
+    """Bin by bin: the longest piece left, with those that fill the rest of its bin best, found from the sums that can be reached."""
+    left: dict[int, list[int]] = {}
+    for i, n in enumerate(lengths.tolist()):
+        left.setdefault(n, []).append(i)
+    bins = []
+    while left:
+        first = max(left)
+        held = [left[first].pop()]
+        if not left[first]:
+            del left[first]
+        room = size - first
+        full = (1 << (room + 1)) - 1
+        # bit s of sums: s can be reached; steps: what could be before pieces of a length came in
+        sums, steps = 1, []
+        for n in sorted((n for n in left if n <= room), reverse=True):
+            before = sums
+            for _ in range(min(len(left[n]), room // n)):
+                sums |= (sums << n) & full
+            steps.append((n, before))
+            if sums >> room & 1:
+                break
+        at = sums.bit_length() - 1
+        for n, before in reversed(steps):
+            while not before >> at & 1:
+                held.append(left[n].pop())
+                at -= n
+            if not left[n]:
+                del left[n]
+        bins.append(held)
+    return bins
+
+
 def _worth(lengths: np.ndarray, bins: list[list[int]]) -> tuple[int, int]:
     """Smaller is better: bins, then less of full bins."""
     return len(bins), -sum(int(lengths[b].sum()) ** 2 for b in bins)
@@ -162,12 +195,14 @@ def evolve(lengths: np.ndarray, came: list[list[int]], size: int = SIZE, seed: i
     people = [best_fit(lengths, every, [], size)]
     if came:
         people.append(came)
+    if len(people[0]) > least:
+        people.append(least_slack(lengths, size))
     while len(people) < POPULATION and min(len(p) for p in people) > least:
         some = rng.permutation(len(lengths))[: len(lengths) // 4].tolist()
-        begun = best_fit(lengths, some, [], size)
+        begun = best_fit(lengths, some, [], size)  # a quarter of the pieces goes first
         people.append(best_fit(lengths, sorted(set(every) - set(some)), begun, size))
     people.sort(key=lambda p: _worth(lengths, p))
-    for _ in range(GENERATIONS):
+    for _ in range(GENERATIONS * min(16, max(1, ISLAND // max(1, len(lengths))))):  # a small island's cost as much as a full one's
         if len(people[0]) <= least or len(people) < 2:
             break
         a, b = rng.choice(len(people), 2, replace=False)

@@ -147,12 +147,12 @@ def _weights(batches: Iterator[pa.RecordBatch], ratios: np.ndarray, fit: dict |
         for at in range(0, batch.num_rows, 2000):
             part = batch.slice(at, 2000)
             ids = part.column("doc_id").to_pylist()
-            half = part.column("half").to_numpy(zero_copy_only=False)
+            half = part.column("__half").to_numpy(zero_copy_only=False)
             weight = weigh(fit, features(Texts.of(part), ratios, _other(half))) if fit else np.zeros(len(ids))
             chance = (np.array([zlib.crc32(b"gumbel %d" % (-1 if i is None else i)) for i in ids], dtype=np.float64) + 0.5) / (1 << 32)
             key = weight / TEMPERATURE - np.log(-np.log(chance))
-            columns = {n: part.column(n) for n in part.schema.names if n not in ("half", "fold", "good")}
-            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(weight), pa.array(key)], names=[*columns, "log_weight", "gumbel_key"])
+            columns = {n: part.column(n) for n in part.schema.names if n != "__half"}
+            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(weight), pa.array(key)], names=[*columns, "__log_weight", "__gumbel_key"])
 
 
 class Judge:
@@ -186,11 +186,12 @@ class Judge:
         return docs.join(self.known, docs.doc_id == F.col("label_id"), "left").drop("label_id").withColumn("half", F.coalesce("half", F.lit(-1)))
 
     def weights(self, docs: DataFrame) -> DataFrame:
-        """The rows with log_weight (log odds of being good) and gumbel_key."""
+        """The rows with __log_weight (log odds of being good) and __gumbel_key."""
         given = docs.sparkSession.sparkContext.broadcast((self.ratios, self.fit))
-        plain = docs.select([F.col(f"`{c}`") for c in docs.columns if c not in ("half", "good", "label_id", "log_weight", "gumbel_key")])
-        shape = ", ".join(f"`{n}` {t}" for n, t in plain.dtypes) + ", log_weight double, gumbel_key double"
-        return self._labelled(plain).drop("good").mapInArrow(lambda b: _weights(b, *given.value), shape)
+        known = self.known.select(F.col("label_id").alias("__label"), F.col("half").alias("__half"))
+        rows = docs.join(known, docs.doc_id == F.col("__label"), "left").drop("__label").withColumn("__half", F.coalesce("__half", F.lit(-1)))
+        shape = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", __log_weight double, __gumbel_key double"
+        return rows.mapInArrow(lambda b: _weights(b, *given.value), shape)
 
 
 def kth_greatest(keys: DataFrame, column: str, k: int, cells: int = 1024, few: int = 4096) -> float:
@@ -217,20 +218,21 @@ def kth_greatest(keys: DataFrame, column: str, k: int, cells: int = 1024, few: i
 
 def threshold(weighed: DataFrame, accept: float = ACCEPT) -> float:
     """The key of the last document kept."""
-    k = weighed.where(F.col("log_weight") >= float(np.log(accept / (1 - accept)))).count()
-    return kth_greatest(weighed, "gumbel_key", k) if k else float("inf")
+    k = weighed.where(F.col("__log_weight") >= float(np.log(accept / (1 - accept)))).count()
+    return kth_greatest(weighed, "__gumbel_key", k) if k else float("inf")
 
 
 def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, log_weight, gumbel_key, kept) of the documents that are kept."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     weighed = settle(Judge(docs, labels).weights(rows).drop("text"))
-    return weighed.where(F.col("gumbel_key") >= threshold(weighed)).withColumn("kept", F.lit(True))
+    kept = weighed.where(F.col("__gumbel_key") >= threshold(weighed))
+    return kept.select("doc_id", F.col("__log_weight").alias("log_weight"), F.col("__gumbel_key").alias("gumbel_key"), F.lit(True).alias("kept"))
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with their own columns."""
     judge = Judge(docs, labels)
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    least = threshold(settle(judge.weights(slim).select("log_weight", "gumbel_key")))
-    return judge.weights(docs).where(F.col("gumbel_key") >= least).select(*docs.columns)
+    least = threshold(settle(judge.weights(slim).select("__log_weight", "__gumbel_key")))
+    return judge.weights(docs).where(F.col("__gumbel_key") >= least).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,0 +1,455 @@
+"""Training-data operators against brute force, and on odd input: nulls, empty and long texts, ties, repeats, empty tables, extra columns."""
+
+import hashlib
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from sparkmeter.llm import ann, embdedup, licenses, lm, mixing, packing, pages, quality, simhash, suffixes
+from sparkmeter.llm.common import components
+
+RNG = np.random.default_rng(0)
+WORDS = ["".join(RNG.choice(list("abcdeé"), RNG.integers(2, 7))) for _ in range(300)]
+
+
+def prose(n, seed):
+    rng = np.random.default_rng(seed)
+    return " ".join(WORDS[int(i)] for i in rng.integers(0, len(WORDS), n))
+
+
+BASE = prose(120, 1)
+PASSAGE = prose(60, 2)
+ODD = [
+    (1, BASE), (2, BASE), (3, "".join(c.upper() if c.isascii() else c for c in BASE)), (4, BASE + " one more end"), (5, None), (6, ""), (7, "  \t\n "), (8, "one two"), (9, prose(9000, 3)),
+    (10, prose(40, 4) + PASSAGE + prose(30, 5)), (11, prose(35, 6) + PASSAGE + prose(20, 7)), (11, prose(35, 6) + PASSAGE + prose(20, 7)), (None, BASE), (None, "lone words here"), (12, "é" * 400), (13, "x" * 99), (14, "x" * 99), (15, prose(80, 8)),
+]
+SHAPE = "doc_id long, text string, lang string, source string, n_chars long, fp long, sequence_id string, half int"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", None if n % 5 == 0 else f"src{n % 3}", len(t or ""), 7, "clash", 1) for n, (i, t) in enumerate(ODD)]
+    return spark.createDataFrame(rows, SHAPE).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SHAPE)
+
+
+def test_components(spark):
+    pairs = [(1, 2), (2, 3), (5, 4), (9, 9), *((10, n) for n in range(11, 60)), *((n, n + 1) for n in range(100, 140))]
+    got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {2: 1, 3: 1, 5: 4, **{n: 10 for n in range(11, 60)}, **{n: 100 for n in range(101, 141)}}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# 1 -----------------------------------------------------------------------------------------------------------------
+
+
+def slow_fingerprint(text):
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0
+    grams = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [b" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprints_match_sparks_own_hash(spark):
+    text = "Alpha beta gamma"
+    want = spark.sql("select hex(xxhash64('alpha beta gamma'))").first()[0].lower()
+    assert f"{simhash.fingerprint(text.encode()):016x}" == want == f"{slow_fingerprint(text):016x}"
+    for _, t in ODD:
+        assert simhash.fingerprint((t or "").encode()) == slow_fingerprint(t)
+
+
+def test_simhash(docs, none):
+    got = [tuple(r)[:3] for r in simhash.near_duplicates(docs).collect()]
+    fps = {f for _, f, _ in got}
+    assert len(got) == len(ODD) and all(len(f) == 16 and f == f.lower() for f in fps)
+    by = {}
+    for i, f, c in got:
+        by.setdefault(i, []).append((f, c))
+    assert by[1][0][1] == by[2][0][1] == by[3][0][1] == 1 and by[5] == [("0" * 16, 5)] and by[6][0][1] == by[7][0][1] == 5
+    assert {c for _, c in by[None]} == {None, 1}
+    assert simhash.near_duplicates(none).count() == 0
+    kept = simhash.representatives(docs)
+    assert kept.columns == docs.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert ids.count(1) == 1 and 2 not in ids and 3 not in ids and ids.count(11) == 1 and ids.count(5) == 1 and 6 not in ids
+
+
+@pytest.mark.parametrize("bucket", [2, 8192])
+def test_simhash_links_are_those_of_brute_force(spark, bucket):
+    rng = np.random.default_rng(3)
+    seeds = rng.integers(0, 1 << 63, 25, dtype=np.uint64) * np.uint64(2)
+    fps = set()
+    for s in seeds.tolist():
+        x = s
+        for _ in range(30):
+            fps.add(x)
+            for b in rng.integers(0, 64, rng.integers(1, 5)).tolist():
+                x ^= 1 << b
+    fps = np.array(sorted(fps), dtype=np.uint64)
+    rows = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    got = {r.node: r.root for r in components(simhash.links(rows, bucket)).collect()}
+    root = list(range(len(fps)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= 3) + i + 1:
+            a, b = find(i), find(int(j))
+            root[max(a, b)] = min(a, b)
+    mine = Counter(got.get(int(x), int(x)) for x in fps.view(np.int64))
+    assert sorted(mine.values()) == sorted(Counter(find(i) for i in range(len(fps))).values())
+
+
+# 2 -----------------------------------------------------------------------------------------------------------------
+
+
+def slow_removal(rows):
+    seen, out = set(), []
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, (r[1] or "").encode())):
+        raw = (t or "").encode()
+        gone = bytearray(len(raw))
+        for s in range(len(raw) - 99):
+            if raw[s : s + 100] in seen:
+                gone[s : s + 100] = b"\1" * 100
+            seen.add(raw[s : s + 100])
+        kept = bytes(c for c, g in zip(raw, gone, strict=True) if not g)
+        runs = sum(1 for a, b in zip(b"\0" + gone, gone, strict=False) if b and not a)
+        out.append((i, len(raw), sum(gone), runs, hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("hot, chunk", [(256, 12 << 20), (2, 4000)])
+def test_suffixes(docs, none, monkeypatch, hot, chunk):
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    got = sorted((tuple(r) for r in suffixes.deduplicated(docs, chunk).collect()), key=str)
+    assert got == slow_removal(ODD)
+    assert suffixes.deduplicated(none).count() == 0
+
+
+def test_suffixes_of_many_variants(spark):
+    rng = np.random.default_rng(5)
+    line = prose(25, 9)
+    rows = [(n, prose(int(rng.integers(1, 25)), 100 + n) + line[int(rng.integers(0, 20)) :] + prose(int(rng.integers(1, 25)), 300 + n % 7)) for n in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted((tuple(r) for r in suffixes.deduplicated(df, 6000).collect()), key=str) == slow_removal(rows)
+
+
+def test_texts_without_repeats(docs):
+    out = suffixes.without_repeats(docs)
+    assert out.columns == docs.columns
+    rows = {r.doc_id: r for r in out.where("doc_id is not null").collect()}
+    assert rows[1].text == BASE and 2 not in rows and rows[5].text is None and rows[6].text == "" and rows[13].text == "x" * 99
+    assert rows[10].text.count(PASSAGE[:50]) == 1 and PASSAGE[5:-5] not in rows[11].text and rows[11].n_chars == len(rows[11].text)
+
+
+@pytest.mark.parametrize("runs", [1, 2, 3, 5, 8])
+def test_loser_tree(runs):
+    rng = np.random.default_rng(runs)
+    rows = [[(bytes(rng.integers(97, 99, rng.integers(1, 9)).tolist()), b"", int(i), 0, 0, 0, 0) for i in range(rng.integers(0, 30))] for _ in range(runs)]
+    coded = [suffixes.front_coded(sorted(r)) | {"chunk": 0} for r in rows]
+    out = list(suffixes.merged([suffixes.Run(r) for r in coded])) if coded else []
+    texts, before = [], b""
+    flat = sorted(x[0] for r in rows for x in r)
+    for (n, _), want in zip(out, flat, strict=True):
+        assert n == suffixes._shared(before, want, 0)
+        before = want
+        texts.append(want)
+    assert len(out) == len(flat)
+
+
+# 3 -----------------------------------------------------------------------------------------------------------------
+
+
+def test_licenses(spark, docs, none):
+    long = "word " * 3000
+    rows = [
+        (1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/c/x.py", "print(1)"), (3, "a/b/LICENSE.txt", "This work is licensed under the GNU\nGeneral Public License, version 3."), (4, "a/y.py", None),
+        (5, "z/w.py", f"{long}\nLicensed under CC BY-NC 4.0.\n{long}"), (6, "q.py", ""), (7, None, "nothing"), (8, "a/b/c/own.py", "# Licensed under the Apache License, Version 2.0"), (8, "a/b/c/own.py", "# Licensed under the Apache License, Version 2.0"), (9, "a/bb/v.py", "the license of life is not a licence to kill"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string").withColumn("score", F.lit("clash"))
+    got = sorted((r.doc_id, r.license, r.origin, r.from_path) for r in licenses.scanned(df).collect())
+    assert got == [
+        (1, "MIT", "own", "a/LICENSE"), (2, "GPL-3.0", "inherited", "a/b/LICENSE.txt"), (3, "GPL-3.0", "own", "a/b/LICENSE.txt"), (4, "MIT", "inherited", "a/LICENSE"), (5, "CC-BY-NC-4.0", "own", "z/w.py"),
+        (6, None, "none", None), (7, None, "none", None), (8, "Apache-2.0", "own", "a/b/c/own.py"), (8, "Apache-2.0", "own", "a/b/c/own.py"), (9, "MIT", "inherited", "a/LICENSE"),
+    ]
+    assert licenses.scanned(licenses.as_files(none)).count() == 0 and licenses.scanned(licenses.as_files(docs)).count() == len(ODD)
+
+
+# 4 and 10 ----------------------------------------------------------------------------------------------------------
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("cid", F.lit(1)).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def cloud():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(900, 16))
+    x[300:420] = x[300] + rng.normal(size=(120, 16)) * 0.08
+    x[500:560] = x[500]
+    x[600] = 0
+    rows = [(i, [float(np.float32(c)) for c in v], None) for i, v in enumerate(x)]
+    rows[601] = (601, None, 1)
+    rows[602] = (602, [float("nan")] * 16, 1)
+    rows[603] = (603, [float("inf")] * 16, 1)
+    rows[604] = (604, [None] * 16, 1)
+    rows[605] = (None, rows[5][1], 1)
+    rows += [(7, rows[7][1], 1), (2000, [1.0, 2.0, 3.0], 1), (2020, [1.0, 2.0, 3.5], 1)]
+    return rows
+
+
+def usable(rows):
+    out = []
+    for i, v, _ in rows:
+        if i is not None and v is not None and None not in v and np.isfinite(v).all() and any(v):
+            out.append((i, np.array(v, dtype=np.float64)))
+    return out
+
+
+def test_neighbours(spark, cloud):
+    df = vectors(spark, cloud)
+    found = ann.nearest(df, parts=8, block=64)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    good = usable(cloud)
+    hits = total = 0
+    for q in {i for i, _ in good if i % 20 == 0}:
+        own = next(v for i, v in good if i == q)
+        at = next(n for n, (i, _) in enumerate(good) if i == q)
+        others = [(float(own @ v), i) for n, (i, v) in enumerate(good) if n != at and len(v) == len(own)]
+        want = [i for _, i in sorted(others, key=lambda s: (-s[0], s[1]))[:20]]
+        mine = sorted(got.get(q, []))
+        assert [r for r, _, _ in mine] == list(range(1, len(mine) + 1)) and len(mine) == min(20, len(others))
+        assert [(-round(s, 9), i) for _, i, s in mine] == sorted((-round(s, 9), i) for _, i, s in mine)
+        hits += len(set(want) & {i for _, i, _ in mine})
+        total += len(want)
+    assert set(got) == {i for i, _ in good if i % 20 == 0} and hits / total >= 0.9
+    assert ann.nearest(vectors(spark, [])).count() == 0
+    assert [tuple(r) for r in ann.nearest(vectors(spark, [(0, [1.0, 0.0], 1), (1, [2.0, 0.0], 1), (2, [2.0, 0.0], 1)])).collect()] == [(0, 1, 1, 2.0), (0, 2, 2, 2.0)]
+
+
+def test_near_vectors(spark, cloud, monkeypatch):
+    monkeypatch.setattr(embdedup, "BLOCK", 32)
+    got = embdedup.near_duplicates(vectors(spark, cloud), window=8).collect()
+    assert len(got) == len(cloud)
+    good = usable(cloud)
+    unit = [v / np.linalg.norm(v) for _, v in good]
+    near = [[m for m, u in enumerate(unit) if m != n and len(u) == len(w) and float(u @ w) >= 0.95] for n, w in enumerate(unit)]
+    want = Counter((i, len(near[n])) for n, (i, _) in enumerate(good))
+    have = Counter((r.vec_id, r.n_links) for r in got)
+    assert sum((want & have).values()) >= 0.99 * len(good)
+    rows = {r.vec_id: r for r in got}
+    assert rows[600].n_links == rows[601].n_links == rows[604].n_links == 0 and rows[601].kept and rows[602].component_id == 602
+    assert {rows[n].component_id for n in range(300, 420)} == {300} and rows[310].n_links >= 100
+    assert all(rows[n].n_links == 59 and rows[n].component_id == 500 for n in range(500, 560)) and not rows[501].kept
+    assert embdedup.near_duplicates(vectors(spark, [])).count() == 0
+
+
+# 5 -----------------------------------------------------------------------------------------------------------------
+
+
+def test_lm_scores(spark, none):
+    rows = [(n, prose(60, 1000 + n % 40) if n % 9 else [None, "", "unheard-of " * 3][n // 9 % 3]) for n in range(200)]
+    df = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string").withColumn("score", F.lit("clash")).repartition(3)
+    got = lm.scored(df, chunk=4000).collect()
+    every = [*rows, rows[3]]
+    counts = Counter()
+    for i, t in every:
+        if zlib.crc32(str(i).encode()) % 10:
+            counts.update([*(t or "").lower().split(), None])
+    n, v = sum(counts.values()), len(counts)
+    assert len(got) == len(every)
+    texts = dict(rows)
+    for r in got:
+        tokens = [*(texts[r.doc_id] or "").lower().split(), None]
+        assert r.n_tokens == len(tokens) and r.n_known == sum(counts[t] > 0 for t in tokens) and r.train_tokens == n and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 10 == 0)
+        assert np.isclose(r.base_score, sum(np.log10((counts[t] + 0.1) / (n + 0.1 * (v + 1))) for t in tokens))
+        assert np.isfinite(r.score) and r.score <= 1e-9
+    out = [r for r in got if r.held_out]
+    assert sum(r.score for r in out) > sum(r.base_score for r in out)
+    assert lm.scored(none).count() == 0
+
+
+def test_lm_is_normalised():
+    rng = np.random.default_rng(2)
+    counts = rng.integers(0, 9, (lm.SYMBOLS + 1, lm.SYMBOLS)).astype(float)
+    logs = lm.log_probabilities(*lm.train(counts, steps=3))
+    assert np.allclose((10.0**logs).sum(axis=1), 1)
+
+
+def test_lm_learns_what_follows():
+    counts = np.zeros((lm.SYMBOLS + 1, lm.SYMBOLS))
+    counts[1, 2] = counts[2, 1] = counts[lm.BEGIN, 1] = 500
+    counts[3, 4] = counts[4, 3] = 500
+    logs = lm.log_probabilities(*lm.train(counts))
+    assert logs[1, 2] > logs[1, 4] + 1 and logs[3, 4] > logs[3, 2] + 1
+
+
+# 6 -----------------------------------------------------------------------------------------------------------------
+
+MARKED = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p><p>no";</script></head><body><nav><ul><li><a href="/a">Menu</a></li></ul></nav>
+<div class="cookie-notice">We use cookies</div><article><header><h1>Head &amp; tail</h1></header><p>One  two<br>three<p>Four &lt;b&gt; &#233;<ul><li>Item a<li>Item b</ul><form><label>Mail</label><input></form><aside>Side</aside><div class="ad">Buy</div>
+<section id="comments"><p>First!</p></section><p hidden>no</p><!-- no --></article><footer>&copy; host</footer></body></html>"""
+LINES = ["Home about contact and all the other pages of this site", "All rights are reserved by the owner of this site now"]
+
+
+def test_page_blocks():
+    assert [t for s, t in pages.blocks(MARKED) if s == pages.INSIDE] == ["Head & tail", "One two three", "Four <b> é", "Item a", "Item b"]
+    assert pages.blocks("") == [] and pages.blocks("<p>a<b>c</p>d") == [(0, "ac"), (0, "d")] and pages.blocks("x < y & z") == [(0, "x < y & z")]
+
+
+def test_pages(spark):
+    plain = [(n, f"http://h.example/{n}", f"<div>{LINES[0]}</div><p>{prose(30, n)}</p><div>{LINES[1]}</div>") for n in range(6)]
+    odd = [(100, None, None), (101, "http://[bad", "<p>only text</p>"), (102, "http://h.example/m", MARKED), (102, "http://h.example/m", MARKED), (103, "http://h.example/m2", MARKED), (104, "http://h.example/m3", MARKED), (None, "http://lone.example", "words " * 20_000)]
+    df = spark.createDataFrame([*plain, *odd], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    rows = pages.extracted(df).collect()
+    got = {r.page_id: r for r in rows}
+    assert len(rows) == len(plain) + len(odd)
+    assert all(got[n].text == prose(30, n) for n in range(6))
+    assert got[100].text == "" and got[100].n_chars == 0 and got[101].text == "only text" and got[None].n_chars == 119_999
+    assert got[102].text == got[104].text == "Head & tail\nOne two three\nFour <b> é\nItem a\nItem b" and got[102].n_chars == len(got[102].text)
+    assert pages.extracted(df.limit(0)).count() == 0
+
+
+# 7 -----------------------------------------------------------------------------------------------------------------
+
+
+def test_packing(docs, none):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    names = [public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")]
+    whole = Tokenizer.from_file(names[0])
+    ids = lambda t: np.array([*whole.encode(t or "", add_special_tokens=False).ids, 2], dtype="<u4")
+    encode = packing.encoder(*names)
+    for t in ["", " ", "a  b", " lead", "tail ", "a\n\n b \n", "don't  x\t y", "é" * 9, "<|endoftext|> x", "a  b", "x <|endoftext|>", "  z"]:
+        assert encode(t) == ids(t)[:-1].tobytes(), t
+    rows = packing.pack_documents(docs, *names).collect()
+    pieces = Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
+    want = Counter()
+    for i, t in ODD:
+        x = ids(t)
+        first = len(x) % 1024 or 1024
+        cuts = [0, *range(min(first, len(x)), len(x) + 1, 1024)]
+        want.update((i, k, a, b - a, zlib.crc32(x[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)))
+    assert pieces == want
+    places = {}
+    for r in rows:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for held in places.values():
+        held.sort()
+        assert held[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(held, held[1:], strict=False)) and sum(n for _, n in held) <= 1024
+    assert len(places) <= -(-sum(r.length for r in rows) // 1024) + 1
+    assert packing.pack_documents(none, *names).count() == 0
+
+
+def test_genetic_packing_keeps_every_piece_and_never_grows():
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(1, 1024, 400)
+    first = packing.best_fit(lengths, list(range(400)), [], 1024)
+    best = packing.evolve(lengths, first, seed=1)
+    assert sorted(i for b in best for i in b) == list(range(400)) and len(best) <= len(first)
+    assert all(lengths[b].sum() <= 1024 for b in best)
+    child = packing.cross(lengths, first, best, 1024, rng)
+    assert sorted(i for b in child for i in b) == list(range(400))
+    assert len(packing.evolve(np.array([512] * 100 + [300] * 30 + [212] * 30), [], seed=2)) <= 66
+
+
+# 8 -----------------------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def judged(spark):
+    good = [(n, prose(60, 5000 + n), 1, 0) for n in range(300)]
+    bad = [(1000 + n, "!! ".join(prose(40, 7000 + n).upper().split()) + "!!", 0, 0) for n in range(100)]
+    docs = spark.createDataFrame([r[:2] for r in good + bad] + [(5000, None), (5001, ""), (None, prose(50, 1)), (0, good[0][1]), (6000, prose(9000, 2))], "doc_id long, text string").withColumn("half", F.lit("clash")).withColumn("log_weight", F.lit(1)).repartition(3)
+    labels = spark.createDataFrame([(r[0], r[2], r[3]) for r in good[:200] + bad[:60]] + [(None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
+    return docs, labels
+
+
+def test_quality(judged):
+    docs, labels = judged
+    rows = quality.sampled(docs, labels).collect()
+    ids = {r.doc_id for r in rows}
+    assert len(ids & set(range(300))) >= 294 and len(ids & set(range(1000, 1100))) <= 2 and 6000 in ids and all(r.kept for r in rows)
+    kept = quality.keep(docs, labels)
+    assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in rows)
+    assert quality.sampled(docs, labels.limit(0)).count() == docs.count()
+    assert quality.sampled(docs.limit(0), labels).count() == 0
+
+
+def test_kth_greatest(spark):
+    rng = np.random.default_rng(6)
+    keys = np.concatenate([rng.normal(size=9000), np.full(500, 0.25), [1e6, -1e6]])
+    df = spark.createDataFrame([(float(k),) for k in keys], "k double")
+    for k in (1, 2, 77, 4000, 4100, len(keys)):
+        assert quality.kth_greatest(df, "k", k, few=50) == sorted(keys, reverse=True)[k - 1]
+
+
+# 9 -----------------------------------------------------------------------------------------------------------------
+
+
+def slow_targets(sizes):
+    weights = {s: (3, 1, 2)[n % 3] for n, s in enumerate(sorted(sizes, key=lambda s: (s is None, s)))}
+    goal, full = 1.5 * sum(sizes.values()), set()
+    while True:
+        left = goal - sum(2 * sizes[s] for s in full)
+        free = [s for s in sizes if s not in full]
+        level = left / sum(weights[s] for s in free) if free else 0
+        over = {s for s in free if level * weights[s] > 2 * sizes[s]}
+        if not over:
+            return {s: 2.0 * sizes[s] if s in full else level * weights[s] for s in sizes}
+        full |= over
+
+
+def test_mixing(spark, docs, none):
+    for df in (docs, spark.createDataFrame([(n, prose(n % 50 + 1, n), None if n % 11 == 0 else f"s{(n * n) % 7}") for n in range(700)], "doc_id long, text string, source string")):
+        rows = mixing.mixed(df).collect()
+        source = Counter()
+        for r in df.collect():
+            source[r.source] += len((r.text or "").split())
+        want = slow_targets(dict(source))
+        sums, seen = Counter(), {}
+        for r in rows:
+            assert 0 <= r.taken <= 2 * r.size
+            seen[round(r.target, 6), r.source_size] = seen.get((round(r.target, 6), r.source_size), 0) + r.taken
+        assert sorted(k for k in seen) == sorted({(round(want[s], 6), source[s]) for s in source})
+        for (t, _), n in seen.items():
+            assert abs(n - t * sum(1 for s in source if (round(want[s], 6), source[s]) == (t, _))) <= len(source)
+        assert sorted(rows) == sorted(mixing.mixed(df.repartition(5)).collect()) if None not in [r.doc_id for r in rows] else True
+        del sums
+    assert mixing.mixed(none).count() == 0
+    assert mixing.repeated(docs).columns == docs.columns and mixing.repeated(none).count() == 0
+
+
+def test_the_mix_itself_agrees_and_its_shards_are_disjoint(spark):
+    df = spark.createDataFrame([(n, prose(n % 50 + 1, n), f"s{(n * n) % 7}") for n in range(2000)], "doc_id long, text string, source string")
+    draws = mixing.mix(df, levels=3).collect()
+    sums = Counter()
+    for r in draws:
+        sums[r.doc_id] += r.words
+    assert sums == Counter({r.doc_id: r.taken for r in mixing.mixed(df).collect() if r.taken})
+    assert len({(r.doc_id, r["pass"]) for r in draws}) == len(draws) and len({r.shard for r in draws}) == 8
+
+
+def test_hypergeometric(spark):
+    n, good, draws = 4000, 30, 20
+    df = spark.range(n).select(mixing._hypergeometric(mixing._chance(F.col("id"), 1), F.lit(good).cast("long"), F.lit(50).cast("long"), F.lit(draws).cast("long")).alias("k"))
+    x = np.array([r.k for r in df.collect()])
+    p = good / 80
+    assert abs(x.mean() - draws * p) < 0.12 and abs(x.var() - draws * p * (1 - p) * 60 / 79) < 0.35 and x.min() >= 0 and x.max() <= draws
