@@ -17,6 +17,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -38,20 +39,28 @@ CACHE = 300_000
 
 
 class WordIds(dict):
-    """From a word after a space to its ids as little-endian 32-bit numbers; refilled when it has grown to CACHE words."""
+    """From a word after a space to its ids as little-endian 32-bit numbers.
+
+    Two generations of at most CACHE words: when the young one is full it becomes the old one, whose words come back as
+    they recur. What is held is bounded, and words that recur stay.
+    """
 
     def __init__(self, encode) -> None:
         super().__init__()
-        self.encode = encode
+        self.encode, self.old = encode, {}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE:
+            self.old = dict(self)
             self.clear()
-        ids = np.array(self.encode(" " + word), dtype="<u4").tobytes()
+        ids = self.old.get(word)
+        if ids is None:
+            ids = np.array(self.encode(" " + word), dtype="<u4").tobytes()
         self[word] = ids
         return ids
 
 
+@lru_cache(maxsize=1)
 def encoder(vocabulary: str, ranks: str | None = None):
     """A function from text to ids as bytes, the same as the vocabulary's own tokenizer gives.
 
@@ -115,12 +124,12 @@ def pieces(docs: DataFrame, vocabulary: str, ranks: str | None, size: int = SIZE
     return rows.mapInArrow(lambda b: _cut(b, vocabulary, ranks, size), "uid long, doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit(lengths: np.ndarray, items: list[int], bins: list[list[int]], size: int) -> list[list[int]]:
+def best_fit(lengths: list[int], items: list[int], bins: list[list[int]], size: int) -> list[list[int]]:
     """Put items, longest first, each into the fullest bin that has room."""
     bins = [list(b) for b in bins]
-    room = sorted((size - sum(int(lengths[i]) for i in b), k) for k, b in enumerate(bins))
-    for i in sorted(items, key=lambda i: -lengths[i]):
-        n = int(lengths[i])
+    room = sorted((size - n, k) for k, n in enumerate(_fills(lengths, bins)))
+    for i in sorted(items, key=lengths.__getitem__, reverse=True):
+        n = lengths[i]
         at = bisect_left(room, (n, -1))
         if at == len(room):
             bins.append([i])
@@ -132,10 +141,10 @@ def best_fit(lengths: np.ndarray, items: list[int], bins: list[list[int]], size:
     return bins
 
 
-def least_slack(lengths: np.ndarray, size: int) -> list[list[int]]:
+def least_slack(lengths: list[int], size: int) -> list[list[int]]:
     """Bin by bin: the longest piece left, with those that fill the rest of its bin best, found from the sums that can be reached."""
     left: dict[int, list[int]] = {}
-    for i, n in enumerate(lengths.tolist()):
+    for i, n in enumerate(lengths):
         left.setdefault(n, []).append(i)
     bins = []
     while left:
@@ -165,32 +174,36 @@ def least_slack(lengths: np.ndarray, size: int) -> list[list[int]]:
     return bins
 
 
-def _worth(lengths: np.ndarray, bins: list[list[int]]) -> tuple[int, int]:
+def _fills(lengths: list[int], bins: list[list[int]]) -> list[int]:
+    get = lengths.__getitem__
+    return [sum(map(get, b)) for b in bins]
+
+
+def _worth(lengths: list[int], bins: list[list[int]]) -> tuple[int, int]:
     """Smaller is better: bins, then less of full bins."""
-    return len(bins), -sum(int(lengths[b].sum()) ** 2 for b in bins)
+    return len(bins), -sum(n * n for n in _fills(lengths, bins))
 
 
-def cross(lengths: np.ndarray, giver: list[list[int]], taker: list[list[int]], size: int, rng: np.random.Generator) -> list[list[int]]:
+def cross(lengths: list[int], giver: list[list[int]], taker: list[list[int]], size: int, rng: np.random.Generator) -> list[list[int]]:
     """Inject well-filled bins of the giver into the taker; bins that share a piece with them go, displaced pieces are best-fitted."""
-    fill = np.array([lengths[b].sum() for b in giver])
+    fill = np.array(_fills(lengths, giver))
     good = np.flatnonzero(fill >= np.quantile(fill, 0.5))
-    given = [giver[k] for k in good[rng.random(len(good)) < 0.5]]
-    held = np.zeros(len(lengths), dtype=bool)
-    for b in given:
-        held[b] = True
-    kept = [b for b in taker if not held[b].any()]
-    loose = [i for b in taker if held[b].any() for i in b if not held[i]]
+    given = [giver[k] for k in good[rng.random(len(good)) < 0.5].tolist()]
+    held = {i for b in given for i in b}
+    kept = [b for b in taker if held.isdisjoint(b)]
+    loose = [i for b in taker if not held.isdisjoint(b) for i in b if i not in held]
     # the emptiest bins are opened too, so that their pieces can find better places
-    kept.sort(key=lambda b: -int(lengths[b].sum()))
+    order = np.argsort(-np.array(_fills(lengths, kept)), kind="stable").tolist() if kept else []
     few = max(1, len(kept) // 50) if kept else 0
-    loose += [i for b in kept[len(kept) - few :] for i in b]
-    return best_fit(lengths, loose, given + kept[: len(kept) - few], size)
+    loose += [i for k in order[len(kept) - few :] for i in kept[k]]
+    return best_fit(lengths, loose, given + [kept[k] for k in order[: len(kept) - few]], size)
 
 
-def evolve(lengths: np.ndarray, came: list[list[int]], size: int = SIZE, seed: int = 0) -> list[list[int]]:
+def evolve(lengths: np.ndarray | list[int], came: list[list[int]], size: int = SIZE, seed: int = 0) -> list[list[int]]:
     """The best packing found; came: bins that migrated here, a whole packing, or nothing."""
+    lengths = [int(n) for n in lengths]
     rng = np.random.default_rng([seed, len(lengths)])
-    least = -(-int(lengths.sum()) // size)
+    least = -(-sum(lengths) // size)
     every = list(range(len(lengths)))
     people = [best_fit(lengths, every, [], size)]
     if came:
@@ -241,6 +254,7 @@ def pack(cut: DataFrame, size: int = SIZE, island: int = ISLAND, rounds: int = R
         # a bin migrates whole: its pieces hash alike
         place = F.when(F.col("bin") < 0, F.col("uid")).otherwise(F.col("bin"))
         dealt = open_.withColumn("isle", F.pmod(F.xxhash64(place, F.lit(seed + turn)), F.lit(islands)).cast("int"))
+        dealt = dealt.repartition(-(-islands // 4), "isle")  # the rows are few bytes, the work is not
         made = settle(dealt.groupBy("isle").applyInPandas(_islander(size, seed + turn, last), "uid long, length long, bin long, at long, final boolean"))
         done = done.unionByName(made.where("final").select("uid", F.col("bin").alias("sequence_id"), F.col("at").alias("offset")))
         open_ = made.where("not final").select("uid", "length", "bin")

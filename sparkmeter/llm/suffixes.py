@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -173,6 +174,14 @@ def _shared(a: bytes, b: bytes, known: int) -> int:
     return known + (len(x) * 8 - (int.from_bytes(x, "big") ^ int.from_bytes(y, "big")).bit_length()) // 8
 
 
+def _pressed(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(raw)
+
+
+def _whole(raw: bytes | None) -> bytes | None:
+    return zstandard.ZstdDecompressor().decompress(raw) if raw is not None else None
+
+
 def front_coded(rows: list[tuple]) -> dict[str, bytes]:
     """A run of sorted (right, left, doc, nth, at, low, high)."""
     lcp, rests, before = bytearray(), [], b""
@@ -190,7 +199,18 @@ def front_coded(rows: list[tuple]) -> dict[str, bytes]:
 
 
 def _spans_row(part: int, chunk: int, doc: np.ndarray, nth: np.ndarray, start: np.ndarray, end: np.ndarray) -> dict:
-    return {"part": part, "kind": SPANS, "chunk": chunk, "doc": doc.astype(np.int64).tobytes(), "nth": nth.astype(np.int32).tobytes(), "at": start.astype(np.int64).tobytes(), "low": end.astype(np.int64).tobytes()}
+    """Spans of a chunk's documents in order, those that touch joined."""
+    order = np.lexsort((start, nth, doc))
+    doc, nth, start, end = doc[order].astype(np.int64), nth[order].astype(np.int32), start[order].astype(np.int64), end[order].astype(np.int64)
+    same = np.append(False, (doc[1:] == doc[:-1]) & (nth[1:] == nth[:-1]))
+    # ends run on within a document only: restart the running maximum at each document by an offset that grows with it
+    group = np.cumsum(~same)
+    step = int(end.max(initial=0)) + 1
+    far = np.maximum.accumulate(end + group * step) - group * step
+    first = ~(same & np.append(False, start[1:] <= far[:-1]))
+    last = np.append(np.flatnonzero(first)[1:] - 1, len(doc) - 1) if len(doc) else np.empty(0, np.int64)
+    row = {"part": part, "kind": SPANS, "chunk": chunk}
+    return row | {c: _pressed(x.tobytes()) for c, x in (("doc", doc[first]), ("nth", nth[first]), ("at", start[first]), ("low", far[last]))}
 
 
 def _runs_out(table: pa.Table, flags: pa.Table, parts: int) -> pa.Table:
@@ -234,7 +254,7 @@ def _runs_out(table: pa.Table, flags: pa.Table, parts: int) -> pa.Table:
     rows = []
     for (kind, part), run in runs.items():
         run.sort()
-        rows.append({"part": part, "kind": kind, "chunk": number} | front_coded(run))
+        rows.append({"part": part, "kind": kind, "chunk": number} | {c: _pressed(x) for c, x in front_coded(run).items()})
     if lost:
         d, s, e = (np.array(x, dtype=np.int64) for x in zip(*lost, strict=True))
         rows.append(_spans_row(number % parts, number, chunk.ids[d], chunk.nth[d], s - begins[d], e - begins[d]))
@@ -360,7 +380,7 @@ def _merge_part(table: pa.Table) -> pa.Table:
         spans[row[6]].append((row[1], row[2], row[3] - most, row[3] - least + SPAN))
 
     for kind, together in ((PLAIN, GRAM), (WINDOWS, SPAN)):
-        runs = [Run(r) for r in rows if r["kind"] == kind]
+        runs = [Run(r | {c: _whole(r[c]) for c in _COLUMNS[3:]}) for r in rows if r["kind"] == kind]
         group: list[tuple] = []
         lcps: list[int] = []
 
@@ -398,7 +418,7 @@ class Kept:
         change = np.zeros(len(chunk.data) + 1, dtype=np.int32)
         place = {(i, n): k for k, (i, n) in enumerate(zip(chunk.ids.tolist(), chunk.nth.tolist(), strict=True))}
         for row in spans.to_pylist():
-            doc, nth, at, end = (np.frombuffer(row[c], k) for c, k in (("doc", np.int64), ("nth", np.int32), ("at", np.int64), ("low", np.int64)))
+            doc, nth, at, end = (np.frombuffer(_whole(row[c]), k) for c, k in (("doc", np.int64), ("nth", np.int32), ("at", np.int64), ("low", np.int64)))
             base = begins[[place[key] for key in zip(doc.tolist(), nth.tolist(), strict=True)]]
             np.add.at(change, base + at, 1)
             np.add.at(change, base + end, -1)

@@ -360,11 +360,11 @@ def test_packing(docs, none):
 
 def test_genetic_packing_keeps_every_piece_and_never_grows():
     rng = np.random.default_rng(4)
-    lengths = rng.integers(1, 1024, 400)
+    lengths = rng.integers(1, 1024, 400).tolist()
     first = packing.best_fit(lengths, list(range(400)), [], 1024)
     best = packing.evolve(lengths, first, seed=1)
     assert sorted(i for b in best for i in b) == list(range(400)) and len(best) <= len(first)
-    assert all(lengths[b].sum() <= 1024 for b in best)
+    assert all(sum(lengths[i] for i in b) <= 1024 for b in best)
     child = packing.cross(lengths, first, best, 1024, rng)
     assert sorted(i for b in child for i in b) == list(range(400))
     assert len(packing.evolve(np.array([512] * 100 + [300] * 30 + [212] * 30), [], seed=2)) <= 66
