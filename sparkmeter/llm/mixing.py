@@ -46,43 +46,66 @@ def _chance(*parts: object) -> Column:
     return (cut.cast("double") + 0.5) / float(1 << 53)
 
 
+def _placed(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """The rows with their place in a total order (from 0), and sums over the rows before them, without one task for all.
+
+    Ranges of the order are dealt over partitions, each adds up its own, and the few partitions' totals are added up before.
+    """
+    ranged = settle(rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    own = ranged.groupBy("__p").agg(F.count("*").alias("__n"), *[F.sum(c).alias(f"__{k}") for k, c in sums.items()])
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    starts = own.select(F.col("__p").alias("__q"), zero(F.sum("__n").over(before)).alias("__n0"), *[zero(F.sum(f"__{k}").over(before)).alias(f"__{k}0") for k in sums])
+    within = Window.partitionBy("__p").orderBy(*order)
+    done = within.rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.join(F.broadcast(starts), F.col("__p") == F.col("__q"))
+    named = [(F.col(f"__{k}0") + zero(F.sum(c).over(done))).alias(k) for k, c in sums.items()]
+    return out.select(*rows.columns, (F.col("__n0") + F.row_number().over(within) - 1).alias("place"), *named)
+
+
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
     """(source, source_size, docs, blocks, target) for rows (source, size): one row a source."""
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    place = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))).cast("int")
-    named = sums.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), place + 1))
+    named = _placed(sums, [F.col("source").asc_nulls_last()], {})
+    turn = F.pmod("place", F.lit(len(weights))).cast("int")
+    named = named.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), turn + 1)).drop("place")
     full = named.withColumn("ratio", cap * F.col("source_size") / F.col("weight"))
-    all_ = Window.partitionBy(F.lit(0))
-    before = Window.orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    spread = full.withColumn("goal", share * F.sum("source_size").over(all_))
-    spread = spread.withColumn("filled", F.coalesce(F.sum(cap * F.col("source_size")).over(before), F.lit(0)))
-    spread = spread.withColumn("left", F.sum("weight").over(all_) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
+    total = full.agg((share * F.sum("source_size")).alias("goal"), F.sum("weight").alias("all"))
+    spread = _placed(full, [F.col("ratio").asc(), F.col("source").asc_nulls_last()], {"filled": cap * F.col("source_size"), "gone": F.col("weight")})
+    spread = spread.crossJoin(F.broadcast(total))  # one row
     # the level if all sources before this one are at their cap and none from here on is
-    spread = spread.withColumn("level", (F.col("goal") - F.col("filled")) / F.col("left"))
+    spread = settle(spread.withColumn("level", (F.col("goal") - F.col("filled")) / (F.col("all") - F.col("gone"))))
     # levels fall short of the answer before it and of their own ratio after it: the first that its own source can hold
-    holds = F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", F.col("source").isNull(), "source", "level"))
-    level = F.min(holds).over(all_)["level"]
-    target = F.least(cap * F.col("source_size").cast("double"), F.coalesce(level, F.lit(float("inf"))) * F.col("weight"))
+    found = spread.where("level <= ratio").agg(F.min_by("level", "place").alias("found"))
+    target = F.least(cap * F.col("source_size").cast("double"), F.coalesce("found", F.lit(float("inf"))) * F.col("weight"))
     blocks = F.greatest(F.lit(1), F.least(F.lit(BLOCKS), F.ceil(F.col("docs") / ROWS).cast("int")))
-    return spread.select("source", "source_size", "docs", blocks.alias("blocks"), target.alias("target"))
+    return spread.crossJoin(F.broadcast(found)).select("source", "source_size", "docs", blocks.alias("blocks"), target.alias("target"))
 
 
 def _same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
+def sizes(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, source, size) of each row of docs, written, so that a row keeps its number."""
+    counted = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), words(F.col("text")).alias("size"))
+    return settle(counted.withColumn("row", F.monotonically_increasing_id()))
+
+
+def _block(seed: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.col("blocks")).cast("int")
+
+
 def plan(sized: DataFrame, seed: int = SEED, **how: object) -> tuple[DataFrame, DataFrame]:
-    """The sources' targets, and (source, block, words, rank, begin, quota) for each block in its source's random order."""
+    """The sources' targets, and (source, block, words, rank, begin, quota, source_size) for each block in its source's random order."""
     per = settle(targets(sized, **how))
-    placed = sized.join(F.broadcast(per.select(F.col("source").alias("s"), "blocks")), _same(F.col("source"), F.col("s")))
-    block = F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.col("blocks")).cast("int")
-    sums = placed.groupBy("source", block.alias("block")).agg(F.sum("size").alias("words"))
-    order = Window.partitionBy("source").orderBy(F.xxhash64("source", "block", F.lit(seed + 1)), "block")
+    placed = sized.join(per.select(F.col("source").alias("s"), "blocks"), _same(F.col("source"), F.col("s")))
+    sums = placed.groupBy("source", _block(seed).alias("block")).agg(F.sum("size").alias("words"))
+    order = Window.partitionBy("source").orderBy(F.xxhash64("source", "block", F.lit(seed + 1)), "block")  # at most BLOCKS rows
     ranked = sums.withColumn("rank", F.row_number().over(order) - 1)
     ranked = ranked.withColumn("begin", F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words"))
-    about = F.broadcast(per.select(F.col("source").alias("s"), F.round("target").cast("long").alias("quota"), "source_size"))
-    return per, ranked.join(about, _same(F.col("source"), F.col("s"))).drop("s")
+    about = per.select(F.col("source").alias("s"), F.round("target").cast("long").alias("quota"), "source_size")
+    return per, settle(ranked.join(about, _same(F.col("source"), F.col("s"))).drop("s"))
 
 
 def _passes() -> tuple[Column, Column]:
@@ -91,24 +114,6 @@ def _passes() -> tuple[Column, Column]:
     return whole, F.col("quota") - whole * F.col("source_size")
 
 
-def taken(sized: DataFrame, seed: int = SEED, **how: object) -> DataFrame:
-    """(doc_id, size, source, source_size, target, taken) for each row (doc_id, source, size)."""
-    per, blocks = plan(sized, seed, **how)
-    whole, part = _passes()
-    # a block before the cut is taken whole in the partial pass, one after it not at all; the one at the cut row by row
-    cut = blocks.select("source", "block", whole.alias("whole"), F.greatest(F.lit(0), F.least("words", part - F.col("begin"))).alias("some"), "words")
-    info = per.select(F.col("source").alias("s"), "source_size", "target", "blocks")
-    rows = sized.join(F.broadcast(info), _same(F.col("source"), F.col("s"))).drop("s")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.col("blocks")).cast("int"))
-    cut = cut.select(F.col("source").alias("s"), F.col("block").alias("b"), "whole", "some", "words")
-    rows = rows.join(cut, _same(F.col("source"), F.col("s")) & (F.col("block") == F.col("b")))
-    order = Window.partitionBy("source", "block").orderBy(F.xxhash64("doc_id", "size", F.lit(seed + 2)), "doc_id")
-    end = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    inside = F.greatest(F.lit(0), F.least(F.col("size"), F.col("some") - (end - F.col("size"))))
-    mixed = rows.withColumn("taken", (F.col("whole") * F.col("size") + inside).cast("long"))
-    return mixed.select("doc_id", "size", "source", "source_size", "target", "taken")
-
-
 def _hypergeometric(chance: Column, good: Column, rest: Column, draws: Column) -> Column:
     """How many of the draws, from good + rest, are good: inversion of the distribution by its ratio of neighbours.
 
@@ -171,14 +176,9 @@ def shards(blocks: DataFrame, levels: int = LEVELS, seed: int = SEED) -> DataFra
     return flat.select("source", "shard", (F.sum("n").over(order) - F.col("n")).alias("first"), F.col("n").alias("draws"))
 
 
-def mix(docs: DataFrame, seed: int = SEED, levels: int = LEVELS) -> DataFrame:
-    """The mix itself: (shard, place, doc_id, source, pass, words) for each row of docs each time a shard takes it.
-
-    place orders a shard's rows (a hash: sort by it within the shard); words is how many of the row's words that take
-    counts. A block that two passes use is two draws.
-    """
-    sized = settle(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), words(F.col("text")).alias("size")))
-    per, blocks = plan(sized, seed)
+def _draws(sized: DataFrame, seed: int, levels: int, **how: object) -> tuple[DataFrame, DataFrame]:
+    """The sources' targets, and (row, shard, place, pass, words) for each row each time a shard takes it."""
+    per, blocks = plan(sized, seed, **how)
     cuts = shards(blocks, levels, seed)
     whole, part = _passes()
     used = blocks.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), whole)))
@@ -188,22 +188,38 @@ def mix(docs: DataFrame, seed: int = SEED, levels: int = LEVELS) -> DataFrame:
     used = used.withColumn("some", F.when(F.col("pass") < whole, F.col("words")).otherwise(F.least("words", part - F.col("begin"))))
     cuts = cuts.select(F.col("source").alias("s"), "shard", "first", "draws")
     dealt = used.join(cuts, _same(F.col("source"), F.col("s")) & (F.col("draw") >= F.col("first")) & (F.col("draw") < F.col("first") + F.col("draws")))
-    dealt = dealt.select(F.col("source").alias("s"), F.col("block").alias("b"), "pass", "shard", "some")
-    about = F.broadcast(per.select(F.col("source").alias("t"), "blocks"))
-    rows = sized.join(about, _same(F.col("source"), F.col("t"))).drop("t")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.col("blocks")).cast("int"))
+    dealt = settle(dealt.select(F.col("source").alias("s"), F.col("block").alias("b"), "pass", "shard", "some"))
+    about = per.select(F.col("source").alias("t"), "blocks")
+    rows = sized.join(about, _same(F.col("source"), F.col("t"))).withColumn("block", _block(seed))
     rows = rows.join(dealt, _same(F.col("source"), F.col("s")) & (F.col("block") == F.col("b")))
-    within = Window.partitionBy("source", "block", "pass").orderBy(F.xxhash64("doc_id", "size", F.lit(seed + 2)), "doc_id")
+    within = Window.partitionBy("source", "block", "pass").orderBy(F.xxhash64("doc_id", "size", F.lit(seed + 2)), "doc_id", "row")
     end = F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("words", F.greatest(F.lit(0), F.least(F.col("size"), F.col("some") - (end - F.col("size")))))
-    place = F.xxhash64("doc_id", "pass", "shard", F.lit(seed + 3))
-    return rows.where("words > 0").select("shard", place.alias("place"), "doc_id", "source", "pass", "words")
+    place = F.xxhash64("row", "pass", "shard", F.lit(seed + 3))
+    return per, rows.where("words > 0").select("row", "doc_id", "source", "shard", place.alias("place"), "pass", "words")
+
+
+def mix(docs: DataFrame, seed: int = SEED, levels: int = LEVELS) -> DataFrame:
+    """The mix itself: (shard, place, doc_id, source, pass, words) for each row of docs each time a shard takes it.
+
+    place orders a shard's rows (a hash: sort by it within the shard); words is how many of the row's words that take
+    counts. A block that two passes use is two draws.
+    """
+    return _draws(sizes(docs), seed, levels)[1].select("shard", "place", "doc_id", "source", "pass", "words")
+
+
+def taken(sized: DataFrame, seed: int = SEED, levels: int = LEVELS, **how: object) -> DataFrame:
+    """(row, doc_id, size, source, source_size, target, taken) for each row (row, doc_id, source, size): its draws added up."""
+    per, draws = _draws(sized, seed, levels, **how)
+    sums = draws.groupBy("row").agg(F.sum("words").alias("taken"))
+    about = per.select(F.col("source").alias("s"), "source_size", "target")
+    rows = sized.join(sums, "row", "left").join(about, _same(F.col("source"), F.col("s")))
+    return rows.select("row", "doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for each row of docs."""
-    sized = settle(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), words(F.col("text")).alias("size")))
-    return taken(sized, seed).select("doc_id", "size", "source_size", "target", "taken")
+    return taken(sizes(docs), seed).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def repeated(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -212,8 +228,7 @@ def repeated(docs: DataFrame, seed: int = SEED) -> DataFrame:
     Rows that share id, source and size share what the mix takes of them.
     """
     size = words(F.col("text"))
-    sized = settle(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size")))
-    each = taken(sized, seed).groupBy("doc_id", "source", "size").agg((F.sum("taken") / F.count("*")).alias("taken")).where("size > 0")
+    each = taken(sizes(docs), seed).groupBy("doc_id", "source", "size").agg((F.sum("taken") / F.count("*")).alias("taken")).where("size > 0")
     times = each.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("__times"))
     rows = docs.withColumn("__n", size)
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__size"))
