@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..operators import gates as G
 from ..operators import mcp as C
 from ..operators import project as P
+from ..operators import reports as W
+from ..operators import scan as N
 from ..sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -272,3 +274,46 @@ def skills_plan(spark, d):
 def answers_match(spark, d):
     rows = spark.createDataFrame([(1, " The  Answer", ["the answer"]), (2, "it is 42 indeed", ["41", "42"]), (3, "no", ["yes"])], "id long, given string, accepted array<string>")
     return rows.select("id", G.answers_match(F.col("given"), F.col("accepted")).alias("ok"))
+
+
+MACHINE = [
+    ("/home/u/.claude.json", '{"mcpServers": {"gh": {"command": "github-mcp"}}, "projects": {"/w": {"mcpServers": {"gh": {"command": "other"}, "fs": {"command": "filesystem-mcp"}}}}}'),
+    ("/home/u/.codex/config.toml", '[mcp_servers.db]\ncommand = "postgres-mcp"\n'), ("/w/.cursor/mcp.json", "{bad"), ("/w/CLAUDE.md", "x" * 41), ("/w/.cursor/rules/a.mdc", "rule"), ("/w/src/a.py", "pass"),
+    ("/home/u/.zshrc", 'export TOKEN="' + "0123456789abcdef" * 2 + '01234567"\n'), ("/w/.claude/settings.json", '{"hooks": {"Stop": []}}'), ("/w/.github/workflows/ci.yml", "steps:\n  - uses: anthropics/claude-code-action@v1\n    with:\n      prompt: Review it\n"),
+]
+
+
+def machine(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    return spark.createDataFrame(MACHINE, "path string, text string"), N.locations(spark, "/home/u", "/home/u/.config", "/w", "linux")
+
+
+@query(
+    "scan_report",
+    """SELECT kind, path, name, CAST(amount AS BIGINT) AS amount FROM (VALUES ('server', '/home/u/.claude.json', 'gh', 50000), ('server', '/home/u/.claude.json', 'fs', 2500), ('server', '/home/u/.codex/config.toml', 'db', 7500), ('instructions', '/w/CLAUDE.md', '', 11),
+    ('instructions', '/w/.cursor/rules/a.mdc', '', 1), ('shell', '/home/u/.zshrc', 'high-entropy', 1), ('hooks', '/w/.claude/settings.json', 'Stop', 1), ('workflow', '/w/.github/workflows/ci.yml', 'prompt', 3)) AS v(kind, path, name, amount)""",
+)
+def scan_report(spark, d):
+    return N.report(*machine(spark))
+
+
+@query("scan_locations", f"SELECT DISTINCT replace(replace(replace(base, 'home', '/home/u'), 'config', '/home/u/.config'), 'cwd', '/w') || '/' || rel AS path FROM (VALUES {values([x for x in N.LOCATIONS if x[3] is None or 'linux' in x[3]])}) AS v(client, base, rel, system)")
+def scan_locations(spark, d):
+    return machine(spark)[1].select("path")
+
+
+@query("swap_info", "SELECT * FROM (VALUES ('gh', 'github', 'gh', 40000::BIGINT, TRUE), ('fs', 'filesystem', 'bash + find/cat/rg', 2000, TRUE), ('db', 'postgres', 'psql', 6000, FALSE)) AS v(name, id, cli, swap_savings, installed)")
+def swap_info(spark, d):
+    files_, known = machine(spark)
+    found = C.server_reports(C.servers(N.configurations(files_, known)), C.catalog(spark))
+    return N.swaps(found, spark.createDataFrame([("gh",), ("rg",)], "name string"))
+
+
+@query(
+    "display_numbers",
+    """SELECT o_orderkey, format('{:,}', n) AS grouped, CASE WHEN n < 1000 THEN CAST(n AS VARCHAR) WHEN n < 1000000 THEN CASE WHEN n / 1e3 >= 100 THEN printf('%.0fk', n / 1e3::DOUBLE) ELSE printf('%.1fk', n / 1e3::DOUBLE) END ELSE printf('%.1fM', n / 1e6::DOUBLE) END AS short,
+    CASE WHEN o_custkey % 86400 < 60 THEN 'now' WHEN o_custkey * 50 < 3600 THEN (o_custkey * 50 // 60) || 'm' ELSE (o_custkey * 50 // 3600) || 'h' END AS age FROM (SELECT *, CAST(floor(o_totalprice) AS BIGINT) * 4 + 1 AS n FROM orders WHERE o_custkey * 50 < 86400 AND o_custkey > 60)""",
+)
+def display_numbers(spark, d):
+    n = (F.floor("o_totalprice") * 4 + 1).cast("long")
+    rows = table(spark, d, "orders").where("o_custkey * 50 < 86400 and o_custkey > 60").withColumn("n", n)
+    return rows.select("o_orderkey", W.commas(F.col("n")).alias("grouped"), W.humanized(F.col("n")).alias("short"), W.age(F.col("o_custkey") * 50, F.lit(0)).alias("age"))
