@@ -5,17 +5,20 @@ pairs of neighbouring words (a word after itself is one pair of its own), each h
 frequencies. The raw model counts all documents, the target model the good ones (quality 1 and not toxic) of at most
 LABELS labelled documents, those with the least hash. A bucket's importance is the ratio of its target to its raw
 frequency, both smoothed by SMOOTH occurrences, so that rare buckets say little. A document's weights are the means of
-its log ratios and what its very negative ones add up to; a logistic fit on the labelled documents joins them into one
-log weight. Labelled documents are weighed by a target model of the other half, so none is weighed by its own counts.
+its log ratios and what its very negative ones add up to. Toxicity has a model of its own, of the toxic labelled
+documents, since a few words among thousands make a document toxic: its weights are what a document's very positive log
+ratios there add up to, and the greatest. A logistic fit on the labelled documents joins all into one log weight.
+Labelled documents are weighed by models of the other half, so none is weighed by its own counts.
 
 The sample is drawn without replacement by Gumbel top-k: each document's key is log weight / TEMPERATURE plus Gumbel
-noise that follows from its id, and the k greatest keys are kept, k being the number of documents with an estimated
-probability of being good of at least ACCEPT. The k-th key is found from counts of keys in intervals, narrowed step by
-step; equal keys (repeated rows) are kept or rejected together.
+noise that follows from its id, and the k greatest keys are kept, k being the number of documents with a log weight of at
+least the cut. The cut is chosen on held-out labelled documents, each half weighed by a fit on the other: the fewest good
+ones lost and bad or toxic ones kept, each counting the same. The k-th key is found from counts of keys in intervals,
+narrowed step by step; equal keys (repeated rows) are kept or rejected together.
 
 Defined cases: null or blank text has weights of no evidence (zero) and is judged like any other; documents without a
 label are judged alone by their text; without labelled documents of both kinds nothing is rejected; repeated labels of an
-id count as bad if any is; an empty table gives no rows; other columns of the input are passed on by keep().
+id count as bad, or toxic, if any is; an empty table gives no rows; other columns of the input are passed on by keep().
 """
 
 from __future__ import annotations
@@ -37,10 +40,10 @@ BUCKETS = WORDS + MARKS + PAIRS
 SMOOTH = 3.0
 DEEP = 0.7
 TEMPERATURE = 0.05
-ACCEPT = 0.2
 RANGES = 16
 FOLDS = 2
-MODELS = 1 + FOLDS
+MODELS = 1 + 2 * FOLDS
+FEATURES = 12
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -61,7 +64,7 @@ def grams(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bucket counts of a task: of all texts, and of the good ones of each fold."""
+    """Bucket counts of a task: of all texts, of the good ones of each fold, and of the toxic ones of each fold."""
     sums = np.zeros((MODELS, BUCKETS), dtype=np.int64)
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
@@ -96,8 +99,8 @@ def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 
 def features(texts: Texts, ratios: np.ndarray, fold: np.ndarray) -> np.ndarray:
-    """Nine figures a text; fold: which model's ratios weigh each text."""
-    out = np.zeros((len(texts.lengths), 9))
+    """FEATURES figures a text; fold: which models' ratios weigh each text, the toxic ones being FOLDS further on."""
+    out = np.zeros((len(texts.lengths), FEATURES))
     if not len(texts.lengths):
         return out
     own = np.repeat(fold, texts.lengths)
@@ -107,6 +110,12 @@ def features(texts: Texts, ratios: np.ndarray, fold: np.ndarray) -> np.ndarray:
         out[:, k] = np.add.reduceat(v, texts.begins) / texts.lengths
         out[:, 3 + k] = low / np.sqrt(texts.lengths)
         out[:, 6 + k] = np.log1p(-low)
+        if k == 0:
+            toxic = np.maximum(0, ratios[FOLDS + own, g] - DEEP)
+            high = np.add.reduceat(toxic, texts.begins)
+            out[:, 9] = high / np.sqrt(texts.lengths)
+            out[:, 10] = np.log1p(high)
+            out[:, 11] = np.maximum.reduceat(toxic, texts.begins)
     out[texts.lengths <= 1] = 0  # the end alone
     return out
 
@@ -129,6 +138,29 @@ def weigh(fit: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
     return np.clip(z @ fit["w"], -1e6, 1e6)
 
 
+def best_cut(weight: np.ndarray, good: np.ndarray) -> float:
+    """The log weight with the fewest good rows below and bad ones above; in the middle of the widest of equal gaps."""
+    order = np.argsort(weight, kind="stable")
+    w, y = weight[order], good[order]
+    at = np.flatnonzero(w[1:] > w[:-1]) + 1
+    if not len(at):
+        return float("-inf")
+    wrong = np.cumsum(y)[at - 1] + (~y).sum() - np.cumsum(~y)[at - 1]
+    best = at[wrong == wrong.min()]
+    k = best[np.argmax(w[best] - w[best - 1])]
+    return float((w[k - 1] + w[k]) / 2)
+
+
+def held_out(x: np.ndarray, y: np.ndarray, half: np.ndarray) -> np.ndarray:
+    """Log weights of labelled rows by fits on the other halves; by the fit on all where a half has one kind only."""
+    out = weigh(logistic(x, y), x)
+    for h in range(FOLDS):
+        rest = y[half != h]
+        if 0 < rest.sum() < len(rest):
+            out[half == h] = weigh(logistic(x[half != h], rest), x[half == h])
+    return out
+
+
 def _other(fold: np.ndarray) -> np.ndarray:
     """The model for a document: of the other half if it is labelled (fold 0 or 1), else the first."""
     return np.where(fold == 0, 1, 0)
@@ -139,7 +171,7 @@ def _label_features(batches: Iterator[pa.RecordBatch], ratios: np.ndarray) -> It
         for at in range(0, batch.num_rows, 2000):
             part = batch.slice(at, 2000)
             x = features(Texts.of(part), ratios, _other(part.column("half").to_numpy()))
-            yield pa.RecordBatch.from_arrays([part.column("good"), *(pa.array(c) for c in x.T)], names=["good", *(f"x{k}" for k in range(9))])
+            yield pa.RecordBatch.from_arrays([part.column("good"), part.column("half"), *(pa.array(c) for c in x.T)], names=["good", "half", *(f"x{k}" for k in range(FEATURES))])
 
 
 def _weights(batches: Iterator[pa.RecordBatch], ratios: np.ndarray, fit: dict | None) -> Iterator[pa.RecordBatch]:
@@ -161,26 +193,28 @@ class Judge:
     def __init__(self, docs: DataFrame, labels: DataFrame, most: int = LABELS) -> None:
         spark = docs.sparkSession
         good = (F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
-        known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min(good).alias("good"))
+        known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min(good).alias("good"), F.max(F.coalesce("toxic", F.lit(0)) != 0).alias("toxic"))
         known = known.orderBy(F.xxhash64("label_id", F.lit(2)), "label_id").limit(most)
-        # at most LABELS rows of 13 bytes
+        # at most LABELS rows of 14 bytes
         self.known = F.broadcast(settle(known.withColumn("half", F.pmod(F.xxhash64("label_id", F.lit(3)), F.lit(FOLDS)).cast("int"))))
         given = self._labelled(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-        fold = F.when(F.col("good"), F.col("half")).otherwise(F.lit(-1))
+        fold = F.when(F.col("good"), F.col("half")).when(F.col("toxic"), F.col("half") + FOLDS).otherwise(F.lit(-1))
         counted = given.select("doc_id", "text", fold.alias("fold")).mapInArrow(_counts, "range int, counts binary")
         sums = counted.repartition("range").mapInArrow(_added, "range int, counts binary").collect()
-        self.fit, self.ratios = None, np.zeros((FOLDS, BUCKETS))
+        self.fit, self.cut, self.ratios = None, float("-inf"), np.zeros((2 * FOLDS, BUCKETS))
         if sums:
             cells = [np.frombuffer(r["counts"], np.int64).reshape(MODELS, -1) for r in sorted(sums, key=lambda r: r["range"])]
             raw, *targets = np.concatenate(cells, axis=1)
             self.ratios = np.stack([log_ratios(raw, t) for t in targets])
         ratios = spark.sparkContext.broadcast(self.ratios)
         ours = given.where("half >= 0").select("doc_id", "text", "half", "good")
-        shape = "good boolean, " + ", ".join(f"x{k} double" for k in range(9))
-        rows = ours.mapInArrow(lambda b: _label_features(b, ratios.value), shape).toArrow()  # ten figures a labelled document
+        shape = "good boolean, half int, " + ", ".join(f"x{k} double" for k in range(FEATURES))
+        rows = ours.mapInArrow(lambda b: _label_features(b, ratios.value), shape).toArrow()  # fourteen figures a labelled document
         y = rows.column("good").to_numpy().astype(float) if rows.num_rows else np.empty(0)
         if 0 < y.sum() < len(y):
-            self.fit = logistic(np.stack([rows.column(f"x{k}").to_numpy() for k in range(9)], axis=1), y)
+            x = np.stack([rows.column(f"x{k}").to_numpy() for k in range(FEATURES)], axis=1)
+            self.fit = logistic(x, y)
+            self.cut = best_cut(held_out(x, y, rows.column("half").to_numpy()), y > 0)
 
     def _labelled(self, docs: DataFrame) -> DataFrame:
         return docs.join(self.known, docs.doc_id == F.col("label_id"), "left").drop("label_id").withColumn("half", F.coalesce("half", F.lit(-1)))
@@ -216,17 +250,18 @@ def kth_greatest(keys: DataFrame, column: str, k: int, cells: int = 1024, few: i
         low, high = row["low"], row["high"]
 
 
-def threshold(weighed: DataFrame, accept: float = ACCEPT) -> float:
+def threshold(weighed: DataFrame, cut: float) -> float:
     """The key of the last document kept."""
-    k = weighed.where(F.col("__log_weight") >= float(np.log(accept / (1 - accept)))).count()
+    k = weighed.where(F.col("__log_weight") >= cut).count()
     return kth_greatest(weighed, "__gumbel_key", k) if k else float("inf")
 
 
 def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, log_weight, gumbel_key, kept) of the documents that are kept."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    weighed = settle(Judge(docs, labels).weights(rows).drop("text"))
-    kept = weighed.where(F.col("__gumbel_key") >= threshold(weighed))
+    judge = Judge(docs, labels)
+    weighed = settle(judge.weights(rows).drop("text"))
+    kept = weighed.where(F.col("__gumbel_key") >= threshold(weighed, judge.cut))
     return kept.select("doc_id", F.col("__log_weight").alias("log_weight"), F.col("__gumbel_key").alias("gumbel_key"), F.lit(True).alias("kept"))
 
 
@@ -234,5 +269,5 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with their own columns."""
     judge = Judge(docs, labels)
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    least = threshold(settle(judge.weights(slim).select("__log_weight", "__gumbel_key")))
+    least = threshold(settle(judge.weights(slim).select("__log_weight", "__gumbel_key")), judge.cut)
     return judge.weights(docs).where(F.col("__gumbel_key") >= least).select(*[F.col(f"`{c}`") for c in docs.columns])

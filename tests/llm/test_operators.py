@@ -393,6 +393,34 @@ def test_quality(judged):
     assert quality.sampled(docs.limit(0), labels).count() == 0
 
 
+def test_toxic_documents_go(spark):
+    rude = [f"grunk{c}" for c in "abcdefghij"]
+    said = lambda n: " ".join(rude[(n * 3 + k) % 10] for k in range(3))
+    toxic = [(2000 + n, f"{prose(60, 9000 + n)} {said(n)} {prose(500, 9500 + n)}", 1, 1) for n in range(120)]
+    clean = [(n, prose(563, 15000 + n), 1, 0) for n in range(400)]
+    bad = [(3000 + n, "!! ".join(prose(40, 17000 + n).upper().split()) + "!!", 0, 0) for n in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in toxic + clean + bad], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(r[0], *r[2:]) for r in toxic[:60] + clean[:200] + bad[:30]], "doc_id long, quality int, toxic int")
+    ids = {r.doc_id for r in quality.sampled(docs, labels).collect()}
+    assert len(ids & set(range(2000, 2120))) <= 6 and len(ids & set(range(400))) >= 392 and len(ids & set(range(3000, 3060))) <= 1
+
+
+def test_documents_likelier_bad_than_good_go(spark):
+    clean = [(n, prose(60, 5000 + n), 1) for n in range(300)]
+    doubtful = [(1000 + n, prose(60, 8000 + n).upper().replace(" ", "; "), int(n % 10 < 3)) for n in range(200)]
+    docs = spark.createDataFrame([r[:2] for r in clean + doubtful], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(*r[::2], 0) for r in clean[:200] + doubtful[:150]], "doc_id long, quality int, toxic int")
+    ids = {r.doc_id for r in quality.sampled(docs, labels).collect()}
+    assert len(ids & set(range(300))) >= 294 and len(ids & set(range(1000, 1200))) <= 10
+
+
+def test_best_cut():
+    weight = np.array([-3.0, -1.0, 0.5, 1.0, 4.0, 5.0])
+    assert quality.best_cut(weight, np.array([False, False, False, False, True, True])) == 2.5
+    assert quality.best_cut(weight, np.array([False, True, False, False, True, True])) == 2.5
+    assert quality.best_cut(np.zeros(3), np.array([False, True, True])) == float("-inf")
+
+
 def test_kth_greatest(spark):
     rng = np.random.default_rng(6)
     keys = np.concatenate([rng.normal(size=9000), np.full(500, 0.25), [1e6, -1e6]])
