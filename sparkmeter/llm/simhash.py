@@ -7,6 +7,12 @@ read as sorted runs; within a bucket only the links of a spanning forest leave t
 more than BUCKET fingerprints goes on, whole, to a second index that cuts the other 32 bits the same way: its keys fix
 46 of 64 bits, so no bucket there can hold more than 2**18 different fingerprints.
 
+representatives() also joins documents whose sets of WIDE-word shingles have a Jaccard index of SIMILAR or more, which
+most near copies with changed words are, though their fingerprints differ by more bits than segments can be cut for.
+Candidates share one of BANDS keys of ROWS min-hashes (a pair at SIMILAR does in all but 4 of 10,000 cases) and are
+verified by their exact sets: first each with the least document of its key, then all pairs of the keys whose documents
+that leaves apart. Only there, PART documents of one key are compared in a task with each other and with its least one.
+
 Defined cases: null or blank text has fingerprint zero and links like any other; equal fingerprints are one node,
 however many documents share them; a null doc_id keeps its row and takes the smallest id of its component (null if
 there is none); repeated rows are returned as often as they come; other columns of the input play no part.
@@ -26,23 +32,31 @@ from .common import components, settle
 
 DISTANCE = 3
 BUCKET = 8192
+WIDE, SIMILAR = 5, 0.8
+BANDS, ROWS = 20, 5
+PART = 4096
+TURNS = np.random.default_rng(11).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _shingles(words: list[bytes], width: int) -> np.ndarray:
+    """Hashes of each run of so many words; of all words if they are fewer."""
+    n = len(words)
+    line = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
+    if n < width:
+        return np.array([digest(line, 42)], dtype=np.uint64)
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=n)
+    ends = np.cumsum(lengths + 1) - 1
+    starts = ends - lengths
+    return np.array([digest(line[a:b], 42) for a, b in zip(starts[: n - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)], dtype=np.uint64)
 
 
 def fingerprint(text: bytes) -> int:
     """64 bits over the 3-word shingles of a text; the result is unsigned."""
     words = text.lower().split()
-    n = len(words)
-    if not n:
+    if not words:
         return 0
-    line = b" ".join(words)
-    digest = xxhash.xxh64_intdigest
-    if n < 3:
-        hashes = np.array([digest(line, 42)], dtype=np.uint64)
-    else:
-        lengths = np.fromiter(map(len, words), dtype=np.int64, count=n)
-        ends = np.cumsum(lengths + 1) - 1
-        starts = ends - lengths
-        hashes = np.array([digest(line[a:b], 42) for a, b in zip(starts[:-2].tolist(), ends[2:].tolist(), strict=True)], dtype=np.uint64)
+    hashes = _shingles(words, 3)
     bits = np.unpackbits(hashes.byteswap().view(np.uint8).reshape(-1, 8), axis=1)
     on = bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)
     return int.from_bytes(np.packbits(on).tobytes(), "big")
@@ -185,13 +199,106 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return prints.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text_class, keys): a hash of all words, and the keys of the bands."""
+    for batch in batches:
+        classes, keys = [], np.empty((batch.num_rows, BANDS), dtype=np.int64)
+        for i, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
+            words = (text or b"").lower().split()
+            classes.append(xxhash.xxh64_intdigest(b" ".join(words), 7) - (1 << 63))
+            h = np.unique(_shingles(words, WIDE))
+            least = np.full(len(TURNS), np.iinfo(np.uint64).max, dtype=np.uint64)
+            for at in range(0, len(h), 4096):
+                least = np.minimum(least, (h[at : at + 4096, None] * TURNS).min(axis=0))
+            keys[i] = [xxhash.xxh64_intdigest(band.tobytes(), b) - (1 << 63) for b, band in enumerate(least.reshape(BANDS, ROWS))]
+        width = np.arange(0, (batch.num_rows + 1) * BANDS, BANDS, dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(classes, pa.int64()), pa.ListArray.from_arrays(pa.array(width), pa.array(keys.ravel()))], names=["doc_id", "text_class", "keys"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.unique(_shingles((t or b"").lower().split(), WIDE)).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "grams"])
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets have a Jaccard index of SIMILAR or more."""
+    if min(len(x), len(y)) < SIMILAR * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= SIMILAR * (len(x) + len(y) - both)
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        left, right = (batch.column(k).to_pylist() for k in (2, 3))
+        ok = pa.array([_alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(left, right, strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(k).filter(ok) for k in (0, 1)], names=["a", "b"])
+
+
+def _joined(nodes: list[int], roots: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between all documents of one key that are alike, but for those that others join already."""
+    root, out = np.array(roots), []
+    for i in range(len(nodes) - 1):
+        for j in range(i + 1, len(nodes)):
+            if root[i] != root[j] and _alike(sets[i], sets[j]):
+                root[root == root[j]] = root[i]
+                out.append((nodes[i], nodes[j]))
+    return out
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, part, node, root, grams) sorted by key and part; gives links (a, b)."""
+    now, held = None, []
+
+    def made() -> pa.RecordBatch:
+        found = _joined([h[0] for h in held], [h[1] for h in held], [np.frombuffer(h[2], np.uint64) for h in held])
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    for batch in batches:
+        for key, part, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (key, part) != now:
+                if len(held) > 1:
+                    yield made()
+                now, held = (key, part), []
+            held.append(row)
+    if len(held) > 1:
+        yield made()
+
+
+def similar(docs: DataFrame) -> DataFrame:
+    """(a, b): links that join all documents of (doc_id, text) with SIMILAR sets, directly or through each other; a null id has none."""
+    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    banded = settle(own.mapInArrow(_banded, "doc_id long, text_class long, keys array<long>"))
+    classes = banded.groupBy("text_class").agg(F.min("doc_id").alias("node"))
+    same = banded.join(classes, "text_class").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    # one document of each text goes on
+    keyed = banded.join(classes, ["text_class"]).where("doc_id = node").select(F.explode("keys").alias("key"), "node").distinct()
+    shared = keyed.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("m")).where("m > 1")
+    met = settle(keyed.join(shared, "key"))
+    pairs = met.where("node <> lead").select("node", "lead").distinct()
+    named = met.select(F.col("node").alias("doc_id")).distinct()
+    sets = settle(own.join(named, "doc_id", "left_semi").mapInArrow(_sets, "node long, grams binary"))
+    lead = sets.select(F.col("node").alias("lead"), F.col("grams").alias("theirs"))
+    first = settle(pairs.join(sets, "node").join(lead, "lead").select("node", "lead", "grams", "theirs").mapInArrow(_verified, "a long, b long"))
+    roots = components(first)
+    placed = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    parts = F.ceil(F.col("m") / F.lit(PART)).cast("int")
+    some = F.when(F.col("node") == F.col("lead"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), parts).cast("int")))
+    rest = placed.join(split, "key").select("key", F.explode(some).alias("part"), "node", "root").join(sets, "node").select("key", "part", "node", "root", "grams")
+    more = rest.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_apart, "a long, b long")
+    return same.unionByName(first).unionByName(more)
+
+
 def representatives(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """The rows of docs that stand for their component, with all columns: the row with the component's smallest doc_id.
 
-    Rows that share a doc_id are one document, of which one row stays; rows without one have nothing to stand for and stay.
+    Components are those of near_duplicates() joined by the links of similar(). Rows that share a doc_id are one document,
+    of which one row stays; rows without one have nothing to stand for and stay.
     """
-    own = near_duplicates(docs, bucket)
-    first = own.where("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
+    own = near_duplicates(docs, bucket).where("doc_id is not null").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    gone = components(own.unionByName(similar(docs))).select(F.col("node").alias("__gone"))
     named = docs.where("doc_id is not null")
-    kept = named.join(first, named.doc_id == F.col("__first"), "left_semi").dropDuplicates(["doc_id"])
+    kept = named.join(gone, named.doc_id == F.col("__gone"), "left_anti").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
