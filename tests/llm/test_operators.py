@@ -335,6 +335,18 @@ def test_page_blocks():
     assert pages.blocks("") == [] and pages.blocks("<p>a<b>c</p>d") == [(0, "ac"), (0, "d")] and pages.blocks("x < y & z") == [(0, "x < y & z")]
 
 
+def test_names_of_layouts_and_slugs_drop_no_article():
+    inside = lambda page: [t for s, t in pages.blocks(page) if s == pages.INSIDE]
+    for wrapper in ("layout has-sidebar", "no-sidebar", "content sidebar", "ad-free"):
+        assert inside(f"<div class='{wrapper}'><div class='ad'>Buy</div><article><p>Own text</p></article></div><p>end</p>") == ["Own text"], wrapper
+    assert inside("<form id='aspnet'><main><p>Own text</p></main></form>") == ["Own text"]
+    assert inside("<main><p>Own text</p></main><div class='related-posts'><article>Teaser</article></div>") == ["Own text"]
+    assert pages.blocks("<p>A long plain text</p><div class='related'><article>Teaser</article></div>") == [(0, "A long plain text"), (0, "Teaser")]
+    page = "<article><section id='related-work'><h2 id='social'>Related</h2><p class='notice'>One</p></section><h2 id='notice-period'>Two</h2><section id='social-impact'>Three</section><div class='ad-slot'>Buy</div><div class='related-posts'>More</div></article>"
+    assert inside(page) == ["Related", "One", "Two", "Three"]
+    assert inside("<aside class='x'><article>Card</article></aside><article>Own</article>") == ["Own"]
+
+
 def test_pages(spark):
     plain = [(n, f"http://h.example/{n}", f"<div>{LINES[0]}</div><p>{prose(30, n)}</p><div>{LINES[1]}</div>") for n in range(6)]
     odd = [(100, None, None), (101, "http://[bad", "<p>only text</p>"), (102, "http://h.example/m", MARKED), (102, "http://h.example/m", MARKED), (103, "http://h.example/m2", MARKED), (104, "http://h.example/m3", MARKED), (None, "http://lone.example", "words " * 20_000)]
