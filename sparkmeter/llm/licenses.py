@@ -1,6 +1,6 @@
 """License scan: sparse TF-IDF cosine to templates, then inheritance from the nearest licence file above.
 
-Units of a file are its lines, neighbouring pairs and triples of lines (notices wrap), and the whole text; only units
+Units of a file are runs of up to LINES lines (notices wrap), and the whole text; only units
 with a cue word of licences are weighed. Terms are lower-cased runs of letters, digits and dots; a term's weight is
 (1 + log tf) * idf, idf being log((N + 1) / (df + 1)) + 1 from the document frequencies of the template terms over all
 files; terms of no template count with the idf of an unseen term, so surrounding text lowers the cosine. A file's own
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import settle
 
 COSINE = 0.75
+LINES = 5
 # Short forms of the notices by which each licence is given.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -45,6 +46,17 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3"),
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation"),
+    ("LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 2.1"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1-or-later"),
+    ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0-or-later"),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-or-later"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"),
+    ("EPL-2.0", "SPDX-License-Identifier: EPL-2.0"),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License"),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
@@ -106,7 +118,7 @@ class Scanner:
             return None, 0.0
         lines = text.split("\n")
         cued = {i for i, line in enumerate(lines) if CUE.search(line)}
-        units = {(a, b) for i in cued for a in range(max(0, i - 2), i + 1) for b in range(i + 1, min(len(lines), a + 3) + 1)}
+        units = {(a, b) for i in cued for a in range(max(0, i - LINES + 1), i + 1) for b in range(i + 1, min(len(lines), a + LINES) + 1)}
         split = {i: terms(lines[i]) for i in {k for a, b in units for k in range(a, b)}}
         best = [self.best([t for k in range(a, b) for t in split[k]]) for a, b in units]
         best = [x for x in [*best, self.best(terms(text))] if x and x[0] >= COSINE]

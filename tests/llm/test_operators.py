@@ -210,6 +210,19 @@ def test_licenses(spark, docs, none):
     assert licenses.scanned(licenses.as_files(none)).count() == 0 and licenses.scanned(licenses.as_files(docs)).count() == len(ODD)
 
 
+def test_headers_of_each_version():
+    wrapped = {
+        "GPL-2.0": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.",
+        "GPL-3.0": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+        "LGPL-2.1": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+        "LGPL-3.0": "This library is free software: you can redistribute it and/or modify\nit under the terms of the GNU Lesser General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+        "AGPL-3.0": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as\npublished by the Free Software Foundation, either version 3 of the\nLicense, or (at your option) any later version.",
+    }
+    scanner = licenses.Scanner(10, {})
+    for name, text in wrapped.items():
+        assert scanner.scan("int x;\n\n * " + text.replace("\n", "\n * ") + "\n\nint main() {}")[0] == name, name
+
+
 # 4 and 10 ----------------------------------------------------------------------------------------------------------
 
 
