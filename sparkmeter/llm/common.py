@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +77,28 @@ def discard(df: DataFrame | None) -> None:
         _written.remove(path)
 
 
+def _trim() -> None:
+    """Give freed memory of this process back: workers are reused, by tasks that need it elsewhere."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
+def tidy(work):
+    """A function of a group or of batches that leaves no freed memory with its worker when it is done."""
+
+    @wraps(work)
+    def done(*args, **named):
+        try:
+            return work(*args, **named)
+        finally:
+            _trim()
+
+    return done
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the links (a, b), both long.
 

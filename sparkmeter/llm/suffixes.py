@@ -1,25 +1,27 @@
 """Suffix-array dedup: remove every byte covered by a SPAN-byte string that also starts earlier in the table.
 
-The order of suffixes is by document (doc_id, then text for rows that share one, null last) and start. A SPAN-byte
-window is known by its anchor: the leftmost GRAM-byte string in it with the least hash. Equal windows have equal anchors
-at equal offsets, so it is enough to order the suffixes that begin at anchors, each with the few bytes before it that
-its own windows reach back over; no window is left out.
-
-1. Documents are dealt over chunks of about CHUNK bytes. Each chunk sends its anchors' hashes, once each, to buckets;
-   a bucket answers which occur more than once in the table. (Anchors that occur once cannot repeat: nothing else is
-   left out by this.)
+The order of suffixes is by document (doc_id, null last; rows that share one in the order of the table) and start. A
+SPAN-byte window is known by its anchor: the leftmost GRAM-byte string in it with the least hash. Equal windows have
+equal anchors at equal offsets, so it is enough to order the suffixes that begin at anchors, each with the few bytes
+before it that its own windows reach back over; no window is left out.
+
+1. Rows are dealt over chunks of about CHUNK bytes, by a hash of id and row number, so that rows without an id or with
+   one id spread. Each chunk gives its anchors' hashes, once each with their count; a window over equal hashes tells
+   which occur more than once in the table. (Anchors that occur once cannot repeat: nothing else is left out by this.)
 2. Each chunk sorts the suffixes at its recurring anchors. Equal ones are settled in the chunk: the first stands for
    all, so a passage in a third of all documents leaves a chunk once. The sorted runs travel front-coded (length of the
    prefix shared with the one before, and the rest). Anchors with more than HOT occurrences are split into their windows,
    which are dealt by their whole SPAN bytes, so that no key can gather what only shares an anchor.
-3. Each part merges its runs by a loser tree whose players carry the length of the prefix they share with the last
-   winner: the longer one wins without a look at the bytes, and only bytes beyond a known prefix are ever compared. The
-   merged order gives the lengths of common prefixes; within a group that shares an anchor, windows that are equal and
-   not first give removed spans, which go back to their chunk and are united there.
+3. Runs are merged in levels of FAN: a chunk sends at most FAN runs, a merge takes at most FAN and sends FAN on, until
+   the parts are as many as the chunks; so the rows exchanged grow in proportion to the chunks. Each merge is a loser
+   tree whose players carry the length of the prefix they share with the last winner: the longer one wins without a look
+   at the bytes, and only bytes beyond a known prefix are ever compared. In the last level the merged order gives the
+   lengths of common prefixes; within a group that shares an anchor, windows that are equal and not first give removed
+   spans, as places in their chunk, where they are united.
 
 Defined cases: null text is empty; texts under SPAN bytes keep all; rows that share a doc_id are documents one after
-another in the order of their texts; a null doc_id comes after all others; an empty table gives no rows; other columns
-of the input play no part.
+another; a null doc_id comes after all others; an empty table gives no rows; other columns of the input play no part.
+The input has to give its rows in the same order whenever it is read (a file does, and so does a checkpoint).
 """
 
 from __future__ import annotations
@@ -31,13 +33,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 SPAN = 100
 GRAM = 48
-CHUNK = 12 << 20
+CHUNK = 5 << 20
 HOT = 256
+FAN = 256
 SEGMENT = 1 << 17
 LAST = (1 << 63) - 1
 
@@ -106,63 +111,34 @@ class Chunk:
     """The documents of one chunk in their order, as one run of bytes."""
 
     def __init__(self, table: pa.Table) -> None:
-        ids = [LAST if d is None else d for d in table.column("doc_id").to_pylist()]
-        texts = [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
-        self.order = order
-        self.ids = np.array([ids[i] for i in order], dtype=np.int64)
-        self.texts = [texts[i] for i in order]
-        self.nth = np.zeros(len(ids), dtype=np.int32)
-        for i in range(1, len(ids)):
-            if self.ids[i] == self.ids[i - 1]:
-                self.nth[i] = self.nth[i - 1] + 1
+        ids = np.array([LAST if d is None else d for d in table.column("doc_id").to_pylist()], dtype=np.int64)
+        rows = table.column("row").to_numpy()
+        texts = table.column("text").cast(pa.binary()).to_pylist()
+        self.order = np.lexsort((rows, ids)).tolist()
+        self.ids, self.rows = ids[self.order], rows[self.order]
+        self.texts = [texts[i] or b"" for i in self.order]
         self.ends = np.cumsum([len(t) for t in self.texts], dtype=np.int64)
         self.whole = b"".join(self.texts)
         self.data = np.frombuffer(self.whole, dtype=np.uint8)
 
 
-def _hashes_out(table: pa.Table, buckets: int) -> pa.Table:
+@tidy
+def _hashes_out(table: pa.Table) -> pa.Table:
     chunk = Chunk(table)
     _, h, _, _ = anchors(chunk.data, chunk.ends)
     own, times = np.unique(h, return_counts=True)
-    many = times > 1
-    # own is in order, so buckets are slices of it
-    cuts = np.array([(b << 64) // buckets for b in range(1, buckets)], dtype=np.uint64)
-    all_cut = [0, *np.searchsorted(own, cuts).tolist(), len(own)]
-    more, count = own[many], times[many].astype(np.uint32)
-    more_cut = [0, *np.searchsorted(more, cuts).tolist(), len(more)]
-    rows = [b for b in range(buckets) if all_cut[b] < all_cut[b + 1]]
     number = table.column("chunk")[0].as_py()
-    return pa.table({
-        "bucket": pa.array(rows, pa.int32()),
-        "chunk": pa.array([number] * len(rows), pa.int32()),
-        "own": pa.array([own[all_cut[b] : all_cut[b + 1]].tobytes() for b in rows], pa.binary()),
-        "more": pa.array([more[more_cut[b] : more_cut[b + 1]].tobytes() for b in rows], pa.binary()),
-        "times": pa.array([count[more_cut[b] : more_cut[b + 1]].tobytes() for b in rows], pa.binary()),
-    })
-
-
-def _recurring(table: pa.Table) -> pa.Table:
-    owns = [np.frombuffer(x, np.uint64) for x in table.column("own").to_pylist()]
-    mores = [np.frombuffer(x, np.uint64) for x in table.column("more").to_pylist()]
-    times = [np.frombuffer(x, np.uint32) for x in table.column("times").to_pylist()]
-    values, counts = np.unique(np.concatenate(owns), return_counts=True)
-    counts = counts.astype(np.int64)
-    for m, t in zip(mores, times, strict=True):
-        counts[np.searchsorted(values, m)] += t.astype(np.int64) - 1
-    repeated, hot = values[counts > 1], values[counts > HOT]
-    mine = [x[np.isin(x, repeated, assume_unique=True)] for x in owns]
-    return pa.table({
-        "chunk": table.column("chunk"),
-        "repeated": pa.array([x.tobytes() for x in mine], pa.binary()),
-        "hot": pa.array([x[np.isin(x, hot, assume_unique=True)].tobytes() for x in mine], pa.binary()),
-    })
-
-
-_RUN = "part int, kind int, chunk int, lcp binary, size binary, rest binary, left_size binary, lefts binary, doc binary, nth binary, at binary, low binary, high binary"
+    return pa.table({"chunk": pa.array(np.full(len(own), number, np.int32)), "h": pa.array(own.view(np.int64)), "n": pa.array(times.astype(np.int64))})
+
+
+#: lot: the chunks whose runs meet in one merge; the others are arrays of the run's rows, packed.
+_RUN = "part long, lot int, kind int, chunk binary, lcp binary, size binary, rest binary, left_size binary, lefts binary, doc binary, row binary, at binary, low binary, high binary"
 _COLUMNS = [c.split()[0] for c in _RUN.split(", ")]
-#: A row of kind SPANS holds removed spans: doc, nth, at (start), low (end).
+_KINDS = pa.schema([(c.split()[0], {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]]) for c in _RUN.split(", ")])
+#: A row of kind SPANS holds removed spans of chunks: chunk, at (start), doc (end).
 PLAIN, WINDOWS, SPANS = 0, 1, 2
+#: What suffixes of one group share.
+TOGETHER = {PLAIN: GRAM, WINDOWS: SPAN}
 
 
 def _shared(a: bytes, b: bytes, known: int) -> int:
@@ -183,7 +159,7 @@ def _whole(raw: bytes | None) -> bytes | None:
 
 
 def front_coded(rows: list[tuple]) -> dict[str, bytes]:
-    """A run of sorted (right, left, doc, nth, at, low, high)."""
+    """A run of sorted (right, left, doc, row, at, low, high, chunk)."""
     lcp, rests, before = bytearray(), [], b""
     for row in rows:
         right = row[0]
@@ -194,75 +170,76 @@ def front_coded(rows: list[tuple]) -> dict[str, bytes]:
     column = lambda i, kind: np.array([r[i] for r in rows], dtype=kind).tobytes()
     return {
         "lcp": bytes(lcp), "size": bytes(map(len, rests)), "rest": b"".join(rests), "left_size": bytes(len(r[1]) for r in rows), "lefts": b"".join(r[1] for r in rows),
-        "doc": column(2, np.int64), "nth": column(3, np.int32), "at": column(4, np.int64), "low": column(5, np.uint8), "high": column(6, np.uint8),
+        "doc": column(2, np.int64), "row": column(3, np.int64), "at": column(4, np.int32), "low": column(5, np.uint8), "high": column(6, np.uint8), "chunk": column(7, np.int32),
     }
 
 
-def _spans_row(part: int, chunk: int, doc: np.ndarray, nth: np.ndarray, start: np.ndarray, end: np.ndarray) -> dict:
-    """Spans of a chunk's documents in order, those that touch joined."""
-    order = np.lexsort((start, nth, doc))
-    doc, nth, start, end = doc[order].astype(np.int64), nth[order].astype(np.int32), start[order].astype(np.int64), end[order].astype(np.int64)
-    same = np.append(False, (doc[1:] == doc[:-1]) & (nth[1:] == nth[:-1]))
-    # ends run on within a document only: restart the running maximum at each document by an offset that grows with it
-    group = np.cumsum(~same)
-    step = int(end.max(initial=0)) + 1
-    far = np.maximum.accumulate(end + group * step) - group * step
-    first = ~(same & np.append(False, start[1:] <= far[:-1]))
-    last = np.append(np.flatnonzero(first)[1:] - 1, len(doc) - 1) if len(doc) else np.empty(0, np.int64)
-    row = {"part": part, "kind": SPANS, "chunk": chunk}
-    return row | {c: _pressed(x.tobytes()) for c, x in (("doc", doc[first]), ("nth", nth[first]), ("at", start[first]), ("low", far[last]))}
+def _packed(part: int, lot: int, kind: int, columns: dict[str, bytes]) -> dict:
+    return {"part": part, "lot": lot, "kind": kind} | {c: _pressed(x) for c, x in columns.items()}
+
 
+def _united(chunk: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans in order, those that touch joined; a chunk is far from the next one."""
+    a, b = chunk.astype(np.int64) << 32, None
+    a, b = a + start, a + end
+    order = np.argsort(a, kind="stable")
+    a, far = a[order], np.maximum.accumulate(b[order])
+    first = np.append(True, a[1:] > far[:-1])
+    last = np.append(np.flatnonzero(first)[1:] - 1, len(a) - 1)
+    return (a[first] >> 32).astype(np.int32), (a[first] & 0xFFFFFFFF).astype(np.int32), (far[last] & 0xFFFFFFFF).astype(np.int32)
 
-def _runs_out(table: pa.Table, flags: pa.Table, parts: int) -> pa.Table:
-    kinds = pa.schema([(n, pa.int32() if n in ("part", "kind", "chunk") else pa.binary()) for n in _COLUMNS])
+
+@tidy
+def _runs_out(table: pa.Table, flags: pa.Table, parts: int, fan: int) -> pa.Table:
     if not table.num_rows or not flags.num_rows:
-        return kinds.empty_table()
+        return _KINDS.empty_table()
     number = table.column("chunk")[0].as_py()
+    lot = number // fan
     chunk = Chunk(table)
     q, h, low, high = anchors(chunk.data, chunk.ends)
-    known = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in flags.column("repeated").to_pylist()]))
-    hot = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in flags.column("hot").to_pylist()]))
+    known, warm = flags.column("h").to_numpy().view(np.uint64), flags.column("hot").to_numpy()
     at = np.isin(h, known)
     q, h, low, high = q[at], h[at], low[at], high[at]
-    is_hot = np.isin(h, hot)
-    begins = np.append(0, chunk.ends[:-1])
+    is_hot = np.isin(h, known[warm])
     doc = np.searchsorted(chunk.ends, q, "right")
-    whole, runs, first_of = chunk.whole, defaultdict(list), {}
-    lost: list[tuple[int, int, int]] = []
+    whole, runs, first_of = chunk.whole, defaultdict(list), set()
+    lost: list[tuple[int, int]] = []
     place = (h >> np.uint64(32)).astype(np.int64) % parts
-    ids, nths = chunk.ids.tolist(), chunk.nth.tolist()
-    begin_of = begins.tolist()
-    for p, d, a, b, warm, to in zip(q.tolist(), doc.tolist(), low.tolist(), high.tolist(), is_hot.tolist(), place.tolist(), strict=True):
+    ids, rows = chunk.ids.tolist(), chunk.rows.tolist()
+    for p, d, a, b, split, to in zip(q.tolist(), doc.tolist(), low.tolist(), high.tolist(), is_hot.tolist(), place.tolist(), strict=True):
         # every window of a later equal stretch starts earlier too: here, in this chunk, is where that is settled
         stretch = whole[a : b + SPAN]
         mark = (stretch, p - a)
         if mark in first_of:
-            lost.append((d, a, b + SPAN))
+            lost.append((a, b + SPAN))
             continue
-        first_of[mark] = None
-        begin = begin_of[d]
-        if not warm:
-            runs[PLAIN, to].append((whole[p : b + SPAN], whole[a:p][::-1], ids[d], nths[d], p - begin, p - b, p - a))
+        first_of.add(mark)
+        if not split:
+            runs[PLAIN, to].append((whole[p : b + SPAN], whole[a:p][::-1], ids[d], rows[d], p, p - b, p - a, number))
             continue
         for s in range(a, b + 1):
             window = whole[s : s + SPAN]
             if window in first_of:
-                lost.append((d, s, s + SPAN))
+                lost.append((s, s + SPAN))
             else:
-                first_of[window] = None
-                runs[WINDOWS, hash_of(window) % parts].append((window, b"", ids[d], nths[d], s - begin, 0, 0))
-    rows = []
-    for (kind, part), run in runs.items():
+                first_of.add(window)
+                runs[WINDOWS, hash_of(window) % parts].append((window, b"", ids[d], rows[d], s, 0, 0, number))
+    first_of.clear()
+    out = []
+    for key in list(runs):
+        run = runs.pop(key)
         run.sort()
-        rows.append({"part": part, "kind": kind, "chunk": number} | {c: _pressed(x) for c, x in front_coded(run).items()})
+        out.append(_packed(key[1], lot, key[0], front_coded(run)))
     if lost:
-        d, s, e = (np.array(x, dtype=np.int64) for x in zip(*lost, strict=True))
-        rows.append(_spans_row(number % parts, number, chunk.ids[d], chunk.nth[d], s - begins[d], e - begins[d]))
-    return pa.Table.from_pylist(rows, schema=kinds)
+        start, end = (np.array(x, dtype=np.int64) for x in zip(*lost, strict=True))
+        _, start, end = _united(np.zeros(len(start), np.int64), start, end)
+        spans = {"chunk": np.full(len(start), number, np.int32), "at": start, "doc": end}
+        out.append(_packed(number % parts, lot, SPANS, {c: x.tobytes() for c, x in spans.items()}))
+    return pa.Table.from_pylist(out, schema=_KINDS)
 
 
 def hash_of(window: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(window, digest_size=4).digest(), "big")
+    return int.from_bytes(hashlib.blake2b(window, digest_size=7).digest(), "big")
 
 
 class Run:
@@ -270,10 +247,10 @@ class Run:
 
     def __init__(self, row: dict) -> None:
         self.row, self.n = row, len(row["lcp"])
-        self.doc, self.nth, self.at = (np.frombuffer(row[c], k).tolist() for c, k in (("doc", np.int64), ("nth", np.int32), ("at", np.int64)))
+        self.doc, self.rows, self.at, self.chunk = (np.frombuffer(row[c], k) for c, k in (("doc", np.int64), ("row", np.int64), ("at", np.int32), ("chunk", np.int32)))
         self.low, self.high = row["low"], row["high"]
-        self.ends = np.cumsum(np.frombuffer(row["size"], np.uint8), dtype=np.int64).tolist()
-        self.left_ends = np.cumsum(np.frombuffer(row["left_size"], np.uint8), dtype=np.int64).tolist()
+        self.ends = np.cumsum(np.frombuffer(row["size"], np.uint8), dtype=np.int64)
+        self.left_ends = np.cumsum(np.frombuffer(row["left_size"], np.uint8), dtype=np.int64)
         self.i, self.right = -1, b""
 
     def next(self) -> int:
@@ -286,12 +263,13 @@ class Run:
         return n
 
     def now(self) -> tuple:
+        """(left, doc, row, at, low, high, chunk)"""
         i, end = self.i, self.left_ends[self.i]
-        return self.row["lefts"][end - self.row["left_size"][i] : end], self.doc[i], self.nth[i], self.at[i], self.low[i], self.high[i], self.row["chunk"]
+        return self.row["lefts"][end - self.row["left_size"][i] : end], int(self.doc[i]), int(self.rows[i]), int(self.at[i]), self.low[i], self.high[i], int(self.chunk[i])
 
 
-def merged(runs: list[Run]) -> Iterator[tuple[int, tuple]]:
-    """(length shared with the row before, row) in the order of all runs, by a loser tree.
+def merged(runs: list[Run]) -> Iterator[tuple[int, bytes, tuple]]:
+    """(length shared with the row before, suffix, row) in the order of all runs, by a loser tree.
 
     share[r] is what the head of run r shares with the last winner. Of two heads the one that shares more comes first;
     only if they share equally are bytes compared, from there on; the loser then shares with the winner what was found.
@@ -325,9 +303,11 @@ def merged(runs: list[Run]) -> Iterator[tuple[int, tuple]]:
         winner, losers[node] = play(build(2 * node), build(2 * node + 1))
         return winner
 
+    if not k:
+        return
     top = build(1) if k > 1 else 0
     while alive[top]:
-        yield share[top], runs[top].now()
+        yield share[top], runs[top].right, runs[top].now()
         n = runs[top].next()
         alive[top], share[top] = n >= 0, max(n, 0)
         node = (top + k) >> 1
@@ -371,16 +351,33 @@ def _large(group: list[tuple], lcps: list[int], give) -> None:
             give(group[j], o, o)
 
 
+def _unpacked(rows: list[dict], kind: int) -> list[Run]:
+    return [Run(r | {c: _whole(r[c]) for c in _COLUMNS[3:]}) for r in rows if r["kind"] == kind]
+
+
+@tidy
+def _merge_on(table: pa.Table, level: int, fan: int) -> pa.Table:
+    """Merges of one part and lot, as runs of the next level's parts."""
+    rows = table.to_pylist()
+    part, lot = rows[0]["part"] * fan, rows[0]["lot"] // fan
+    out = [r | {"part": part, "lot": lot} for r in rows if r["kind"] == SPANS]
+    for kind in (PLAIN, WINDOWS):
+        runs: dict[int, list[tuple]] = defaultdict(list)
+        for _, right, row in merged(_unpacked(rows, kind)):
+            runs[hash_of(right[: TOGETHER[kind]]) // fan**level % fan].append((right, *row))
+        out += [_packed(part + digit, lot, kind, front_coded(run)) for digit, run in runs.items()]
+    return pa.Table.from_pylist(out, schema=_KINDS)
+
+
+@tidy
 def _merge_part(table: pa.Table) -> pa.Table:
     rows = table.to_pylist()
-    part = rows[0]["part"]
-    spans: dict[int, list[tuple]] = defaultdict(list)
+    spans: list[tuple[int, int, int]] = []
 
     def give(row: tuple, most: int, least: int) -> None:
-        spans[row[6]].append((row[1], row[2], row[3] - most, row[3] - least + SPAN))
+        spans.append((row[6], row[3] - most, row[3] - least + SPAN))
 
-    for kind, together in ((PLAIN, GRAM), (WINDOWS, SPAN)):
-        runs = [Run(r | {c: _whole(r[c]) for c in _COLUMNS[3:]}) for r in rows if r["kind"] == kind]
+    for kind, together in TOGETHER.items():
         group: list[tuple] = []
         lcps: list[int] = []
 
@@ -395,7 +392,7 @@ def _merge_part(table: pa.Table) -> pa.Table:
             else:
                 (_small if len(group) <= 12 else _large)(group, lcps, give)
 
-        for n, row in merged(runs) if runs else ():
+        for n, _, row in merged(_unpacked(rows, kind)):
             if n < together:
                 close()
                 group.clear()
@@ -403,10 +400,11 @@ def _merge_part(table: pa.Table) -> pa.Table:
             group.append(row)
             lcps.append(n)
         close()
-    out = [{c: r[c] for c in ("chunk", "doc", "nth", "at", "low")} for r in rows if r["kind"] == SPANS]
-    for chunk, found in spans.items():
-        out.append({c: x for c, x in _spans_row(part, chunk, *map(np.array, zip(*found, strict=True))).items() if c in ("chunk", "doc", "nth", "at", "low")})
-    return pa.Table.from_pylist(out, schema=pa.schema([("chunk", pa.int32()), *((c, pa.binary()) for c in ("doc", "nth", "at", "low"))]))
+    found = [np.array(spans, dtype=np.int64).reshape(-1, 3).T]
+    found += [np.stack([np.frombuffer(_whole(r[c]), np.int32).astype(np.int64) for c in ("chunk", "at", "doc")]) for r in rows if r["kind"] == SPANS]
+    every = np.concatenate(found, axis=1)
+    columns = _united(*every) if every.shape[1] else every.astype(np.int32)
+    return pa.table(dict(zip(("chunk", "at", "stop"), map(pa.array, columns), strict=True)))
 
 
 class Kept:
@@ -414,15 +412,11 @@ class Kept:
 
     def __init__(self, table: pa.Table, spans: pa.Table) -> None:
         self.chunk = chunk = Chunk(table)
-        self.begins = begins = np.append(0, chunk.ends[:-1])
+        self.begins = np.append(0, chunk.ends[:-1])
         change = np.zeros(len(chunk.data) + 1, dtype=np.int32)
-        place = {(i, n): k for k, (i, n) in enumerate(zip(chunk.ids.tolist(), chunk.nth.tolist(), strict=True))}
-        for row in spans.to_pylist():
-            doc, nth, at, end = (np.frombuffer(_whole(row[c]), k) for c, k in (("doc", np.int64), ("nth", np.int32), ("at", np.int64), ("low", np.int64)))
-            base = begins[[place[key] for key in zip(doc.tolist(), nth.tolist(), strict=True)]]
-            np.add.at(change, base + at, 1)
-            np.add.at(change, base + end, -1)
-        self.gone = np.cumsum(change[:-1]) > 0
+        np.add.at(change, spans.column("at").to_numpy(), 1)
+        np.add.at(change, spans.column("stop").to_numpy(), -1)
+        self.gone = np.cumsum(change[:-1], dtype=np.int32) > 0
 
     def __iter__(self) -> Iterator[tuple[bytes, bytes, np.ndarray]]:
         """(text, what remains, mask of removed bytes) of each document in the chunk's order."""
@@ -431,6 +425,7 @@ class Kept:
             yield raw, self.chunk.data[begin:end][~mask].tobytes() if mask.any() else raw, mask
 
 
+@tidy
 def _digests(table: pa.Table, spans: pa.Table) -> pa.Table:
     kept = Kept(table, spans)
     out: list[list] = [[] for _ in range(4)]
@@ -443,6 +438,7 @@ def _digests(table: pa.Table, spans: pa.Table) -> pa.Table:
     return pa.table([ids, *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+@tidy
 def _texts(table: pa.Table, spans: pa.Table, names: list[str]) -> pa.Table:
     """The rows with what remains of their texts; a text of which nothing but white space remains goes with its row."""
     kept = Kept(table, spans)
@@ -457,22 +453,42 @@ def _texts(table: pa.Table, spans: pa.Table, names: list[str]) -> pa.Table:
     return out.set_column(names.index("text"), "text", pa.array([None if n else t for n, t in zip(null, texts, strict=True)], pa.string()))
 
 
+def _merger(level: int, fan: int):
+    return lambda t: _merge_on(t, level, fan)
+
+
+def _levels(chunks: int, fan: int) -> int:
+    levels = 1
+    while fan**levels < chunks:
+        levels += 1
+    return levels
+
+
 def _spans(rows: DataFrame, chunk: int) -> tuple[object, DataFrame]:
-    """The rows (doc_id, text, ...) grouped by chunk, and the removed spans of each chunk."""
+    """The rows (doc_id, text, ...) grouped by chunk, and the removed spans (chunk, at, stop)."""
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-total // chunk))
-    by_chunk = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")).groupBy("chunk")
-    hashes = by_chunk.applyInArrow(lambda t: _hashes_out(t, chunks), "bucket int, chunk int, own binary, more binary, times binary")
-    flags = hashes.groupBy("bucket").applyInArrow(_recurring, "chunk int, repeated binary, hot binary")
-    runs = by_chunk.cogroup(flags.groupBy("chunk")).applyInArrow(lambda t, f: _runs_out(t, f, chunks), _RUN)
-    return by_chunk, runs.groupBy("part").applyInArrow(_merge_part, "chunk int, doc binary, nth binary, at binary, low binary")
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())
+    # one partition a chunk, so that what a task reads does not grow with the table
+    by_chunk = numbered.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "row"), F.lit(chunks)).cast("int")).repartition(chunks, "chunk").groupBy("chunk")
+    hashes = by_chunk.applyInArrow(lambda t: _hashes_out(t), "chunk int, h long, n long")
+    again = hashes.withColumn("all", F.sum("n").over(Window.partitionBy("h"))).where("all > 1")
+    flags = again.select("chunk", "h", (F.col("all") > HOT).alias("hot"))
+    fan = FAN
+    levels = _levels(chunks, fan)
+    parts = chunks if levels == 1 else fan
+    runs = by_chunk.cogroup(flags.groupBy("chunk")).applyInArrow(lambda t, f: _runs_out(t, f, parts, fan), _RUN)
+    for level in range(levels - 1):
+        runs = runs.repartition(chunks, "part", "lot").groupBy("part", "lot").applyInArrow(_merger(level, fan), _RUN)
+    # in the last level all chunks are of one lot
+    return by_chunk, runs.repartition(chunks, "part").groupBy("part").applyInArrow(lambda t: _merge_part(t), "chunk int, at int, stop int")
 
 
 def deduplicated(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of docs."""
     by_chunk, spans = _spans(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), chunk)
     made = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return by_chunk.cogroup(spans.groupBy("chunk")).applyInArrow(_digests, made)
+    return by_chunk.cogroup(spans.groupBy("chunk")).applyInArrow(lambda t, s: _digests(t, s), made)
 
 
 def without_repeats(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:

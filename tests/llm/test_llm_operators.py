@@ -153,9 +153,10 @@ def slow_removal(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("hot, chunk", [(256, 12 << 20), (2, 4000)])
-def test_suffixes(docs, none, monkeypatch, hot, chunk):
+@pytest.mark.parametrize("hot, chunk, fan", [(256, 12 << 20, 256), (2, 4000, 256), (2, 4000, 3), (256, 3000, 2)])
+def test_suffixes(docs, none, monkeypatch, hot, chunk, fan):
     monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "FAN", fan)  # merges in several levels
     got = sorted((tuple(r) for r in suffixes.deduplicated(docs, chunk).collect()), key=str)
     assert got == slow_removal(ODD)
     assert suffixes.deduplicated(none).count() == 0
@@ -169,6 +170,13 @@ def test_suffixes_of_many_variants(spark):
     assert sorted((tuple(r) for r in suffixes.deduplicated(df, 6000).collect()), key=str) == slow_removal(rows)
 
 
+def test_rows_without_an_id_spread_and_keep_their_first_copy(spark):
+    rows = [(None, PASSAGE * 3) for _ in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = suffixes.deduplicated(df, 9000).collect()
+    assert sorted(r.n_removed for r in out)[1:] == [len((PASSAGE * 3).encode())] * 199
+
+
 def test_texts_without_repeats(docs):
     out = suffixes.without_repeats(docs)
     assert out.columns == docs.columns
@@ -180,13 +188,13 @@ def test_texts_without_repeats(docs):
 @pytest.mark.parametrize("runs", [1, 2, 3, 5, 8])
 def test_loser_tree(runs):
     rng = np.random.default_rng(runs)
-    rows = [[(bytes(rng.integers(97, 99, rng.integers(1, 9)).tolist()), b"", int(i), 0, 0, 0, 0) for i in range(rng.integers(0, 30))] for _ in range(runs)]
-    coded = [suffixes.front_coded(sorted(r)) | {"chunk": 0} for r in rows]
+    rows = [[(bytes(rng.integers(97, 99, rng.integers(1, 9)).tolist()), b"", int(i), 0, 0, 0, 0, 7) for i in range(rng.integers(0, 30))] for _ in range(runs)]
+    coded = [suffixes.front_coded(sorted(r)) for r in rows]
     out = list(suffixes.merged([suffixes.Run(r) for r in coded])) if coded else []
     texts, before = [], b""
     flat = sorted(x[0] for r in rows for x in r)
-    for (n, _), want in zip(out, flat, strict=True):
-        assert n == suffixes._shared(before, want, 0)
+    for (n, right, row), want in zip(out, flat, strict=True):
+        assert right == want and row[-1] == 7 and n == suffixes._shared(before, want, 0)
         before = want
         texts.append(want)
     assert len(out) == len(flat)
