@@ -86,8 +86,21 @@ def _trim() -> None:
         return
 
 
+def tidied(work):
+    """As tidy(), for a generator over batches."""
+
+    @wraps(work)
+    def done(*args, **named):
+        try:
+            yield from work(*args, **named)
+        finally:
+            _trim()
+
+    return done
+
+
 def tidy(work):
-    """A function of a group or of batches that leaves no freed memory with its worker when it is done."""
+    """A function of a group that leaves no freed memory with its worker when it is done."""
 
     @wraps(work)
     def done(*args, **named):

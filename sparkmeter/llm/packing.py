@@ -14,6 +14,7 @@ are packed as rows of their own; an empty table gives no rows; other columns of
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, tidied
 
 SIZE = 1024
 END = 2
@@ -35,7 +36,7 @@ CLOSED = 4
 ROUNDS = 3
 POPULATION = 4
 GENERATIONS = 12
-CACHE = 300_000
+CACHE = 100_000
 
 
 class WordIds(dict):
@@ -61,28 +62,40 @@ class WordIds(dict):
 
 
 @lru_cache(maxsize=1)
+def _tokenizer(vocabulary: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(vocabulary)
+
+
+@lru_cache(maxsize=1)
+def _ranked(ranks: str):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(ranks, "rb") as f:
+        table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
+    return tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+
+
+@lru_cache(maxsize=1)
+def _special(vocabulary: str) -> tuple[str, ...]:
+    with open(vocabulary, encoding="utf-8") as f:
+        return tuple(t["content"] for t in json.load(f).get("added_tokens", ()))
+
+
 def encoder(vocabulary: str, ranks: str | None = None):
     """A function from text to ids as bytes, the same as the vocabulary's own tokenizer gives.
 
     Byte-level BPE with the usual split pattern never joins a space's left to its right, unless white space follows; so
     a text can be encoded word by word, and words recur. Texts with other white space after a space, or with a special
-    token in them, go through the tokenizer whole.
+    token in them, go through the tokenizer whole. The known words go with the function, so a task leaves none behind.
     """
-    from tokenizers import Tokenizer
-
-    whole = Tokenizer.from_file(vocabulary)
-    special = [t.content for t in whole.get_added_tokens_decoder().values()]
-    plain = lambda text: whole.encode(text, add_special_tokens=False).ids
-    fast = plain
-    if ranks is not None:
-        import base64
-
-        import public_tokenizers
-        import tiktoken
-
-        with open(ranks, "rb") as f:
-            table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-        fast = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+    special = _special(vocabulary)
+    plain = lambda text: _tokenizer(vocabulary).encode(text, add_special_tokens=False).ids
+    fast = _ranked(ranks).encode_ordinary if ranks is not None else plain
     words = WordIds(fast)
     get = words.__getitem__
 
@@ -99,6 +112,7 @@ def encoder(vocabulary: str, ranks: str | None = None):
     return encode
 
 
+@tidied
 def _cut(batches: Iterator[pa.RecordBatch], vocabulary: str, ranks: str | None, size: int) -> Iterator[pa.RecordBatch]:
     encode = encoder(vocabulary, ranks)
     end = np.array([END], dtype="<u4").tobytes()

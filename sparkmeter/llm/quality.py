@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, tidied
 from .lm import Texts
 
 LABELS = 50_000
@@ -63,6 +63,7 @@ def grams(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return now, WORDS + mark[texts.tokens], WORDS + MARKS + pair
 
 
+@tidied
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bucket counts of a task: of all texts, of the good ones of each fold, and of the toxic ones of each fold."""
     sums = np.zeros((MODELS, BUCKETS), dtype=np.int64)
@@ -174,17 +175,16 @@ def _label_features(batches: Iterator[pa.RecordBatch], ratios: np.ndarray) -> It
             yield pa.RecordBatch.from_arrays([part.column("good"), part.column("half"), *(pa.array(c) for c in x.T)], names=["good", "half", *(f"x{k}" for k in range(FEATURES))])
 
 
-def _weights(batches: Iterator[pa.RecordBatch], ratios: np.ndarray, fit: dict | None) -> Iterator[pa.RecordBatch]:
+@tidied
+def _weights(batches: Iterator[pa.RecordBatch], ratios: np.ndarray, fit: dict | None, half: str, weight: str, key: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
             part = batch.slice(at, 2000)
             ids = part.column("doc_id").to_pylist()
-            half = part.column("__half").to_numpy(zero_copy_only=False)
-            weight = weigh(fit, features(Texts.of(part), ratios, _other(half))) if fit else np.zeros(len(ids))
+            weights = weigh(fit, features(Texts.of(part), ratios, _other(part.column(half).to_numpy(zero_copy_only=False)))) if fit else np.zeros(len(ids))
             chance = (np.array([zlib.crc32(b"gumbel %d" % (-1 if i is None else i)) for i in ids], dtype=np.float64) + 0.5) / (1 << 32)
-            key = weight / TEMPERATURE - np.log(-np.log(chance))
-            columns = {n: part.column(n) for n in part.schema.names if n != "__half"}
-            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(weight), pa.array(key)], names=[*columns, "__log_weight", "__gumbel_key"])
+            columns = {n: part.column(n) for n in part.schema.names if n != half}
+            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(weights), pa.array(weights / TEMPERATURE - np.log(-np.log(chance)))], names=[*columns, weight, key])
 
 
 class Judge:
@@ -219,13 +219,24 @@ class Judge:
     def _labelled(self, docs: DataFrame) -> DataFrame:
         return docs.join(self.known, docs.doc_id == F.col("label_id"), "left").drop("label_id").withColumn("half", F.coalesce("half", F.lit(-1)))
 
-    def weights(self, docs: DataFrame) -> DataFrame:
-        """The rows with __log_weight (log odds of being good) and __gumbel_key."""
+    def weights(self, docs: DataFrame) -> tuple[DataFrame, str, str]:
+        """The rows with their log weight (log odds of being good) and Gumbel key, and the names of these columns, which no other column has."""
         given = docs.sparkSession.sparkContext.broadcast((self.ratios, self.fit))
-        known = self.known.select(F.col("label_id").alias("__label"), F.col("half").alias("__half"))
-        rows = docs.join(known, docs.doc_id == F.col("__label"), "left").drop("__label").withColumn("__half", F.coalesce("__half", F.lit(-1)))
-        shape = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", __log_weight double, __gumbel_key double"
-        return rows.mapInArrow(lambda b: _weights(b, *given.value), shape)
+        label, half, weight, key = _free(docs.columns, "label", "half", "log_weight", "gumbel_key")
+        known = self.known.select(F.col("label_id").alias(label), F.col("half").alias(half))
+        rows = docs.join(known, docs.doc_id == F.col(label), "left").drop(label).withColumn(half, F.coalesce(half, F.lit(-1)))
+        shape = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + f", {weight} double, {key} double"
+        return rows.mapInArrow(lambda b: _weights(b, *given.value, half, weight, key), shape), weight, key
+
+
+def _free(taken: list[str], *names: str) -> list[str]:
+    """The names, with so many underscores before them that none of the columns has them."""
+    have, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name in have:
+            name = "_" + name
+        out.append(name)
+    return out
 
 
 def kth_greatest(keys: DataFrame, column: str, k: int, cells: int = 1024, few: int = 4096) -> float:
@@ -250,24 +261,22 @@ def kth_greatest(keys: DataFrame, column: str, k: int, cells: int = 1024, few: i
         low, high = row["low"], row["high"]
 
 
-def threshold(weighed: DataFrame, cut: float) -> float:
-    """The key of the last document kept."""
-    k = weighed.where(F.col("__log_weight") >= cut).count()
-    return kth_greatest(weighed, "__gumbel_key", k) if k else float("inf")
+def chosen(docs: DataFrame, labels: DataFrame, texts: bool = True) -> tuple[DataFrame, str, str]:
+    """The rows of docs that are kept, with log weight and Gumbel key, and the names of these columns; each text is weighed once."""
+    judge = Judge(docs, labels)
+    weighed, weight, key = judge.weights(docs)
+    weighed = settle(weighed if texts else weighed.drop("text"), "snappy")
+    k = weighed.where(F.col(weight) >= judge.cut).count()
+    last = kth_greatest(weighed, key, k) if k else float("inf")
+    return weighed.where(F.col(key) >= last), weight, key
 
 
 def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, log_weight, gumbel_key, kept) of the documents that are kept."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    judge = Judge(docs, labels)
-    weighed = settle(judge.weights(rows).drop("text"))
-    kept = weighed.where(F.col("__gumbel_key") >= threshold(weighed, judge.cut))
-    return kept.select("doc_id", F.col("__log_weight").alias("log_weight"), F.col("__gumbel_key").alias("gumbel_key"), F.lit(True).alias("kept"))
+    kept, weight, key = chosen(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), labels, texts=False)
+    return kept.select("doc_id", weight, key, F.lit(True).alias("kept"))
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with their own columns."""
-    judge = Judge(docs, labels)
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    least = threshold(settle(judge.weights(slim).select("__log_weight", "__gumbel_key")), judge.cut)
-    return judge.weights(docs).where(F.col("__gumbel_key") >= least).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return chosen(docs, labels)[0].select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, settle
+from .common import components, settle, tidied
 
 DISTANCE = 3
 BUCKET = 8192
@@ -62,6 +62,7 @@ def fingerprint(text: bytes) -> int:
     return int.from_bytes(np.packbits(on).tobytes(), "big")
 
 
+@tidied
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1).cast(pa.binary()).to_pylist()
@@ -199,6 +200,7 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return prints.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@tidied
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text_class, keys): a hash of all words, and the keys of the bands."""
     for batch in batches:
@@ -215,6 +217,7 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(classes, pa.int64()), pa.ListArray.from_arrays(pa.array(width), pa.array(keys.ravel()))], names=["doc_id", "text_class", "keys"])
 
 
+@tidied
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [np.unique(_shingles((t or b"").lower().split(), WIDE)).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
@@ -229,6 +232,7 @@ def _alike(x: np.ndarray, y: np.ndarray) -> bool:
     return both >= SIMILAR * (len(x) + len(y) - both)
 
 
+@tidied
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         left, right = (batch.column(k).to_pylist() for k in (2, 3))
