@@ -322,6 +322,44 @@ def audit(docs: DataFrame, experimental: bool = True, least: str = "low", rule:
     return found if rule is None else found.where(F.col("rule") == rule)
 
 
+#: The order in which a text's findings are made, which breaks ties of severity and savings.
+EMITTED = (
+    "near-duplicate-paragraphs",
+    "json-verbosity",
+    "json-toon-candidate",
+    "stack-trace-verbosity",
+    "volatile-prefix",
+    "sub-cache-threshold",
+    "html-content",
+    "filler-phrases",
+    "repeated-instructions",
+    "verbose-role-description",
+    "excessive-few-shot",
+    "markdown-overhead",
+    "lost-in-the-middle",
+)
+
+
+def ordered(findings: DataFrame) -> DataFrame:
+    """Findings with their place in their text's report: severity, then most savings, then as they are made."""
+    made = F.array_position(F.array(*map(F.lit, EMITTED)), F.col("rule"))
+    order = Window.partitionBy("doc_id").orderBy(rank(F.col("severity")), F.col("savings_max").desc(), made, "byte_start", "byte_end")  # one text's findings
+    return findings.withColumn("place", F.row_number().over(order))
+
+
+def notes(docs: DataFrame, findings: DataFrame) -> DataFrame:
+    """(doc_id, notes) of prepared docs: savings are estimates; tokens were not given; some findings are experimental."""
+    tried = findings.where(F.col("rule").isin(*EXPERIMENTAL)).select("doc_id").distinct().withColumn("tried", F.lit(True))
+    lines = F.array_compact(F.array(F.lit("estimates"), F.when(~F.col("supplied"), "bytes-per-token"), F.when(F.col("tried"), "experimental")))
+    return docs.join(tried, "doc_id", "left").select("doc_id", lines.alias("notes"))
+
+
+def ranked_rules(findings: DataFrame) -> DataFrame:
+    """The roll-up by rule with its place: most savings first, then by name."""
+    order = Window.orderBy(F.col("savings_max").desc(), "rule")  # one row a rule
+    return rules_rollup(findings).withColumn("place", F.row_number().over(order))
+
+
 def report(findings: DataFrame) -> DataFrame:
     """Per text: findings, savings, the worst severity, and whether a gate at high severity fails."""
     return findings.groupBy("doc_id").agg(F.count("*").alias("findings"), F.sum("savings_min").alias("savings_min"), F.sum("savings_max").alias("savings_max"), F.min(rank(F.col("severity"))).alias("worst"), F.bool_or(F.col("severity") == "high").alias("fails_high"))

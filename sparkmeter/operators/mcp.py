@@ -13,6 +13,7 @@ from ..functions.markup import without_comments
 from ..functions.models import PRICES
 from ..functions.scalars import approx_tokens
 from .audit import clusters, minhash
+from .redact import redact
 
 # Known servers; the first row any of whose marks is in a server's text is its entry.
 # id, marks, tools, cold tokens, command-line tool, recommendation, slim per cent, slim env keys, slim flags, slim url parameter
@@ -40,8 +41,144 @@ CATALOG: tuple[tuple, ...] = (
     ("memory", ["server-memory"], 9, 3000, None, "Keep", None, [], [], None),
     ("gdrive", ["gdrive", "google-drive", "googledrive"], 10, 7000, None, "Keep", None, [], [], None),
 )
+# Words with which a purpose begins.
 VERBS = frozenset(
-    "add aggregate analyze append approve archive assign attach batch browse build calculate call cancel capture check clear click clone close comment compare compute configure convert copy count create delete deploy describe detach disable dismiss download drop echo edit enable estimate execute extract fetch filter find follow fork format generate get grant group insert install invoke kill label link list load lock make manage mark merge move navigate open parse pause ping play post print publish pull push query react read record refresh register reject remove rename replace reply request reset resolve restore resume retrieve return revoke run sample save schedule search send set show sort spawn star start stop stream submit summarize switch sync tag take test toggle translate trigger truncate type uninstall unlink unlock update upload use validate verify view wait watch write".split()
+    (
+        "add",
+        "aggregate",
+        "analyze",
+        "append",
+        "approve",
+        "archive",
+        "assign",
+        "attach",
+        "batch",
+        "browse",
+        "build",
+        "calculate",
+        "call",
+        "cancel",
+        "capture",
+        "check",
+        "clear",
+        "click",
+        "clone",
+        "close",
+        "comment",
+        "compare",
+        "compute",
+        "configure",
+        "convert",
+        "copy",
+        "count",
+        "create",
+        "delete",
+        "deploy",
+        "describe",
+        "detach",
+        "disable",
+        "dismiss",
+        "download",
+        "drop",
+        "echo",
+        "edit",
+        "enable",
+        "estimate",
+        "execute",
+        "extract",
+        "fetch",
+        "filter",
+        "find",
+        "follow",
+        "fork",
+        "format",
+        "generate",
+        "get",
+        "grant",
+        "group",
+        "insert",
+        "install",
+        "invoke",
+        "kill",
+        "label",
+        "link",
+        "list",
+        "load",
+        "lock",
+        "make",
+        "manage",
+        "mark",
+        "merge",
+        "move",
+        "navigate",
+        "open",
+        "parse",
+        "pause",
+        "ping",
+        "play",
+        "post",
+        "print",
+        "publish",
+        "pull",
+        "push",
+        "query",
+        "react",
+        "read",
+        "record",
+        "refresh",
+        "register",
+        "reject",
+        "remove",
+        "rename",
+        "replace",
+        "reply",
+        "request",
+        "reset",
+        "resolve",
+        "restore",
+        "resume",
+        "retrieve",
+        "return",
+        "revoke",
+        "run",
+        "sample",
+        "save",
+        "schedule",
+        "search",
+        "send",
+        "set",
+        "show",
+        "sort",
+        "spawn",
+        "star",
+        "start",
+        "stop",
+        "stream",
+        "submit",
+        "summarize",
+        "switch",
+        "sync",
+        "tag",
+        "take",
+        "test",
+        "toggle",
+        "translate",
+        "trigger",
+        "truncate",
+        "type",
+        "uninstall",
+        "unlink",
+        "unlock",
+        "update",
+        "upload",
+        "use",
+        "validate",
+        "verify",
+        "view",
+        "wait",
+        "watch",
+        "write",
+    )
 )
 SHAPES = ("return", "respond", "response", "output", "result", "format", "json", "markdown", "yield", "produce", "emit", "list of", "array of", "as text", "as a string", "as html", "gives back")
 WINDOW = 200_000
@@ -256,6 +393,19 @@ def slug(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(name), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
 
 
+def saved(rows: DataFrame, captured_at: str) -> DataFrame:
+    """(file, body) of servers' tool lists (server, name, description): a slug of the server's name, and indented JSON with secrets redacted."""
+
+    def body(table: pa.Table) -> pa.Table:
+        server = table.column("server")[0].as_py()
+        listed = sorted(zip(table.column("name").to_pylist(), (d or "" for d in table.column("description").to_pylist()), strict=True))
+        text = json.dumps({"server": server, "captured_at": captured_at, "tools": [{"name": n, "description": redact(d)[0]} for n, d in listed]}, indent=2, ensure_ascii=False)
+        return pa.table({"server": pa.array([server], pa.string()), "body": pa.array([text], pa.string())})
+
+    made = rows.select("server", "name", "description").groupBy("server").applyInArrow(body, "server string, body string")
+    return made.select(F.concat(slug(F.col("server")), F.lit(".json")).alias("file"), "body")
+
+
 def resolved(explicit: DataFrame, cached: DataFrame, reports: DataFrame) -> DataFrame:
     """Where each server's inventory comes from: a given list, then a cached manifest, then the catalog, else unknown."""
     mark = lambda df, label: df.select("name").distinct().withColumn(label, F.lit(True))

@@ -86,6 +86,31 @@ def heaviest(parts: DataFrame, top: int = 10) -> DataFrame:
     return sums.orderBy(F.col("tokens").desc(), "path").limit(top)
 
 
+def heavy_rows(parts: DataFrame, top: int | None = None) -> DataFrame:
+    """(path, tokens, pct_always) of context files, heaviest first: their share of what is always loaded, in per cent; all if no top is given."""
+    always = parts.agg(F.coalesce(F.sum(F.when(F.col("profile") == "always", F.col("tokens"))), F.lit(0)).alias("always"))
+    rows = parts.where("profile <> 'mcp'").groupBy("path").agg(F.sum("tokens").alias("tokens")) if top is None else heaviest(parts, top)
+    share = F.when(F.col("always") > 0, F.col("tokens") / F.col("always") * 100).otherwise(F.lit(0.0))
+    return rows.crossJoin(F.broadcast(always)).select("path", "tokens", share.alias("pct_always"))  # one row
+
+
+def skeleton(files: DataFrame, parts: DataFrame, rules: DataFrame, mcp_servers: int, pointer: str, top: int = 5) -> DataFrame:
+    """One row, json: totals, the heaviest files, findings by rule (rule, findings, place) and servers, in a fixed order of fields."""
+    listed = lambda place, *cols: F.transform(F.sort_array(F.collect_list(F.struct(*place, F.struct(*cols).alias("x")))), lambda r: r["x"])
+    heavy = heaviest(parts, top).agg(listed((-F.col("tokens"), "path"), "path", "tokens").alias("heaviest"))
+    by_rule = rules.agg(listed(("place",), "rule", F.col("findings").alias("count")).alias("findings_by_rule"))
+    scanned = files.agg(F.count("*").alias("files_scanned"))
+    context = parts.where("profile <> 'mcp'").agg(F.countDistinct("path").alias("context_files"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("context_tokens"))
+    one = scanned.crossJoin(context).crossJoin(heavy).crossJoin(by_rule)  # single rows
+    return one.select(F.to_json(F.struct(F.struct("files_scanned", "context_files", "context_tokens").alias("totals"), "heaviest", "findings_by_rule", F.lit(mcp_servers).alias("mcp_servers"), F.lit(pointer).alias("pointer"))).alias("json"))
+
+
+def narrate_plan(skeletons: DataFrame, system: str) -> DataFrame:
+    """(user, prompt_tokens) for each skeleton (json): what a model is asked to tell, and its size at four bytes a token."""
+    user = F.concat(F.lit("Input JSON:\n"), "json", F.lit("\n\nExplain this summary now."))
+    return skeletons.select(user.alias("user"), (F.lit(len(system.encode()) // 4) + F.floor(F.octet_length(user) / 4)).alias("prompt_tokens"))
+
+
 def delta(base: DataFrame, head: DataFrame, max_always: int, max_growth_pct: float) -> DataFrame:
     """Metrics (metric, value) of two reports side by side, the change, and whether a gate fails."""
     rows = base.select("metric", F.col("value").alias("base")).join(head.select("metric", F.col("value").alias("head")), "metric", "full")

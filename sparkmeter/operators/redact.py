@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,10 +85,17 @@ def score(value: str, raw: bytes, start: int, vendor: bool, structural: bool) ->
     return out
 
 
+def byte_places(text: str):
+    """A function from a place in characters to the one in bytes."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    ends = np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000))
+    return lambda n: int(ends[n - 1]) if n else 0
+
+
 def candidates(text: str) -> list[tuple[float, int, int, str]]:
     """(score, start, end, kind) in bytes, in the order of patterns and places."""
-    raw, ascii_ = text.encode(), text.isascii()
-    at = (lambda n: n) if ascii_ else (lambda n: len(text[:n].encode()))
+    raw = text.encode()
+    at = (lambda n: n) if text.isascii() else byte_places(text)
     found = [(m.start(g), m.end(g), kind, vendor, not vendor) for kind, g, vendor, p in _PATTERNS for m in p.finditer(text)]
     found += [(m.start(), m.end(), "high-entropy", False, False) for m in _GENERIC.finditer(text)]
     out = []
@@ -100,9 +109,12 @@ def candidates(text: str) -> list[tuple[float, int, int, str]]:
 def chosen(found: list[tuple[float, int, int, str]]) -> list[tuple[float, int, int, str]]:
     """The best, then longest, of those that overlap; in text order."""
     out: list[tuple[float, int, int, str]] = []
+    spans: list[tuple[int, int]] = []  # of those taken, in order; no two overlap
     for c in sorted(found, key=lambda c: (-c[0], c[1] - c[2])):
-        if all(c[2] <= o[1] or o[2] <= c[1] for o in out):
+        at = bisect_left(spans, (c[1], c[2]))
+        if (at == 0 or spans[at - 1][1] <= c[1]) and (at == len(spans) or c[2] <= spans[at][0]):
             out.append(c)
+            spans.insert(at, (c[1], c[2]))
     return sorted(out, key=lambda c: c[1])
 
 

@@ -48,14 +48,19 @@ def snapshots(ledger: DataFrame) -> DataFrame:
 def realized_measured(ledger: DataFrame, sessions: DataFrame, usd_per_million: float) -> DataFrame:
     """Per project: the sum over its sessions of baseline minus the weight active when each began; may be negative.
 
-    The active snapshot is the last at or before the session's start: an equality join on the project with the
-    snapshot's interval as a condition; of snapshots at one time the last has the only interval that is not empty.
+    The active snapshot is the last at or before the session's start. Snapshots and sessions stand in one order of time,
+    cut into days: within a day the last snapshot is carried on, and what a day begins with comes from the days' last ones.
+    So no session meets more than the snapshots of its day, and no window holds more than a project's day.
     """
-    marks = snapshots(ledger).where("n >= 2")
-    at = sessions.select(F.col("project_key").alias("key"), "first_ts")
-    inside = (F.col("first_ts") >= F.col("ts")) & (F.col("next_ts").isNull() | (F.col("first_ts") < F.col("next_ts")))
-    both = marks.join(at, (F.col("key") == F.col("project_key")) & inside)
-    sums = both.groupBy("project_key").agg(F.sum(F.col("baseline") - F.col("weight")).alias("tokens"), F.count("*").alias("sessions"))
+    marks = snapshots(ledger).where("n >= 2").select("project_key", "ts", F.lit(0).alias("kind"), "place", F.struct("baseline", "weight").alias("mark"))
+    begun = sessions.select("project_key", F.col("first_ts").alias("ts"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("place"), F.lit(None).cast("struct<baseline:bigint,weight:bigint>").alias("mark"))
+    line = marks.unionByName(begun).withColumn("day", F.floor(F.col("ts") / DAY))
+    own = F.last("mark", ignorenulls=True).over(Window.partitionBy("project_key", "day").orderBy("ts", "kind", "place").rowsBetween(Window.unboundedPreceding, 0))
+    days = line.groupBy("project_key", "day").agg(F.max_by("mark", F.when(F.col("kind") == 0, F.struct("ts", "place"))).alias("last"))
+    before = Window.partitionBy("project_key").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)  # one row a day
+    days = days.withColumn("begin", F.last("last", ignorenulls=True).over(before)).select("project_key", "day", "begin")
+    at = line.withColumn("own", own).where("kind = 1").join(days, ["project_key", "day"]).withColumn("active", F.coalesce("own", "begin")).where("active is not null")
+    sums = at.groupBy("project_key").agg(F.sum(F.col("active.baseline") - F.col("active.weight")).alias("tokens"), F.count("*").alias("sessions"))
     return sums.withColumn("usd", F.round(F.col("tokens") * usd_per_million / 1e6, 9))
 
 
@@ -83,6 +88,13 @@ def history(ledger: DataFrame) -> DataFrame:
     return rows.groupBy("project_key").agg(series.alias("weights"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("snapshots"))
 
 
+def ranked_projects(rows: DataFrame, by: str, top: int) -> DataFrame:
+    """The first so many projects of machine_projects(), by weight, sessions or recency, greatest first, then by key; with their place."""
+    column = {"weight": "weight", "sessions": "sessions", "recency": "as_of"}[by]
+    order = (F.col(column).desc(), F.col("project_key"))
+    return rows.orderBy(*order).limit(top).withColumn("place", F.row_number().over(Window.orderBy(*order))).select("place", *rows.columns)  # so many rows
+
+
 def machine_projects(ledger: DataFrame, sessions: DataFrame) -> DataFrame:
     """Latest weight of each project with its number of sessions (projects with an empty key have none)."""
     now = latest(ledger).where(F.col("command") == "project").select("project_key", F.col("always_tokens").alias("weight"), F.col("ts").alias("as_of"))

@@ -1,8 +1,7 @@
-"""Queries of tool servers, tool lists, repositories, and checks on generated text, with SQL over the same literal rows."""
+"""Queries of tool servers, tool lists, repositories, and checks on generated text, with the SQL that each is compared with."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +41,7 @@ CONFIGS = [
     ("b/settings.json", '{"mcp": {"servers": {"supa": {"url": "https://mcp.supabase.com/mcp?features=docs", "type": "http"}, "own": {"command": "./tool"}}}, // note\n}'),
     ("c/settings.json", '{"context_servers": {"notes": {"command": {"path": "notion-mcp", "args": ["run"]}}, "slack": {"command": "slack-mcp", "env": {"SLACK_MCP_ENABLED_TOOLS": "a"}}}}'),
 ]
+#: The servers of each form: form, name, command, args, url, transport, env keys.
 PARSED = [
     ("a/.mcp.json", "db", "uvx", ["mcp-server-postgres"], None, "stdio", []),
     ("a/.mcp.json", "github", "npx", ["-y", "@modelcontextprotocol/server-github"], None, "stdio", ["TOKEN"]),
@@ -54,16 +54,20 @@ PARSED = [
 MEASURED = [("db", 7, 1234)]
 
 
-def configs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CONFIGS, "path string, text string")
+def configs(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as configuration files of three forms; every seventh is broken."""
+    form = lambda k: F.element_at(F.array(*[F.lit(c[k]) for c in CONFIGS]), (F.pmod("p_partkey", F.lit(3)) + 1).cast("int"))
+    text_ = F.when(F.pmod("p_partkey", F.lit(7)) == 0, F.concat(F.lit("{"), form(1))).otherwise(form(1))
+    return table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey", F.lit("/"), form(0)).alias("path"), text_.alias("text"))
 
 
-def reports(spark: SparkSession) -> DataFrame:
+def reports(spark: SparkSession, d: str) -> DataFrame:
     measured = spark.createDataFrame(MEASURED, "name string, tools long, tokens long")
-    return C.server_reports(C.servers(configs(spark)), C.catalog(spark), measured)
+    return C.server_reports(C.servers(configs(spark, d)), C.catalog(spark), measured)
 
 
-REPORT = f"""s AS (SELECT * FROM (VALUES {values(PARSED)}) AS v(path, name, command, args, url, transport, env_keys)),
+_FORMS = "[" + ", ".join(text(c[0]) for c in CONFIGS) + "][p_partkey % 3 + 1]"
+REPORT = f"""s AS (SELECT 'p' || p_partkey || '/' || path AS path, name, command, args, url, transport, env_keys FROM part JOIN (VALUES {values(PARSED)}) AS v(path, name, command, args, url, transport, env_keys) ON path = {_FORMS} WHERE p_partkey % 7 <> 0),
 cat AS (SELECT * FROM (VALUES {values([(n, *r) for n, r in enumerate(C.CATALOG)])}) AS v(place, id, marks, tools, cold, cli, rec, pct, senv, sflags, surl)),
 m AS (SELECT * FROM (VALUES {values(MEASURED)}) AS v(name, m_tools, m_tokens)),
 hit AS (SELECT s.*, (SELECT min(place) FROM cat WHERE len(list_filter(marks, lambda k: contains(lower(concat_ws(' ', s.name, s.command, array_to_string(s.args, ' '), s.url)), k))) > 0) AS p FROM s),
@@ -77,12 +81,12 @@ rep AS (SELECT path, name, id, basis, is_slim, n_tools, CAST(floor(tok * 1.25::D
 
 @query("mcp_servers", f"WITH {REPORT} SELECT path, name, command, array_to_string(args, ' ') AS args, url, transport, array_to_string(env_keys, ' ') AS env_keys FROM s")
 def mcp_servers(spark, d):
-    return C.servers(configs(spark)).select("path", "name", "command", F.array_join("args", " ").alias("args"), "url", "transport", F.array_join("env_keys", " ").alias("env_keys"))
+    return C.servers(configs(spark, d)).select("path", "name", "command", F.array_join("args", " ").alias("args"), "url", "transport", F.array_join("env_keys", " ").alias("env_keys"))
 
 
 @query("mcp_server_report", f"WITH {REPORT} SELECT * FROM rep")
 def mcp_server_report(spark, d):
-    return reports(spark)
+    return reports(spark, d)
 
 
 _ZERO = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("cold_tokens", "warm_tokens", "search_tokens", "capacity_tokens", "swap_savings", "slim_savings"))
@@ -90,25 +94,26 @@ _ZERO = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("cold_tokens", "w
 
 @query("mcp_totals", f"WITH {REPORT} SELECT CAST(count(*) AS BIGINT) AS servers, {_ZERO}, CAST(count(*) FILTER (basis = 'catalog') AS BIGINT) AS matched, CAST(count(*) FILTER (basis = 'unknown') AS BIGINT) AS unknown, CAST(count(*) FILTER (basis = 'measured') AS BIGINT) AS measured, floor(sum(capacity_tokens) * 10000::DOUBLE / 200000 + 0.5) / 100 AS window_pct, sum(cold_tokens) / 1e6::DOUBLE * 3.0::DOUBLE AS cold_usd FROM rep")
 def mcp_totals(spark, d):
-    return C.totals(reports(spark))
+    return C.totals(reports(spark, d))
 
 
 @query("mcp_inventory_origin", f"WITH {REPORT} SELECT name, CASE WHEN name = 'db' THEN 'explicit' WHEN name = 'own' THEN 'cached' WHEN id IS NOT NULL THEN 'catalog' ELSE 'unknown' END AS origin FROM rep")
 def mcp_inventory_origin(spark, d):
     names = lambda *x: spark.createDataFrame([(n,) for n in x], "name string")
-    return C.resolved(names("db"), names("own", "db"), reports(spark))
+    return C.resolved(names("db"), names("own", "db"), reports(spark, d))
 
 
-@query("mcp_first_definition", "SELECT name, command FROM (VALUES ('a', 'top'), ('b', 'project')) AS v(name, command)")
+@query("mcp_first_definition", "SELECT p_brand AS name, p_name AS command FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS n FROM part) WHERE n = 1")
 def mcp_first_definition(spark, d):
-    rows = spark.createDataFrame([("a", "top", 0), ("a", "project", 1), ("b", "project", 1)], "name string, command string, priority int")
+    """Parts as servers of their brand's name, sizes and keys as the order of the places that define them."""
+    rows = table(spark, d, "part").select(F.col("p_brand").alias("name"), F.col("p_name").alias("command"), F.struct("p_size", "p_partkey").alias("priority"))
     return C.first_defined(rows, "name").select("name", "command")
 
 
-@query("manifest_staleness", "SELECT server, captured_at, CAST(DATE '2026-06-11' - CAST(captured_at AS DATE) AS INTEGER) AS age_days, DATE '2026-06-11' - CAST(captured_at AS DATE) > 90 AS is_stale FROM (VALUES ('a', '2026-06-01'), ('b', '2026-03-13'), ('c', '2026-03-12')) AS v(server, captured_at)")
+@query("manifest_staleness", "SELECT 's' || o_orderkey AS server, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS captured_at, CAST(DATE '1998-08-02' - CAST(o_orderdate AS DATE) AS INTEGER) AS age_days, DATE '1998-08-02' - CAST(o_orderdate AS DATE) > 90 AS is_stale FROM orders")
 def manifest_staleness(spark, d):
-    rows = spark.createDataFrame([("a", "2026-06-01"), ("b", "2026-03-13"), ("c", "2026-03-12")], "server string, captured_at string")
-    return C.stale(rows, "2026-06-11")
+    rows = table(spark, d, "orders").select(F.concat(F.lit("s"), "o_orderkey").alias("server"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("captured_at"))
+    return C.stale(rows, "1998-08-02")
 
 
 def part_tools(spark: SparkSession, d: str) -> DataFrame:
@@ -153,32 +158,50 @@ def tool_near_duplicates(spark, d):
     return C.near_duplicate_descriptions(part_tools(spark, d)).select("server", "first", F.array_join("members", ",").alias("members"))
 
 
-MANIFESTS = [
-    ("one", json.dumps({"tools": [{"name": "list_tickets", "description": "List open tickets", "inputSchema": {"type": "object", "a": 1}}, {"name": "helper"}]})),
-    ("two", json.dumps([{"name": "get", "description": "Get a thing as JSON"}])),
-    ("three", json.dumps({"result": {"tools": [{"name": "run", "description": "x"}]}})),
-    ("four", json.dumps({"mcpServers": {}, "tools": [{"name": "no"}]})),
-    ("five", "not json"),
-]
-
-
-@query("tool_manifests", """SELECT * FROM (VALUES ('one', 'helper', '', '{"name":"helper","description":""}'), ('one', 'list_tickets', 'List open tickets', '{"name":"list_tickets","description":"List open tickets","input_schema":{"a":1,"type":"object"}}'), ('two', 'get', 'Get a thing as JSON', '{"name":"get","description":"Get a thing as JSON"}'), ('three', 'run', 'x', '{"name":"run","description":"x"}')) AS v(server, name, description, serialized)""")
+@query(
+    "tool_manifests",
+    """SELECT 's' || p_partkey AS server, name, description, serialized FROM (SELECT p_partkey, unnest(CASE p_partkey % 5
+    WHEN 0 THEN [{'name': p_name, 'description': 'List ' || p_type, 'serialized': '{"name":"' || p_name || '","description":"List ' || p_type || '","input_schema":{"a":' || p_size || ',"type":"object"}}'}, {'name': 'helper', 'description': '', 'serialized': '{"name":"helper","description":""}'}]
+    WHEN 1 THEN [{'name': p_name, 'description': 'Get it', 'serialized': '{"name":"' || p_name || '","description":"Get it"}'}] WHEN 2 THEN [{'name': 'run', 'description': p_type, 'serialized': '{"name":"run","description":"' || p_type || '"}'}] ELSE [] END, recursive := true) FROM part)""",
+)
 def tool_manifests(spark, d):
-    return C.tools(spark.createDataFrame(MANIFESTS, "server string, text string"))
-
-
-FILES = [
-    ("CLAUDE.md", "You must be brief. " * 30), ("README.md", "# Read me\n" + "text " * 200), ("pkg/.claude/skills/x/SKILL.md", "---\nname: x\ndescription: \"does x\"\n---\nBody of the skill. " + "more " * 99), ("pkg/.claude/skills/x/run.py", "print(1)\n"),
-    (".cursor/rules/a.mdc", "rule " * 44), (".claude/commands/do.md", "Do it. " * 12), ("docs/guide.md", "not context"), ("prompts/p.md", "ask " * 31), ("src/main.rs", "fn main() {}"), (".mcp.json", "{}"), (".github/copilot-instructions.md", "é" * 51), (".codex/prompts/z.md", "z" * 17),
-]
+    """Parts as tool lists in three envelopes, as a configuration, and broken."""
+    k, q = F.pmod("p_partkey", F.lit(5)), F.concat
+    one = q(F.lit('{"tools": [{"name": "'), "p_name", F.lit('", "description": "List '), "p_type", F.lit('", "inputSchema": {"type": "object", "a": '), F.col("p_size").cast("string"), F.lit('}}, {"name": "helper"}]}'))
+    two = q(F.lit('[{"description": "Get it", "name": "'), "p_name", F.lit('"}]'))
+    three = q(F.lit('{"result": {"tools": [{"name": "run", "description": "'), "p_type", F.lit('"}]}}'))
+    text_ = F.when(k == 0, one).when(k == 1, two).when(k == 2, three).when(k == 3, '{"mcpServers": {}, "tools": [{"name": "no"}]}').otherwise("not json")
+    return C.tools(table(spark, d, "part").select(q(F.lit("s"), "p_partkey").alias("server"), text_.alias("text")))
+
+
+#: What stands before and after a document's id in its path; skills begin with front matter.
+PATHS = (
+    ("d", "/CLAUDE.md"),
+    ("README", ".md"),
+    ("pkg", "/.claude/skills/x/SKILL.md"),
+    ("pkg", "/.claude/skills/x/run.py"),
+    (".cursor/rules/a", ".mdc"),
+    (".claude/commands/do", ".md"),
+    ("docs/guide", ".md"),
+    ("prompts/p", ".md"),
+    ("src/m", ".rs"),
+    ("d", "/.mcp.json"),
+    ("d", "/.github/copilot-instructions.md"),
+    (".codex/prompts/z", ".md"),
+)
 
 
-def files(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(FILES, "path string, text string")
+def files(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as a repository's files (path, text)."""
+    part = lambda k: F.element_at(F.array(*[F.lit(p[k]) for p in PATHS]), (F.pmod("doc_id", F.lit(len(PATHS))) + 1).cast("int"))
+    matter = F.concat(F.lit("---\nname: s"), "doc_id", F.lit('\ndescription: "does '), "lang", F.lit('"\n---\n'))
+    text_ = F.concat(F.when(F.pmod("doc_id", F.lit(len(PATHS))) == 2, matter).otherwise(""), "text")
+    return table(spark, d, "documents").select(F.concat(part(0), "doc_id", part(1)).alias("path"), text_.alias("text"))
 
 
 _KINDS = " ".join(f"WHEN regexp_matches(path, {text(p)}) THEN {{'class': '{k}', 'profile': '{f}'}}" for p, k, f in P.CLASSES)
-ENTRIES = f"""f AS (SELECT * FROM (VALUES {values(FILES)}) AS v(path, text)), k AS (SELECT *, CASE {_KINDS} END AS k FROM f),
+_AROUND = [", ".join(text(p[k]) for p in PATHS) for k in (0, 1)]
+ENTRIES = f"""f AS (SELECT [{_AROUND[0]}][doc_id % {len(PATHS)} + 1] || doc_id || [{_AROUND[1]}][doc_id % {len(PATHS)} + 1] AS path, CASE WHEN doc_id % {len(PATHS)} = 2 THEN '---' || chr(10) || 'name: s' || doc_id || chr(10) || 'description: "does ' || lang || '"' || chr(10) || '---' || chr(10) ELSE '' END || text AS text FROM documents), k AS (SELECT *, CASE {_KINDS} END AS k FROM f),
 e AS (SELECT path, k.class AS class, 'whole' AS part, k.profile AS profile, text FROM k WHERE k IS NOT NULL AND k.class <> 'skill'
   UNION ALL SELECT path, k.class, 'head', 'always', regexp_extract(text, '(?s)^---\\r?\\n(.*?)\\r?\\n---[ \\t]*(?:\\r?\\n|$)', 1) FROM k WHERE k.class = 'skill'
   UNION ALL SELECT path, k.class, 'body', 'on_invocation', regexp_replace(text, '(?s)^---\\r?\\n.*?\\r?\\n---[ \\t]*(?:\\r?\\n|$)', '') FROM k WHERE k.class = 'skill'),
@@ -187,33 +210,33 @@ entries AS (SELECT *, CAST(ceil(strlen(text) / 4) AS BIGINT) AS tokens FROM e)""
 
 @query("path_classifier", f"WITH {ENTRIES} SELECT path, k.class AS class, k.profile AS profile FROM k")
 def path_classifier(spark, d):
-    return files(spark).select("path", P.classified(F.col("path")).alias("k")).select("path", "k.*")
+    return files(spark, d).select("path", P.classified(F.col("path")).alias("k")).select("path", "k.*")
 
 
 @query("project_entries", f"WITH {ENTRIES} SELECT * FROM entries")
 def project_entries(spark, d):
-    return P.entries(files(spark)).select("path", "class", "part", "profile", "text", "tokens")
+    return P.entries(files(spark, d)).select("path", "class", "part", "profile", "text", "tokens")
 
 
-@query("skill_front_matter", """SELECT 'pkg/.claude/skills/x/SKILL.md' AS path, 'x' AS name, 'does x' AS description""")
+@query("skill_front_matter", "SELECT 'pkg' || doc_id || '/.claude/skills/x/SKILL.md' AS path, 's' || doc_id AS name, 'does ' || lang AS description FROM documents WHERE doc_id % 12 = 2")
 def skill_front_matter(spark, d):
     head, _ = P.front_matter(F.col("text"))
-    return files(spark).where(F.col("path").endswith("SKILL.md")).select("path", P.front_field(head, "name").alias("name"), P.front_field(head, "description").alias("description"))
+    return files(spark, d).where(F.col("path").endswith("SKILL.md")).select("path", P.front_field(head, "name").alias("name"), P.front_field(head, "description").alias("description"))
 
 
 @query("project_profiles", f"WITH {ENTRIES} SELECT profile, CAST(count(DISTINCT path) AS BIGINT) AS files, CAST(sum(tokens) + CASE WHEN profile = 'always' THEN 700 ELSE 0 END AS BIGINT) AS tokens FROM entries WHERE profile <> 'mcp' GROUP BY profile")
 def project_profiles(spark, d):
-    return P.profiles(P.entries(files(spark)), 700)
+    return P.profiles(P.entries(files(spark, d)), 700)
 
 
 @query("heaviest_files", f"WITH {ENTRIES} SELECT path, CAST(sum(tokens) AS BIGINT) AS tokens FROM entries WHERE profile <> 'mcp' GROUP BY path ORDER BY 2 DESC, 1 LIMIT 5")
 def heaviest_files(spark, d):
-    return P.heaviest(P.entries(files(spark)), 5)
+    return P.heaviest(P.entries(files(spark, d)), 5)
 
 
 @query("project_findings")
 def project_findings(spark, d):
-    return P.file_findings(P.entries(files(spark)))
+    return P.file_findings(P.entries(files(spark, d)))
 
 
 @query(
@@ -225,18 +248,22 @@ def project_findings(spark, d):
 )
 def delta_report(spark, d):
     base = spark.createDataFrame([("always_tokens", 100), ("context_tokens", 0), ("files", 9)], "metric string, value long")
-    return P.delta(base, P.metrics(P.entries(files(spark))), 50, 10.0)
+    return P.delta(base, P.metrics(P.entries(files(spark, d))), 50, 10.0)
 
 
-TEXTS = [(1, "Spent 14,989 tokens over 3 days, 100% of 52", '{"tokens": 14989, "days": 3}'), (2, "All 7 of 08 calls and 11 more", '{"n": 12}'), (3, "none", "{}"), (4, "from 2,500 to 2500", '{"a": 2500}')]
+_NUMBERS = """SELECT o_orderkey AS id, 'Spent ' || format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) || ' tokens over ' || o_custkey % 40 || ' days, 100% of 0' || o_orderkey % 20 || ' and ' || o_custkey AS output, '{"tokens": ' || CAST(floor(o_totalprice) AS BIGINT) || ', "n": ' || CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE 12 END || '}' AS source FROM orders"""
 
 
 @query(
     "number_gate",
-    f"WITH v AS (SELECT * FROM (VALUES {values(TEXTS)}) AS v(id, output, source)), r AS (SELECT id, list_distinct(regexp_extract_all(regexp_replace(regexp_replace(output, '([0-9]),([0-9])', '\\1\\2', 'g'), '([0-9]),([0-9])', '\\1\\2', 'g'), '[0-9]+')) AS o, regexp_extract_all(regexp_replace(source, '([0-9]),([0-9])', '\\1\\2', 'g'), '[0-9]+') AS s FROM v) SELECT CAST(id AS BIGINT) AS id, array_to_string(list_sort(list_filter(o, lambda x: NOT list_contains(s, x) AND CAST(x AS BIGINT) > 10 AND x <> '100')), ',') AS violations FROM r",
+    f"WITH v AS ({_NUMBERS}), r AS (SELECT id, list_distinct(regexp_extract_all(regexp_replace(regexp_replace(output, '([0-9]),([0-9])', '\\1\\2', 'g'), '([0-9]),([0-9])', '\\1\\2', 'g'), '[0-9]+')) AS o, regexp_extract_all(regexp_replace(source, '([0-9]),([0-9])', '\\1\\2', 'g'), '[0-9]+') AS s FROM v) SELECT CAST(id AS BIGINT) AS id, array_to_string(list_sort(list_filter(o, lambda x: NOT list_contains(s, x) AND CAST(x AS BIGINT) > 10 AND x <> '100')), ',') AS violations FROM r",
 )
 def number_gate(spark, d):
-    rows = spark.createDataFrame(TEXTS, "id long, output string, source string")
+    """Orders as told numbers and their sources."""
+    price, cust = F.floor("o_totalprice").cast("long"), F.col("o_custkey")
+    output = F.concat(F.lit("Spent "), W.commas(price), F.lit(" tokens over "), F.pmod(cust, F.lit(40)), F.lit(" days, 100% of 0"), F.pmod("o_orderkey", F.lit(20)), F.lit(" and "), cust)
+    source = F.concat(F.lit('{"tokens": '), price, F.lit(', "n": '), F.when(F.pmod("o_orderkey", F.lit(2)) == 0, cust).otherwise(F.lit(12)), F.lit("}"))
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("id"), output.alias("output"), source.alias("source"))
     return rows.select("id", F.array_join(F.array_sort(G.number_violations(F.col("output"), F.col("source"))), ",").alias("violations"))
 
 
@@ -264,15 +291,20 @@ def eta_by_customer(spark, d):
     return table(spark, d, "customer").select("c_custkey", G.eta_seconds(chip, F.col("c_custkey") * 10, F.lit(256)).alias("seconds"), G.model_for(F.pmod("c_custkey", F.lit(64))).alias("model"))
 
 
-@query("skills_plan", "SELECT * FROM (VALUES (1, 'a/SKILL.md', 1::BIGINT), (2, 'b/SKILL.md', 1::BIGINT)) AS v(place, path, capped)")
+@query("skills_plan", f"WITH {ENTRIES}, p AS (SELECT DISTINCT path FROM f WHERE path LIKE '%SKILL.md') SELECT CAST(row_number() OVER (ORDER BY path) AS INTEGER) AS place, path, greatest(0, (SELECT count(*) FROM p) - 20) AS capped FROM p ORDER BY path LIMIT 20")
 def skills_plan(spark, d):
-    rows = spark.createDataFrame([("b/SKILL.md",), ("a/SKILL.md",), ("a/SKILL.md",), ("c/SKILL.md",), ("c/README.md",)], "path string")
-    return G.skills_plan(rows, 2)
+    return G.skills_plan(files(spark, d).unionByName(files(spark, d)), 20)
 
 
-@query("answers_match", "SELECT * FROM (VALUES (1::BIGINT, TRUE), (2, TRUE), (3, FALSE)) AS v(id, ok)")
+@query(
+    "answers_match",
+    "SELECT CAST(p_partkey AS BIGINT) AS id, p_partkey % 4 <> 3 AS ok FROM part",
+)
 def answers_match(spark, d):
-    rows = spark.createDataFrame([(1, " The  Answer", ["the answer"]), (2, "it is 42 indeed", ["41", "42"]), (3, "no", ["yes"])], "id long, given string, accepted array<string>")
+    """Parts as answers: spaced and in capitals, inside a sentence, the second of two, and another one's."""
+    k, name = F.pmod("p_partkey", F.lit(4)), F.col("p_name")
+    given = F.when(k == 0, F.concat(F.lit("  "), F.upper(F.replace(name, F.lit(" "), F.lit("   "))))).when(k == 1, F.concat(F.lit("It is "), name, F.lit(" indeed"))).when(k == 2, name).otherwise("none of them")
+    rows = table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("id"), given.alias("given"), F.array(F.when(k == 2, "zzz").otherwise(name), name).alias("accepted"))
     return rows.select("id", G.answers_match(F.col("given"), F.col("accepted")).alias("ok"))
 
 
@@ -310,10 +342,10 @@ def swap_info(spark, d):
 
 @query(
     "display_numbers",
-    """SELECT o_orderkey, format('{:,}', n) AS grouped, CASE WHEN n < 1000 THEN CAST(n AS VARCHAR) WHEN n < 1000000 THEN CASE WHEN n / 1e3 >= 100 THEN printf('%.0fk', n / 1e3::DOUBLE) ELSE printf('%.1fk', n / 1e3::DOUBLE) END ELSE printf('%.1fM', n / 1e6::DOUBLE) END AS short,
-    CASE WHEN o_custkey % 86400 < 60 THEN 'now' WHEN o_custkey * 50 < 3600 THEN (o_custkey * 50 // 60) || 'm' ELSE (o_custkey * 50 // 3600) || 'h' END AS age FROM (SELECT *, CAST(floor(o_totalprice) AS BIGINT) * 4 + 1 AS n FROM orders WHERE o_custkey * 50 < 86400 AND o_custkey > 60)""",
+    """SELECT o_orderkey, format('{:,}', n) AS grouped, CASE WHEN n < 1000 THEN CAST(n AS VARCHAR) WHEN n < 1000000 THEN CASE WHEN n / 1e3 >= 100 THEN printf('%.0fk', n / 1e3::DOUBLE) ELSE printf('%.1fk', n / 1e3::DOUBLE) END WHEN n / 1e6 >= 100 THEN printf('%.0fM', n / 1e6::DOUBLE) ELSE printf('%.1fM', n / 1e6::DOUBLE) END AS short,
+    CASE WHEN s < 60 THEN 'now' WHEN s < 3600 THEN (s // 60) || 'm' WHEN s < 86400 THEN (s // 3600) || 'h' WHEN s < 86400000 THEN (s // 86400) || 'd' ELSE '999d+' END AS age FROM (SELECT *, CAST(floor(o_totalprice) AS BIGINT) * 4 + 1 AS n, CAST(o_custkey AS BIGINT) * 1700 AS s FROM orders)""",
 )
 def display_numbers(spark, d):
     n = (F.floor("o_totalprice") * 4 + 1).cast("long")
-    rows = table(spark, d, "orders").where("o_custkey * 50 < 86400 and o_custkey > 60").withColumn("n", n)
-    return rows.select("o_orderkey", W.commas(F.col("n")).alias("grouped"), W.humanized(F.col("n")).alias("short"), W.age(F.col("o_custkey") * 50, F.lit(0)).alias("age"))
+    rows = table(spark, d, "orders").withColumn("n", n)
+    return rows.select("o_orderkey", W.commas(F.col("n")).alias("grouped"), W.humanized(F.col("n")).alias("short"), W.age(F.col("o_custkey").cast("long") * 1700, F.lit(0)).alias("age"))

@@ -261,18 +261,22 @@ def extracted(raw: bytes, name: str) -> str | None:
         return None
 
 
-def texts(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """(path, text) of all files below a folder; text is null where there is none to read."""
+def read_files(files: DataFrame) -> DataFrame:
+    """(path, text) of files (path, content); text is null where there is none to read."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [extracted(raw, p) for p, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["path", "text"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     return files.select("path", "content").mapInArrow(read, "path string, text string")
 
 
+def texts(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """(path, text) of all files below a folder."""
+    return read_files(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root))
+
+
 def ignored(patterns: list[str]) -> re.Pattern:
     """One pattern for the lines of an ignore file: *, **, ?, a leading slash, and a trailing one."""
     parts = []

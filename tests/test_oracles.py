@@ -7,11 +7,12 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from sparkmeter.plans import context, text, usage
+from sparkmeter.plans import context, logs, reports, text, usage
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-PAIRS = [(m, n) for m in (usage, text, context) for n in sorted(m.SQL)]
+MODULES = (usage, logs, text, context, reports)
+PAIRS = [(m, n) for m in MODULES for n in sorted(m.SQL)]
 
 
 @pytest.fixture(scope="module")
@@ -42,7 +43,7 @@ def test_same_rows(spark, duck, module, name):
 
 
 def test_names_are_unique_and_entry_runs(spark):
-    names = [n for m in (usage, text, context) for n in m.QUERIES]
+    names = [n for m in MODULES for n in m.QUERIES]
     assert len(names) == len(set(names))
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     if os.path.isdir(DATA):
