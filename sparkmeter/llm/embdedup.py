@@ -2,13 +2,18 @@
 
 In each pass every vector gets the signs of 63 random projections, in an order of that pass, as one number; vectors are
 ordered by it, which orders them lexicographically by the concatenated hashes, and each is compared with its next
-WINDOW neighbours in double precision. Verified links of all passes are united into components. The number of passes
-follows from the number of vectors, so that a pair at the threshold is met with probability RECALL at any size.
+WINDOW neighbours in double precision. A vector's place in the whole order tells its task, and the first WINDOW of a task
+are read by the one before it too, so the links found do not depend on the number of tasks. Verified links of all passes
+are united into components. The number of passes follows from the number of vectors, so that a pair at the threshold is
+met with probability RECALL if vectors spread evenly. Where they do not, the order itself tells: a vector that shares
+more bits with the one WINDOW places on than an even spread would give (DENSE of them) takes part in further passes, as
+many as the shared bits of such vectors call for, at most MORE.
 
-A bounded window cannot count the links of a vector in a group larger than itself. So each component is afterwards
-compared exactly: its members are cut into blocks of BLOCK, each pair of blocks is one matrix product in one task, and
-only the number of links of each vector leaves it. Exact copies are one class throughout; a class counts as many links
-as it has rows.
+A bounded window cannot count the links of a vector in a group larger than itself. So members of a component are counted
+by their angle to its centre: those within half the linking angle (core) all link with each other and are counted by
+their number alone; only the others are compared, in blocks of BLOCK, with each other and with the core, one matrix
+product a pair of blocks, and only the number of links of each vector leaves a task. Exact copies are one class
+throughout; a class counts as many links as it has rows.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components have no links and are their own
 component; a null vec_id takes no part and is returned with no links; vectors of different lengths never link; rows
@@ -22,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, settle
+from .common import components, placed, settle
 from .vectors import marked
 
 LINK = 0.95
@@ -33,13 +38,22 @@ WINDOW = 64
 RECALL = 0.995
 BLOCK = 1024
 BITS = 63
+TASK = 1 << 15
+DENSE = 3
+MORE = 96
+#: Vectors this near to half the linking angle, in radians, are compared rather than counted.
+MARGIN = 1e-6
 
 
 def passes_for(n: int, window: int, recall: float, link: float) -> int:
     """Passes after which a pair at the threshold has met in a window: a pass meets it if about log2(n / window) bits agree."""
-    same = 1 - math.acos(link) / math.pi
-    met = same ** max(1.0, math.log2(max(2.0, n / window)) + 1)
-    return max(4, math.ceil(math.log(1 - recall) / math.log(1 - met)))
+    return max(4, passes_of_bits(max(1.0, math.log2(max(2.0, n / window))), recall, link))
+
+
+def passes_of_bits(bits: float, recall: float, link: float) -> int:
+    """Passes after which a pair at the threshold has met, if so many bits and one more have to agree."""
+    met = (1 - math.acos(link) / math.pi) ** (bits + 1)
+    return math.ceil(math.log(1 - recall) / math.log(1 - met))
 
 
 def _planes(dim: int, turn: int, seed: int) -> np.ndarray:
@@ -52,7 +66,7 @@ def _vectors(column: pa.Array) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
-def _codes(batches: Iterator[pa.RecordBatch], turns: int, seed: int) -> Iterator[pa.RecordBatch]:
+def _codes(batches: Iterator[pa.RecordBatch], first: int, turns: int, seed: int) -> Iterator[pa.RecordBatch]:
     weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
     planes: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
@@ -63,12 +77,12 @@ def _codes(batches: Iterator[pa.RecordBatch], turns: int, seed: int) -> Iterator
             at = np.flatnonzero(dims == dim)
             block = np.stack([vectors[i] for i in at])
             for t in range(turns):
-                key = (int(dim), t)
+                key = (int(dim), first + t)
                 if key not in planes:
                     planes[key] = _planes(*key, seed)
                 codes[at, t] = (block @ planes[key] > 0) @ weights
         width = np.arange(0, (len(vectors) + 1) * turns, turns, dtype=np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(width), pa.array(codes.ravel()))], names=["cid", "v", "codes"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(width), pa.array(codes.ravel()))], names=["cid", "codes"])
 
 
 def _unit(vectors: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -99,12 +113,12 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int, link: float) -> Iterator[pa.RecordBatch]:
-    """Rows (pass, code, cid, v) in order; gives links of a spanning forest of what each batch's windows verify."""
+    """Rows (zone, cid, v) in order, a zone being a pass in a task; gives links of a spanning forest of what each batch's windows verify."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
     width = 1
     for batch in batches:
-        unit, dims = _unit(_vectors(batch.column(3)))
-        turn, cid = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        unit, dims = _unit(_vectors(batch.column(2)))
+        turn, cid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         width = max([width, unit.shape[1], *(h[3].shape[1] for h in held)])
         parts = [*held, (turn, cid, dims, unit)]
         turn, cid, dims = (np.concatenate([p[i] for p in parts]) for i in range(3))
@@ -156,28 +170,113 @@ def _counted(batches: Iterator[pa.RecordBatch], link: float) -> Iterator[pa.Reco
         yield count(key, rows)
 
 
+def _ordered(classes: DataFrame, first: int, turns: int, window: int, seed: int) -> DataFrame:
+    """(bucket, place, turn, code, cid) of some passes over (cid, v): the whole order, in tasks that share WINDOW rows with the next one."""
+    coded = classes.select("cid", "v").mapInArrow(lambda b: _codes(b, first, turns, seed), "cid long, codes array<long>")
+    ranked = placed(coded.select(F.posexplode("codes").alias("turn", "code"), "cid"), [F.col("turn"), F.col("code"), F.col("cid")], {})
+    bucket = F.floor(F.col("place") / TASK)
+    shared = (F.col("place") % TASK < window) & (bucket > 0)
+    return ranked.withColumn("bucket", F.explode(F.when(shared, F.array(bucket, bucket - 1)).otherwise(F.array(bucket))))
+
+
+def _met(ordered: DataFrame, classes: DataFrame, turns: int, window: int, link: float) -> DataFrame:
+    """(a, b): links that the windows of some passes verify."""
+    zoned = ordered.withColumn("zone", F.col("bucket") * turns + F.col("turn")).join(classes.select("cid", "v"), "cid")
+    tasks = max(1, -(-classes.count() * turns // TASK))
+    return zoned.repartition(tasks, "bucket").sortWithinPartitions("bucket", "place").select("zone", "cid", "v").mapInArrow(lambda b: _windows(b, window, link), "a long, b long")
+
+
+def _crowded(ordered: DataFrame, window: int, n: int) -> DataFrame:
+    """(cid, bits) of vectors that share more bits, on the mean of the passes, with the one a window further on than an even spread would give."""
+    later = lambda c: F.lead(c, window).over(Window.partitionBy("bucket").orderBy("place"))  # noqa: E731  at most TASK + WINDOW rows
+    apart = F.col("code").bitwiseXOR(later("code"))
+    bits = F.when(later("turn") != F.col("turn"), 0).when(apart == 0, BITS).otherwise(BITS - F.length(F.bin(apart)))
+    own = ordered.withColumn("bits", F.coalesce(bits, F.lit(0))).where(F.floor(F.col("place") / TASK) == F.col("bucket"))
+    return own.groupBy("cid").agg(F.avg("bits").alias("bits")).where(F.col("bits") > math.log2(max(2.0, n / window)) + DENSE)
+
+
+def _sums(batches: Iterator[pa.RecordBatch], held: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Rows (root, v) as sums of the vectors of each root, at most so many at a time."""
+    sums: dict[int, np.ndarray] = {}
+
+    def given() -> pa.RecordBatch:
+        flat = pa.array(np.concatenate(list(sums.values())))
+        ends = np.cumsum([0, *map(len, sums.values())]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["root", "v"])
+
+    for batch in batches:
+        for root, v in zip(batch.column(0).to_pylist(), _vectors(batch.column(1)), strict=True):
+            top = np.abs(v).max()
+            sums[root] = sums.get(root, 0) + (v / np.linalg.norm(v / top) / top if top else v)
+        if len(sums) > held:
+            yield given()
+            sums.clear()
+    if sums:
+        yield given()
+
+
+def _sums_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial sums, all of a root in one partition, added up: one row a root."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for root, v in zip(batch.column(0).to_pylist(), _vectors(batch.column(1)), strict=True):
+            sums[root] = sums.get(root, 0) + v
+    if sums:
+        ends = np.cumsum([0, *map(len, sums.values())]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(list(sums.values()))))], names=["root", "v"])
+
+
+def _angled(batches: Iterator[pa.RecordBatch], link: float) -> Iterator[pa.RecordBatch]:
+    """Rows (root, cid, n, v, centre); core: within half the linking angle of the centre."""
+    half = math.acos(link) / 2 - MARGIN
+    for batch in batches:
+        unit, _ = _unit(_vectors(batch.column(3)))
+        centre, _ = _unit(_vectors(batch.column(4)))
+        core = np.einsum("ij,ij->i", unit, centre[:, : unit.shape[1]]) >= math.cos(half)
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(core)], names=["root", "cid", "n", "v", "core"])
+
+
+def _links_of(roots: DataFrame, classes: DataFrame, link: float, block: int) -> DataFrame:
+    """(cid, root, linked): how many rows each class of a component links with, itself included."""
+    whole = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    members = settle(whole.join(classes, whole.node == classes.cid).select("root", "cid", "n", "v"))
+    centres = members.select("root", "v").mapInArrow(_sums, "root long, v array<double>").repartition("root").mapInArrow(_sums_again, "root long, v array<double>")
+    angled = settle(members.join(centres.select("root", F.col("v").alias("centre")), "root").mapInArrow(lambda b: _angled(b, link), "root long, cid long, n long, v array<double>, core boolean"))
+    sized = angled.groupBy("root").agg(
+        F.sum(F.when(F.col("core"), F.col("n")).otherwise(0)).alias("core_rows"), F.ceil(F.count_if("core") / block).cast("int").alias("cores"), F.ceil(F.count_if(~F.col("core")) / block).cast("int").alias("loose")
+    )
+    about = angled.join(sized, "root")
+    part = F.xxhash64("cid", F.lit(1))
+    own = F.when(F.col("core"), F.pmod(part, F.col("cores"))).otherwise(F.col("cores") + F.pmod(part, F.col("loose"))).cast("int")
+    others = F.when(F.col("core"), F.sequence(F.col("cores"), F.col("cores") + F.col("loose") - 1)).otherwise(F.sequence(F.lit(0), F.col("cores") + F.col("loose") - 1))
+    pairs = about.where("loose > 0").withColumn("own", own).withColumn("other", F.explode(others))
+    pairs = pairs.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "n", "v")
+    sorted_ = pairs.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    compared = sorted_.mapInArrow(lambda b: _counted(b, link), "cid long, linked long").groupBy("cid").agg(F.sum("linked").alias("linked"))
+    return about.select("cid", "root", "core", "core_rows").join(compared, "cid", "left").select("cid", "root", (F.coalesce("linked", F.lit(0)) + F.when(F.col("core"), F.col("core_rows")).otherwise(0)).alias("linked"))
+
+
 def near_duplicates(rows: DataFrame, link: float = LINK, window: int = WINDOW, recall: float = RECALL, seed: int = 7) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row; see the module's text for the cases."""
     every = marked(rows)
     # one class for each different vector; its id is a hash of the whole vector
     member = settle(every.where("ok").select("vec_id", "v", F.xxhash64("v").alias("cid")))
     classes = settle(member.groupBy("cid").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.any_value("v").alias("v")))
-    turns = passes_for(classes.count(), window, recall, link)
-    coded = classes.select("cid", "v").mapInArrow(lambda b: _codes(b, turns, seed), "cid long, v array<double>, codes array<long>")
-    passes = coded.select(F.posexplode("codes").alias("turn", "code"), "cid", "v")
-    ordered = passes.repartitionByRange("turn", "code").sortWithinPartitions("turn", "code", "cid")
-    met = ordered.mapInArrow(lambda b: _windows(b, window, link), "a long, b long")
+    n = classes.count()
+    turns = passes_for(n, window, recall, link)
+    ordered = settle(_ordered(classes, 0, turns, window, seed))
+    met = _met(ordered, classes, turns, window, link)
+    crowded = settle(_crowded(ordered, window, n))
+    some, bits = crowded.agg(F.count("*"), F.percentile_approx("bits", 0.9)).first()
+    if some > window:
+        more = min(MORE, passes_of_bits(bits, recall, link)) - turns
+        dense = settle(classes.join(crowded, "cid", "left_semi"))
+        for at in range(turns, turns + max(0, more), turns):
+            met = met.unionByName(_met(_ordered(dense, at, turns, window, seed), dense, turns, window, link))
     roots = settle(components(met))
-    sized = roots.groupBy("root").agg((F.count("*") + 1).alias("m"))
-    whole = roots.unionByName(sized.select(F.col("root").alias("node"), "root")).join(sized, "root")
-    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
-    whole = whole.join(classes, whole.node == classes.cid).withColumn("own", F.pmod(F.xxhash64("cid", F.lit(1)), blocks).cast("int"))
-    pairs = whole.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    pairs = pairs.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "n", "v")
-    placed = pairs.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    linked = placed.mapInArrow(lambda b: _counted(b, link), "cid long, linked long").groupBy("cid").agg(F.sum("linked").alias("linked"))
-    lowest = whole.groupBy("root").agg(F.min("least").alias("low"))
-    found = whole.select("cid", "root").join(lowest, "root").join(linked, "cid")
+    counted = settle(_links_of(roots, classes, link, BLOCK))
+    lowest = counted.join(classes.select("cid", "least"), "cid").groupBy("root").agg(F.min("least").alias("low"))
+    found = counted.join(lowest, "root").select("cid", "linked", "low")
     about = classes.select("cid", "n", "least").join(found, "cid", "left")
     about = about.select("cid", (F.coalesce("linked", "n") - 1).alias("n_links"), F.coalesce("low", "least").alias("component_id"))
     out = member.select("vec_id", "cid").join(about, "cid").select("vec_id", "n_links", "component_id")

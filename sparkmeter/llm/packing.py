@@ -2,11 +2,12 @@
 
 Texts become token ids in one pass, cut into pieces of at most SIZE tokens; only the pieces' figures go on, never the
 ids. Full pieces are sequences of their own. The others are dealt over islands of about ISLAND pieces by their row
-number, so that copies, however many, spread evenly. An island evolves packings: a packing is a set of bins (a gene is a
-whole bin); crossover injects well-filled bins of one parent into the other, removes bins that hold any of their pieces,
-and puts the displaced pieces back by best fit. After a round the elite, bins with a waste of at most CLOSED, are final;
-the other bins migrate, whole, to islands of the next round, where they stand beside bins of other islands as one parent
-of the new population. A round never needs more bins than came in, and the last one closes all.
+number, so that copies, however many, spread evenly. An island evolves packings, which begin in random orders: a packing
+is a set of bins (a gene is a whole bin); crossover injects well-filled bins of one parent into the other, removes bins
+that hold any of their pieces, and puts the displaced pieces back by best fit, longest first. After a round the elite,
+bins with a waste of at most CLOSED, are final; the other bins migrate, whole, to islands of the next round, where they
+stand beside bins of other islands as one parent of the new population. A round never needs more bins than came in, and
+the last one closes all.
 
 Defined cases: null text is empty and gives one piece with the end id alone; null or repeated doc_id and repeated rows
 are packed as rows of their own; an empty table gives no rows; other columns of the input play no part.
@@ -35,7 +36,7 @@ ISLAND = 2048
 CLOSED = 4
 ROUNDS = 3
 POPULATION = 4
-GENERATIONS = 12
+GENERATIONS = 60
 CACHE = 100_000
 
 
@@ -138,11 +139,11 @@ def pieces(docs: DataFrame, vocabulary: str, ranks: str | None, size: int = SIZE
     return rows.mapInArrow(lambda b: _cut(b, vocabulary, ranks, size), "uid long, doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit(lengths: list[int], items: list[int], bins: list[list[int]], size: int) -> list[list[int]]:
-    """Put items, longest first, each into the fullest bin that has room."""
+def best_fit(lengths: list[int], items: list[int], bins: list[list[int]], size: int, longest: bool = True) -> list[list[int]]:
+    """Put items, longest first or in their order, each into the fullest bin that has room."""
     bins = [list(b) for b in bins]
     room = sorted((size - n, k) for k, n in enumerate(_fills(lengths, bins)))
-    for i in sorted(items, key=lengths.__getitem__, reverse=True):
+    for i in sorted(items, key=lengths.__getitem__, reverse=True) if longest else items:
         n = lengths[i]
         at = bisect_left(room, (n, -1))
         if at == len(room):
@@ -155,39 +156,6 @@ def best_fit(lengths: list[int], items: list[int], bins: list[list[int]], size:
     return bins
 
 
-def least_slack(lengths: list[int], size: int) -> list[list[int]]:
-    """Bin by bin: the longest piece left, with those that fill the rest of its bin best, found from the sums that can be reached."""
-    left: dict[int, list[int]] = {}
-    for i, n in enumerate(lengths):
-        left.setdefault(n, []).append(i)
-    bins = []
-    while left:
-        first = max(left)
-        held = [left[first].pop()]
-        if not left[first]:
-            del left[first]
-        room = size - first
-        full = (1 << (room + 1)) - 1
-        # bit s of sums: s can be reached; steps: what could be before pieces of a length came in
-        sums, steps = 1, []
-        for n in sorted((n for n in left if n <= room), reverse=True):
-            before = sums
-            for _ in range(min(len(left[n]), room // n)):
-                sums |= (sums << n) & full
-            steps.append((n, before))
-            if sums >> room & 1:
-                break
-        at = sums.bit_length() - 1
-        for n, before in reversed(steps):
-            while not before >> at & 1:
-                held.append(left[n].pop())
-                at -= n
-            if not left[n]:
-                del left[n]
-        bins.append(held)
-    return bins
-
-
 def _fills(lengths: list[int], bins: list[list[int]]) -> list[int]:
     get = lengths.__getitem__
     return [sum(map(get, b)) for b in bins]
@@ -201,43 +169,46 @@ def _worth(lengths: list[int], bins: list[list[int]]) -> tuple[int, int]:
 def cross(lengths: list[int], giver: list[list[int]], taker: list[list[int]], size: int, rng: np.random.Generator) -> list[list[int]]:
     """Inject well-filled bins of the giver into the taker; bins that share a piece with them go, displaced pieces are best-fitted."""
     fill = np.array(_fills(lengths, giver))
-    good = np.flatnonzero(fill >= np.quantile(fill, 0.5))
-    given = [giver[k] for k in good[rng.random(len(good)) < 0.5].tolist()]
+    good = np.flatnonzero(fill >= np.quantile(fill, rng.uniform(0.2, 0.8)))
+    given = [giver[k] for k in good[rng.random(len(good)) < rng.uniform(0.3, 1.0)].tolist()]
     held = {i for b in given for i in b}
-    kept = [b for b in taker if held.isdisjoint(b)]
-    loose = [i for b in taker if not held.isdisjoint(b) for i in b if i not in held]
-    # the emptiest bins are opened too, so that their pieces can find better places
+    kept, loose = [], []
+    for b in taker:
+        if held.isdisjoint(b):
+            kept.append(b)
+        else:
+            loose += [i for i in b if i not in held]
+    # the emptiest bins, seldom many of them, are opened too, so that their pieces can find better places
     order = np.argsort(-np.array(_fills(lengths, kept)), kind="stable").tolist() if kept else []
-    few = max(1, len(kept) // 50) if kept else 0
-    loose += [i for k in order[len(kept) - few :] for i in kept[k]]
-    return best_fit(lengths, loose, given + [kept[k] for k in order[: len(kept) - few]], size)
+    stay = int(len(kept) * (1 - rng.uniform(0, 1) ** 2))
+    loose += [i for k in order[stay:] for i in kept[k]]
+    return best_fit(lengths, loose, given + [kept[k] for k in order[:stay]], size)
+
 
+def evolve(lengths: np.ndarray | list[int], came: list[list[int]], size: int = SIZE, seed: int = 0, generations: int = GENERATIONS) -> list[list[int]]:
+    """The best packing found; came: bins that migrated here, a whole packing, or nothing.
 
-def evolve(lengths: np.ndarray | list[int], came: list[list[int]], size: int = SIZE, seed: int = 0) -> list[list[int]]:
-    """The best packing found; came: bins that migrated here, a whole packing, or nothing."""
+    The others of the population begin with the pieces in random orders, each piece in the fullest bin that has room.
+    """
     lengths = [int(n) for n in lengths]
     rng = np.random.default_rng([seed, len(lengths)])
     least = -(-sum(lengths) // size)
-    every = list(range(len(lengths)))
-    people = [best_fit(lengths, every, [], size)]
-    if came:
-        people.append(came)
-    if len(people[0]) > least:
-        people.append(least_slack(lengths, size))
-    while len(people) < POPULATION and min(len(p) for p in people) > least:
-        some = rng.permutation(len(lengths))[: len(lengths) // 4].tolist()
-        begun = best_fit(lengths, some, [], size)  # a quarter of the pieces goes first
-        people.append(best_fit(lengths, sorted(set(every) - set(some)), begun, size))
-    people.sort(key=lambda p: _worth(lengths, p))
-    for _ in range(GENERATIONS * min(16, max(1, ISLAND // max(1, len(lengths))))):  # a small island's cost as much as a full one's
-        if len(people[0]) <= least or len(people) < 2:
+    people = [came] if came else []
+    while len(people) < POPULATION:
+        people.append(best_fit(lengths, rng.permutation(len(lengths)).tolist(), [], size, longest=False))
+    ranked = sorted(((_worth(lengths, p), n, p) for n, p in enumerate(people)), key=lambda r: r[:2])
+    born = len(ranked)
+    for _ in range(generations * min(16, max(1, ISLAND // max(1, len(lengths))))):  # a small island's cost as much as a full one's
+        if ranked[0][0][0] <= least:
             break
-        a, b = rng.choice(len(people), 2, replace=False)
-        child = cross(lengths, people[min(a, b)], people[max(a, b)], size, rng)
-        if _worth(lengths, child) < _worth(lengths, people[-1]):
-            people[-1] = child
-            people.sort(key=lambda p: _worth(lengths, p))
-    return people[0]
+        a, b = rng.choice(len(ranked), 2, replace=False).tolist()
+        child = cross(lengths, ranked[a][2], ranked[b][2], size, rng)
+        worth = _worth(lengths, child)
+        if worth < ranked[-1][0] and all(worth != r[0] for r in ranked):
+            ranked[-1] = (worth, born, child)
+            born += 1
+            ranked.sort(key=lambda r: r[:2])
+    return ranked[0][2]
 
 
 def _island(group: pd.DataFrame, size: int, seed: int, last: bool) -> pd.DataFrame:

@@ -422,6 +422,24 @@ def test_genetic_packing_keeps_every_piece_and_never_grows():
     assert all(sum(lengths[i] for i in b) <= 1024 for b in best)
     child = packing.cross(lengths, first, best, 1024, rng)
     assert sorted(i for b in child for i in b) == list(range(400))
+
+
+def test_crossover_wins_where_longest_first_does_not():
+    """Triplets that fill a bin exactly: best fit of the longest first needs more bins, and so do the packings that evolution begins with."""
+    rng = np.random.default_rng(6)
+    triplets = []
+    for _ in range(40):
+        a = int(rng.integers(380, 500))
+        b = int(rng.integers(250, 1024 - a - 250 + 1))
+        triplets += [a, b, 1024 - a - b]
+    order = rng.permutation(len(triplets))
+    lengths = [triplets[i] for i in order]
+    decreasing = len(packing.best_fit(lengths, list(range(120)), [], 1024))
+    begun, bred = (len(packing.evolve(lengths, [], seed=3, generations=n)) for n in (0, packing.GENERATIONS))
+    assert 40 <= bred < min(decreasing, begun)
+
+
+def test_small_pieces_fill_bins():
     assert len(packing.evolve(np.array([512] * 100 + [300] * 30 + [212] * 30), [], seed=2)) <= 66
 
 
