@@ -1,11 +1,15 @@
 """Approximate nearest neighbours by learned partitions.
 
 The index is fitted on a bounded sample of SAMPLE vectors (those with the least hashes, so reruns agree): their
-neighbour graph is cut into PARTS balanced parts, by growing parts of equal size over the graph and then moving
-vectors to the part that holds most of their neighbours, within the balance; a small classifier (one hidden layer)
-learns which parts hold a vector's neighbours. It places every vector of the table in its most probable part and sends
-each query to its PROBES most probable parts, where it is compared with every vector, in double precision. PROBES is
-found on the sample, as the fewest that reach RECALL of the true neighbours there; recall() measures against brute force.
+neighbour graph is cut into balanced parts, by growing parts of equal size over the graph and then moving vectors to the
+part that holds most of their neighbours, within the balance; a small classifier (one hidden layer) learns which parts
+hold a vector's neighbours. It places every vector of the table in its most probable part and sends each query to its
+most probable parts, where it is compared with every vector, in double precision. How many parts are probed is found on
+the sample, as the fewest that reach RECALL of the true neighbours there; recall() measures against brute force.
+
+Parts grow with the square root of the rows, up to PARTS. Beyond PARTS * LEAF rows every part is cut again in the same
+way, by a classifier of its own that is fitted on a bounded sample of the part, so there are up to PARTS * PARTS parts in
+two levels; the classifiers, at most PARTS + 1 of bounded size, are broadcast.
 
 Parts are searched in blocks of at most BLOCK vectors by tasks of their own, so a part with a third of all rows is many
 blocks; a query's best K of each block meet in one group. Exact copies are one class: of a class only the K + 1 smallest
@@ -19,6 +23,7 @@ columns of the input play no part.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +36,18 @@ from .vectors import marked
 
 K = 20
 EVERY = 20
-SAMPLE = 6000
-PARTS = 16
+SAMPLE = 16_384
+PARTS = 128
+LEAF = 50_000
 HIDDEN = 96
-RECALL = 0.96
+RECALL = 0.94
 BLOCK = 8192
 
 
+def parts_for(n: int, most: int = PARTS) -> int:
+    return max(16, min(most, round(n**0.5 / 2)))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """A list column of one length as a matrix."""
     flat = column.flatten().to_numpy()
@@ -130,11 +140,11 @@ class Router:
                     self.p[i] = self.p[i] - rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
 
 
-def fit(x: np.ndarray, parts: int = PARTS, k: int = K, want: float = RECALL, seed: int = 3) -> tuple[Router, int]:
+def fit(x: np.ndarray, parts: int = PARTS, k: int = K, want: float = RECALL, seed: int = 3, least: int = 64) -> tuple[Router, int]:
     """The router and the number of parts to probe, from sample vectors."""
     rng = np.random.default_rng(seed)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    parts = max(1, min(parts, len(x) // 64))
+    parts = max(1, min(parts, len(x) // least))
     router = Router(x.shape[1], parts, rng)
     if parts == 1 or len(x) < 3:
         return router, 1
@@ -170,6 +180,55 @@ def _route(batches: Iterator[pa.RecordBatch], model: tuple[Router, int], every:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(order[:, 0].astype(np.int32)), pa.ListArray.from_arrays(pa.array(width), pa.array(top.ravel()))], names=["cid", "v", "part", "probes"])
 
 
+def _fit_part(table: pa.Table, k: int, want: float, least: int) -> pa.Table:
+    """The router of one part, from its sample (rows: of the whole part)."""
+    x = _matrix(table.column("v").combine_chunks())
+    model = fit(x, parts_for(table.column("rows")[0].as_py()), k, want, least=least)
+    return pa.table({"part": table.column("part").slice(0, 1), "model": pa.array([pickle.dumps((model[0].p, model[1]))], pa.binary())})
+
+
+def _route_on(batches: Iterator[pa.RecordBatch], models: dict[int, tuple[Router, int]], most: int) -> Iterator[pa.RecordBatch]:
+    """(cid, v, asks, part, probes) with parts of the second level."""
+    for batch in batches:
+        x = _matrix(batch.column(1))
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        part, asks = batch.column(3).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+        own = np.empty(len(x), dtype=np.int32)
+        for p in np.unique(part).tolist():
+            at = np.flatnonzero(part == p)
+            own[at] = p * most + models[p][0].logits(unit[at]).argmax(axis=1)
+        probed: list[list[int]] = [[] for _ in range(len(x))]
+        lists = batch.column(4).to_pylist()
+        wanted: dict[int, list[int]] = {}
+        for i in np.flatnonzero(asks).tolist():
+            for p in lists[i]:
+                if p in models:
+                    wanted.setdefault(p, []).append(i)
+        for p, rows in wanted.items():
+            router, probes = models[p]
+            for i, top in zip(rows, np.argsort(-router.logits(unit[rows]), axis=1)[:, :probes].tolist(), strict=True):
+                probed[i] += [p * most + t for t in top]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own), pa.array(probed, pa.list_(pa.int32()))], names=["cid", "v", "part", "probes"])
+
+
+def _deeper(told: DataFrame, classes: DataFrame, k: int, want: float, sample: int, least: int) -> DataFrame:
+    """The routed classes (cid, v, part, probes) cut once more."""
+    spark = told.sparkSession
+    told = settle(told.join(classes.select("cid", "asks"), "cid").select("cid", "v", "asks", "part", "probes"))
+    few = Window.partitionBy("part").orderBy(F.xxhash64("cid", F.lit(9)), "cid")  # limited before the shuffle
+    some = told.select("cid", "v", "part").withColumn("r", F.row_number().over(few)).where(F.col("r") <= sample).drop("r", "cid")
+    some = some.join(F.broadcast(told.groupBy("part").agg(F.count("*").alias("rows"))), "part")  # one row a part
+    made = some.groupBy("part").applyInArrow(lambda t: _fit_part(t, k, want, least), "part int, model binary").collect()  # at most PARTS models
+    models = {}
+    for row in made:
+        weights, probes = pickle.loads(row["model"])
+        router = Router.__new__(Router)
+        router.p = weights
+        models[row["part"]] = (router, probes)
+    given = spark.sparkContext.broadcast(models)
+    return told.mapInArrow(lambda b: _route_on(b, given.value, PARTS), "cid long, v array<double>, part int, probes array<int>")
+
+
 def _search(asks: pa.Table, rows: pa.Table, k: int) -> pa.Table:
     """Each asking class's nearest classes in one block: enough of them that k rows other than the query's own are in."""
     schema = pa.schema([("ask", pa.int64()), ("cid", pa.int64()), ("score", pa.float64())])
@@ -197,20 +256,25 @@ def _search(asks: pa.Table, rows: pa.Table, k: int) -> pa.Table:
     return pa.table({f.name: pa.array(np.concatenate(c), f.type) for f, c in zip(schema, out, strict=True)})
 
 
-def nearest(rows: DataFrame, k: int = K, every: int = EVERY, sample: int = SAMPLE, parts: int = PARTS, block: int = BLOCK) -> DataFrame:
+def nearest(rows: DataFrame, k: int = K, every: int = EVERY, sample: int = SAMPLE, parts: int | None = None, block: int = BLOCK, leaf: int = LEAF, least: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found for each row whose vec_id is divisible by every."""
     member = settle(marked(rows).where("ok").select("vec_id", "v", F.xxhash64("v").alias("cid")))
     classes = settle(member.groupBy("cid").agg(F.min("vec_id").alias("least"), F.max(F.pmod("vec_id", F.lit(every)) == 0).alias("asks"), F.any_value("v").alias("v")))
     some = classes.orderBy(F.xxhash64("cid", F.lit(9))).limit(sample).select("v").toArrow().column("v").to_pylist()
     dims = [len(v) for v in some]
     usual = max(set(dims), key=dims.count) if dims else 1
-    model = fit(np.array([v for v in some if len(v) == usual]), parts, k) if dims else (Router(1, 1, np.random.default_rng(0)), 1)
+    n = classes.count()
+    deep = n > (parts or PARTS) * leaf
+    want = RECALL**0.5 if deep else RECALL
+    model = fit(np.array([v for v in some if len(v) == usual]), parts or parts_for(n), k, want, least=least) if dims else (Router(1, 1, np.random.default_rng(0)), 1)
     given = rows.sparkSession.sparkContext.broadcast(model)
     told = classes.select("cid", "v").where(F.size("v") == usual).mapInArrow(lambda b: _route(b, given.value, every), "cid long, v array<double>, part int, probes array<int>")
+    if deep:
+        told = _deeper(told, classes, k, want, sample // 4, least)
     odd = classes.where(F.size("v") != usual).select("cid", "v", (-F.size("v")).alias("part"), F.array(-F.size("v")).alias("probes"))
     placed = settle(told.unionByName(odd).join(classes.select("cid", "least", "asks"), "cid"))
     sizes = placed.groupBy("part").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    sizes = F.broadcast(sizes)  # one row a part
+    sizes = F.broadcast(sizes)  # one row a part, at most PARTS * PARTS
     found = placed.select("cid", "v", "least", "part").join(sizes, "part")
     found = found.select("part", F.pmod(F.xxhash64("cid", F.lit(4)), F.col("blocks")).cast("int").alias("block"), "cid", "v", "least")
     asks = placed.where("asks").select(F.col("cid").alias("ask"), F.col("v").alias("qv"), F.explode("probes").alias("part")).join(sizes, "part")

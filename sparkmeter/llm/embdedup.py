@@ -6,8 +6,8 @@ WINDOW neighbours in double precision. A vector's place in the whole order tells
 are read by the one before it too, so the links found do not depend on the number of tasks. Verified links of all passes
 are united into components. The number of passes follows from the number of vectors, so that a pair at the threshold is
 met with probability RECALL if vectors spread evenly. Where they do not, the order itself tells: a vector that shares
-more bits with the one WINDOW places on than an even spread would give (DENSE of them) takes part in further passes, as
-many as the shared bits of such vectors call for, at most MORE.
+more bits with the one WINDOW places on than log2(n / WINDOW), on the mean of the passes, takes part in further passes,
+as many as the shared bits of such vectors call for, at most MORE.
 
 A bounded window cannot count the links of a vector in a group larger than itself. So members of a component are counted
 by their angle to its centre: those within half the linking angle (core) all link with each other and are counted by
@@ -35,11 +35,10 @@ from .vectors import marked
 
 LINK = 0.95
 WINDOW = 64
-RECALL = 0.995
+RECALL = 0.999
 BLOCK = 1024
 BITS = 63
 TASK = 1 << 15
-DENSE = 3
 MORE = 96
 #: Vectors this near to half the linking angle, in radians, are compared rather than counted.
 MARGIN = 1e-6
@@ -192,7 +191,7 @@ def _crowded(ordered: DataFrame, window: int, n: int) -> DataFrame:
     apart = F.col("code").bitwiseXOR(later("code"))
     bits = F.when(later("turn") != F.col("turn"), 0).when(apart == 0, BITS).otherwise(BITS - F.length(F.bin(apart)))
     own = ordered.withColumn("bits", F.coalesce(bits, F.lit(0))).where(F.floor(F.col("place") / TASK) == F.col("bucket"))
-    return own.groupBy("cid").agg(F.avg("bits").alias("bits")).where(F.col("bits") > math.log2(max(2.0, n / window)) + DENSE)
+    return own.groupBy("cid").agg(F.avg("bits").alias("bits")).where(F.col("bits") > math.log2(max(2.0, n / window)))
 
 
 def _sums(batches: Iterator[pa.RecordBatch], held: int = 20_000) -> Iterator[pa.RecordBatch]:
@@ -267,7 +266,7 @@ def near_duplicates(rows: DataFrame, link: float = LINK, window: int = WINDOW, r
     ordered = settle(_ordered(classes, 0, turns, window, seed))
     met = _met(ordered, classes, turns, window, link)
     crowded = settle(_crowded(ordered, window, n))
-    some, bits = crowded.agg(F.count("*"), F.percentile_approx("bits", 0.9)).first()
+    some, bits = crowded.agg(F.count("*"), F.percentile_approx("bits", 0.95)).first()
     if some > window:
         more = min(MORE, passes_of_bits(bits, recall, link)) - turns
         dense = settle(classes.join(crowded, "cid", "left_semi"))

@@ -211,11 +211,11 @@ def evolve(lengths: np.ndarray | list[int], came: list[list[int]], size: int = S
     return ranked[0][2]
 
 
-def _island(group: pd.DataFrame, size: int, seed: int, last: bool) -> pd.DataFrame:
+def _island(group: pd.DataFrame, size: int, seed: int, last: bool, generations: int) -> pd.DataFrame:
     group = group.sort_values("uid", ignore_index=True)
     lengths = group["length"].to_numpy()
     came = [b.tolist() for b in group.groupby("bin", sort=True).indices.values()] if (group["bin"] >= 0).all() else []
-    made = evolve(lengths, came, size, seed)
+    made = evolve(lengths, came, size, seed, generations)
     own, at, final = np.empty(len(group), np.int64), np.empty(len(group), np.int64), np.empty(len(group), bool)
     for b in made:
         b.sort()
@@ -225,11 +225,11 @@ def _island(group: pd.DataFrame, size: int, seed: int, last: bool) -> pd.DataFra
     return pd.DataFrame({"uid": group["uid"], "length": lengths, "bin": own, "at": at, "final": final})
 
 
-def _islander(size: int, seed: int, last: bool):
-    return lambda group: _island(group, size, seed, last)
+def _islander(size: int, seed: int, last: bool, generations: int):
+    return lambda group: _island(group, size, seed, last, generations)
 
 
-def pack(cut: DataFrame, size: int = SIZE, island: int = ISLAND, rounds: int = ROUNDS, seed: int = 11) -> DataFrame:
+def pack(cut: DataFrame, size: int = SIZE, island: int = ISLAND, rounds: int = ROUNDS, seed: int = 11, generations: int = GENERATIONS) -> DataFrame:
     """(uid, sequence_id, offset) for pieces (uid, length); uid differs from row to row."""
     done = cut.where(F.col("length") == size).select("uid", F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     open_ = cut.where(F.col("length") < size).select("uid", "length", F.lit(-1).cast("long").alias("bin"))
@@ -240,7 +240,7 @@ def pack(cut: DataFrame, size: int = SIZE, island: int = ISLAND, rounds: int = R
         place = F.when(F.col("bin") < 0, F.col("uid")).otherwise(F.col("bin"))
         dealt = open_.withColumn("isle", F.pmod(F.xxhash64(place, F.lit(seed + turn)), F.lit(islands)).cast("int"))
         dealt = dealt.repartition(-(-islands // 4), "isle")  # the rows are few bytes, the work is not
-        made = settle(dealt.groupBy("isle").applyInPandas(_islander(size, seed + turn, last), "uid long, length long, bin long, at long, final boolean"))
+        made = settle(dealt.groupBy("isle").applyInPandas(_islander(size, seed + turn, last, generations), "uid long, length long, bin long, at long, final boolean"))
         done = done.unionByName(made.where("final").select("uid", F.col("bin").alias("sequence_id"), F.col("at").alias("offset")))
         open_ = made.where("not final").select("uid", "length", "bin")
     return done

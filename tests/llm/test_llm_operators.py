@@ -1,6 +1,7 @@
 """Training-data operators against brute force, and on odd input: nulls, empty and long texts, ties, repeats, empty tables, extra columns."""
 
 import hashlib
+import os
 import zlib
 from collections import Counter
 
@@ -263,9 +264,10 @@ def usable(rows):
     return out
 
 
-def test_neighbours(spark, cloud):
+@pytest.mark.parametrize("how", [{"parts": 8}, {"parts": 4, "leaf": 50, "least": 16}])  # one level of parts, and two
+def test_neighbours(spark, cloud, how):
     df = vectors(spark, cloud)
-    found = ann.nearest(df, parts=8, block=64)
+    found = ann.nearest(df, block=64, **how)
     got = {}
     for r in found.collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
@@ -286,6 +288,17 @@ def test_neighbours(spark, cloud):
     assert [tuple(r) for r in ann.nearest(vectors(spark, [(0, [1.0, 0.0], 1), (1, [2.0, 0.0], 1), (2, [2.0, 0.0], 1)])).collect()] == [(0, 1, 1, 2.0), (0, 2, 2, 2.0)]
 
 
+def test_parts_grow_with_rows():
+    assert ann.parts_for(100) == ann.parts_for(1000) == 16 and ann.parts_for(10_000) == 50 and ann.parts_for(10**9) == ann.PARTS
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables here")
+def test_recall_on_the_tables(spark):
+    """Of random vectors, whose neighbours are spread over all parts: the hardest case."""
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    assert ann.recall(ann.nearest(df), df) >= 0.9
+
+
 def test_near_vectors(spark, cloud, monkeypatch):
     monkeypatch.setattr(embdedup, "BLOCK", 32)
     got = embdedup.near_duplicates(vectors(spark, cloud), window=8).collect()
@@ -306,6 +319,33 @@ def test_near_vectors(spark, cloud, monkeypatch):
 # 5 -----------------------------------------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("task", [64, 1 << 15])
+def test_links_do_not_depend_on_tasks(spark, monkeypatch, task):
+    """Pairs at the threshold, in an even spread, in a dense group and in a tight one, whatever the tasks' borders."""
+    monkeypatch.setattr(embdedup, "TASK", task)
+    rng = np.random.default_rng(2)
+
+    def near(v, cosine):
+        u = rng.normal(size=v.shape)
+        u -= (u @ v) / (v @ v) * v
+        return cosine * v / np.linalg.norm(v) + (1 - cosine**2) ** 0.5 * u / np.linalg.norm(u)
+
+    even = [rng.normal(size=32) for _ in range(600)]
+    centre = rng.normal(size=32)
+    dense = [near(centre, 0.9) for _ in range(300)]
+    tight = [near(even[0], 0.99) for _ in range(150)]
+    paired = [near(v, 0.96) for v in even[100:200] + dense[:60]]
+    x = np.stack([v / np.linalg.norm(v) for v in even + dense + tight + paired])
+    linked = (x @ x.T >= 0.95) & ~np.eye(len(x), dtype=bool)
+    root = list(range(len(x)))
+    for i, j in zip(*np.nonzero(np.triu(linked)), strict=True):
+        a, b = sorted((root[i], root[j]))
+        root = [a if r == b else r for r in root] if a != b else root
+    got = {r.vec_id: r for r in embdedup.near_duplicates(vectors(spark, [(i, v.tolist(), 1) for i, v in enumerate(x)]), recall=0.9999).collect()}
+    assert [got[i].component_id for i in range(len(x))] == root
+    assert [got[i].n_links for i in range(len(x))] == linked.sum(axis=1).tolist()
+
+
 def test_lm_scores(spark, none):
     rows = [(n, prose(60, 1000 + n % 40) if n % 9 else [None, "", "unheard-of " * 3][n // 9 % 3]) for n in range(200)]
     df = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string").withColumn("score", F.lit("clash")).repartition(3)
@@ -368,6 +408,72 @@ def test_names_of_layouts_and_slugs_drop_no_article():
     assert inside("<aside class='x'><article>Card</article></aside><article>Own</article>") == ["Own"]
 
 
+def test_suffix_array():
+    rng = np.random.default_rng(3)
+    for n, kinds in ((1, 1), (40, 2), (300, 3)):
+        tokens = rng.integers(0, kinds, n)
+        order, common = pages.suffix_array(tokens, 512)
+        suffixes = [tokens[i:].tolist() for i in range(n)]
+        assert order.tolist() == sorted(range(n), key=lambda i: suffixes[i])
+        for k in range(1, n):
+            a, b = suffixes[order[k - 1]], suffixes[order[k]]
+            assert common[k] == next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+def slow_repeats(hosted, run, least, share):
+    """Which blocks of different pages (marked, blocks) go, from all runs of their token streams."""
+    def runs(lines):
+        stream, at = [], []
+        for k, line in enumerate(lines):
+            stream += [*line.split(" "), "\n"]
+            at += [k] * len(line.split(" ")) + [None]
+        return [(tuple(stream[i : i + run]), at[i : i + run]) for i in range(len(stream) - run + 1)], stream, at
+
+    on, whole = Counter(), Counter()
+    for _, lines in hosted:
+        on.update({r for r, _ in runs(lines)[0]})
+        whole.update({line for line in lines if len(line.split(" ")) < run})
+    out = []
+    for marked, lines in hosted:
+        found, stream, at = runs(lines)
+        gone = []
+        for k, line in enumerate(lines):
+            size = len(line.split(" "))
+            held = lambda most: sum(1 for p in range(len(stream)) if at[p] == k and any(on[found[i][0]] >= most for i in range(max(0, p - run + 1), min(p, len(found) - 1) + 1)))
+            if marked:
+                gone.append(len(hosted) >= pages.ENOUGH and held(max(least, pages.MOST * len(hosted))) == size)
+            else:
+                gone.append(2 * held(least) >= size or size < run and whole[line] >= max(least, share * len(hosted)))
+        out.append([line for line, g in zip(lines, gone, strict=True) if not g])
+    return out
+
+
+@pytest.mark.parametrize("lot", [400_000, 150])
+def test_repeated_runs_of_a_host(spark, lot):
+    """Boilerplate inside and outside marked articles, copies of a page, shared passages of a few articles; one lot and several."""
+    foot, menu, shared = prose(14, 1), ["home", "about us", "all posts and more"], prose(30, 2)
+    rows, want, seen = [], {}, {}
+    for n in range(24):
+        own = [prose(12, 900 + n), *([shared] if n % 4 == 0 else []), prose(3, 950 + n)]
+        marked = n % 2 == 0
+        lines = [*own, foot] if marked else [*menu, *own, foot, "ok"]
+        body = "".join(f"<p>{line}</p>" for line in lines)
+        rows.append((n, "http://h.example/x", f"<article>{body}</article>" if marked else f"<div>{body}</div>"))
+        seen[n] = (marked, lines)
+    rows += [(100 + n, "http://h.example/copy", rows[5][2]) for n in range(30)]  # one page, however often
+    for n, lines in zip(seen, slow_repeats(list(seen.values()), pages.RUN, pages.PAGES, pages.SHARE), strict=True):
+        want[n] = "\n".join(lines)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in pages.extracted(df, lot=lot).collect()}
+    assert all(got[n] == want[n] for n in want) and all(got[100 + n] == want[5] for n in range(30))
+    assert all(foot not in t for t in want.values()) and all(shared in want[n] for n in (0, 4)) and "home" not in want[1]
+
+
+def test_quotes_inside_unquoted_values():
+    assert [t for _, t in pages.blocks("<p title=don't>hello</p><p>it's fine</p><p class=a'b\"c id='x'>next</p>")] == ["hello", "it's fine", "next"]
+    assert [t for _, t in pages.blocks("<p a = 'x > y' b=\"<i>\" c>one</p><br/><img src=a/b.png>two <x y=1")] == ["one", "two <x y=1"]
+
+
 def test_pages(spark):
     plain = [(n, f"http://h.example/{n}", f"<div>{LINES[0]}</div><p>{prose(30, n)}</p><div>{LINES[1]}</div>") for n in range(6)]
     odd = [(100, None, None), (101, "http://[bad", "<p>only text</p>"), (102, "http://h.example/m", MARKED), (102, "http://h.example/m", MARKED), (103, "http://h.example/m2", MARKED), (104, "http://h.example/m3", MARKED), (None, "http://lone.example", "words " * 20_000)]
