@@ -1,20 +1,26 @@
 """Log-bilinear language model, trained by noise-contrastive estimation, and the log10 probability of each text.
 
-Tokens are lower-cased words and one end a text. The model predicts a token's symbol from the symbol before it: the
-SHORTLIST most frequent tokens are symbols of their own, any other word is one of CLASSES classes by its last bytes.
-P(token | before) = (1 - u) * softmax(R[before] . Q[symbol] + b[symbol]) * (share of the token in its class), for tokens
-seen in training; an unseen token has probability u, the share of training tokens that occur once. Over the vocabulary
-and one unseen token these sum to one: the softmax runs over all symbols, as one matrix product per batch of contexts.
-
-Everything is counted over all texts. Each chunk of documents sends its words' hashes and counts to buckets, once each;
-buckets add them up and answer each chunk in its own order, so no count table is broadcast or collected. What reaches
-the driver is bounded by SYMBOLS: bucket figures combined in groups, and the SYMBOLS x SYMBOLS counts of neighbouring
-symbols of the whole corpus, on which the model is trained (noise-contrastive estimation with NOISE samples a token, in
-expectation over the counts rather than by drawing samples).
+Tokens are lower-cased words and one end a text. The model predicts a token's symbol from the CONTEXT symbols before it,
+each by a matrix of its own place: the SHORTLIST most frequent tokens are symbols of their own, any other word is one of
+CLASSES classes by its last bytes. P(token | before) = (1 - u) * softmax(sum over k of R[k][symbol k before] . Q[symbol]
++ b[symbol]) * (share of the token in its class), for tokens seen in training; an unseen token has probability u, the
+share of training tokens that occur once. Over the vocabulary and one unseen token these sum to one: the softmax runs
+over all symbols, as one matrix product per batch of contexts.
+
+Everything is counted over all texts. Rows are dealt over chunks by a hash of id and row number, so that rows without an
+id spread. Each chunk gives its words' hashes with their counts, once each; a window over equal hashes adds them up in
+64 bits and tells every chunk the totals of its own words, so no count table is broadcast or collected. What reaches the
+driver is bounded by the symbols: their counts, and how often each follows each in the whole corpus.
+
+Training is in two steps, both by noise-contrastive estimation with unigram noise. On the driver the matrix of the
+nearest place is fitted on the counts of neighbouring symbols, in expectation over all pairs and the noise. From there
+every task runs through its own training texts once (and again until STEPS updates are done), in batches that share
+their noise, and learns all places together; the tasks' models are averaged by their tokens.
 
 Defined cases: null text is empty and has the one token end; words are told apart by 64-bit hashes; a null doc_id
 counts as the text 'null' for the fold; repeated rows and ids are texts of their own; without training texts every
-token is unseen and has probability 1; other columns of the input play no part.
+token is unseen and has probability 1; other columns of the input play no part. The input has to give its rows in the
+same order whenever it is read.
 """
 
 from __future__ import annotations
@@ -26,19 +32,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, tidied, tidy
 
-SHORTLIST = 640
-CLASSES = 383
+SHORTLIST = 512
+CLASSES = 255
 SYMBOLS = SHORTLIST + CLASSES
-BEGIN = SYMBOLS  # the context of a text's first token
+BEGIN = SYMBOLS  # what stands before a text's first token
+CONTEXT = 2
 WIDTH = 32
 NOISE = 10
-STEPS = 220
-CHUNK = 12 << 20
+PAIR_STEPS = 220
+STEPS = 60
+BATCH = 4096
+SHARED = 96  # noise symbols a batch
+RATE = 0.03
+CHUNK = 6 << 20
 FOLDS = 10
 END = b" end"  # no word has a space in it
 
@@ -86,69 +97,28 @@ class Texts:
         classes = np.fromiter(map(class_of, self.words), dtype=np.int32, count=len(self.words))
         return np.where(own, at, SHORTLIST + classes).astype(np.int32)
 
-    def pairs(self, symbols: np.ndarray) -> np.ndarray:
-        """For each token its context and its symbol, as one number."""
-        now = symbols[self.tokens].astype(np.int64)
-        before = np.empty_like(now)
-        before[1:] = now[:-1]
-        before[self.begins] = BEGIN
-        return before * SYMBOLS + now
+    def contexts(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each token the symbols before it, nearest first, and its own."""
+        now = symbols[self.tokens].astype(np.int32)
+        place = np.arange(len(now)) - np.repeat(self.begins, self.lengths)
+        before = np.full((len(now), CONTEXT), BEGIN, dtype=np.int32)
+        for k in range(CONTEXT):
+            inside = np.flatnonzero(place > k)
+            before[inside, k] = now[inside - k - 1]
+        return before, now
 
 
-def _counts_out(table: pa.Table, buckets: int) -> pa.Table:
+@tidy
+def _counts_out(table: pa.Table) -> pa.Table:
     texts = Texts.of(table)
     train = np.repeat(~texts.out, texts.lengths)
-    counts = np.bincount(texts.tokens[train], minlength=len(texts.words)).astype(np.uint32)
-    order = np.argsort(texts.hashes)
-    hashes, counts = texts.hashes[order], counts[order]
-    classes = np.fromiter((class_of(texts.words[i]) for i in order.tolist()), dtype=np.uint16, count=len(order))
-    cuts = [0, *np.searchsorted(hashes, np.array([(b << 64) // buckets for b in range(1, buckets)], dtype=np.uint64)).tolist(), len(hashes)]
-    rows = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-    part = lambda x: pa.array([x[cuts[b] : cuts[b + 1]].tobytes() for b in rows], pa.binary())
-    chunk = table.column("chunk")[0].as_py()
-    return pa.table({"bucket": pa.array(rows, pa.int32()), "chunk": pa.array([chunk] * len(rows), pa.int32()), "hashes": part(hashes), "counts": part(counts), "classes": part(classes)})
-
-
-_FIGURES = "n long, v long, once long, sums binary, kinds binary, top binary, top_count binary, top_class binary"
-_FIGURE_FIELDS = [(c.split()[0], pa.int64() if c.endswith("long") else pa.binary()) for c in _FIGURES.split(", ")]
-
-
-def _top(hashes: np.ndarray, counts: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, ...]:
-    best = np.lexsort((hashes, -counts))[:SHORTLIST]
-    return hashes[best], counts[best], classes[best]
-
-
-def _answers(table: pa.Table) -> pa.Table:
-    """Totals of one bucket, for each chunk in the order it asked, and the bucket's figures in a row without chunk."""
-    hashes = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()])
-    classes = np.concatenate([np.frombuffer(x, np.uint16) for x in table.column("classes").to_pylist()])
-    values, first, where = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-    totals = np.bincount(where, weights=counts, minlength=len(values)).astype(np.int64)
-    ends = np.cumsum([len(h) for h in hashes])
-    said = totals.astype(np.uint32)[where]
-    own = classes[first].astype(np.int64)
-    seen = totals > 0
-    rows = [{"chunk": c, "bucket": b, "said": said[e - len(h) : e].tobytes()} for c, b, h, e in zip(table.column("chunk").to_pylist(), table.column("bucket").to_pylist(), hashes, ends, strict=True)]
-    top = _top(values[seen], totals[seen], own[seen])
-    rows.append({
-        "n": int(totals.sum()), "v": int(seen.sum()), "once": int((totals == 1).sum()),
-        "sums": np.bincount(own[seen], weights=totals[seen], minlength=CLASSES).astype(np.int64).tobytes(), "kinds": np.bincount(own[seen], minlength=CLASSES).astype(np.int64).tobytes(),
-        "top": top[0].tobytes(), "top_count": top[1].astype(np.int64).tobytes(), "top_class": top[2].astype(np.int64).tobytes(),
-    })
-    return pa.Table.from_pylist(rows, schema=pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("said", pa.binary()), *_FIGURE_FIELDS]))
-
-
-def _combined(table: pa.Table) -> pa.Table:
-    """Figures of some buckets as those of one."""
-    arrays = lambda c, kind: [np.frombuffer(x, kind) for x in table.column(c).to_pylist()]
-    top = _top(*(np.concatenate(arrays(c, k)) for c, k in (("top", np.uint64), ("top_count", np.int64), ("top_class", np.int64))))
-    total = {c: [sum(table.column(c).to_pylist())] for c in ("n", "v", "once")}
-    total |= {c: [np.sum(arrays(c, np.int64), axis=0).tobytes()] for c in ("sums", "kinds")}
-    total |= {"top": [top[0].tobytes()], "top_count": [top[1].tobytes()], "top_class": [top[2].tobytes()]}
-    return pa.Table.from_pydict(total, schema=pa.schema(_FIGURE_FIELDS))
+    counts = np.bincount(texts.tokens[train], minlength=len(texts.words)).astype(np.int64)
+    classes = np.fromiter(map(class_of, texts.words), dtype=np.int16, count=len(texts.words))
+    number = table.column("chunk")[0].as_py()
+    return pa.table({"chunk": pa.array(np.full(len(counts), number, np.int32)), "h": pa.array(texts.hashes.view(np.int64)), "n": pa.array(counts), "kind": pa.array(classes)})
 
 
+@tidied
 def _neighbours(batches: Iterator[pa.RecordBatch], shortlist: bytes, ranges: int) -> Iterator[pa.RecordBatch]:
     """How often each symbol follows each in the training texts of a task, in ranges of contexts."""
     own = np.frombuffer(shortlist, np.uint64)
@@ -156,7 +126,8 @@ def _neighbours(batches: Iterator[pa.RecordBatch], shortlist: bytes, ranges: int
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
             texts = Texts.of(batch.slice(at, 2000))
-            pairs = texts.pairs(texts.symbols(own))[np.repeat(~texts.out, texts.lengths)]
+            before, now = texts.contexts(texts.symbols(own))
+            pairs = (before[:, 0].astype(np.int64) * SYMBOLS + now)[np.repeat(~texts.out, texts.lengths)]
             np.add(counts, np.bincount(pairs, minlength=len(counts)), out=counts)
     parts = np.array_split(counts.reshape(SYMBOLS + 1, SYMBOLS), ranges)
     yield pa.RecordBatch.from_arrays([pa.array(range(ranges), pa.int32()), pa.array([p.astype(np.uint32 if p.max(initial=0) < 1 << 32 else np.uint64).tobytes() for p in parts], pa.binary())], names=["range", "counts"])
@@ -174,7 +145,7 @@ def _added(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["range", "counts"])
 
 
-def train(counts: np.ndarray, width: int = WIDTH, noise: int = NOISE, steps: int = STEPS, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def train(counts: np.ndarray, width: int = WIDTH, noise: int = NOISE, steps: int = PAIR_STEPS, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """R, Q and b from the counts of symbols after contexts: noise-contrastive estimation, the noise being unigrams.
 
     The gradient is the expectation over all counted pairs and over the noise, so no pair is sampled or left out.
@@ -199,29 +170,134 @@ def train(counts: np.ndarray, width: int = WIDTH, noise: int = NOISE, steps: int
     return tuple(p.astype(np.float32) for p in params)
 
 
-def log_probabilities(r: np.ndarray, q: np.ndarray, b: np.ndarray, batch: int = 256) -> np.ndarray:
-    """log10 P(symbol | context), normalised, by batches of contexts."""
-    out = np.empty((len(r), len(q)))
-    for at in range(0, len(r), batch):
-        logits = (r[at : at + batch] @ q.T + b).astype(np.float64)
-        logits -= logits.max(axis=1, keepdims=True)
-        out[at : at + batch] = (logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))) / np.log(10)
+class Model:
+    """R: a matrix for each place before; Q and b: one row and number a symbol."""
+
+    def __init__(self, r: np.ndarray, q: np.ndarray, b: np.ndarray) -> None:
+        self.r, self.q, self.b = r, q, b
+
+    @classmethod
+    def begun(cls, r: np.ndarray, q: np.ndarray, b: np.ndarray) -> Model:
+        """From the nearest place's matrix; the others begin at zero."""
+        return cls(np.concatenate([r[None], np.zeros((CONTEXT - 1, *r.shape), r.dtype)]), q, b)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.r.ravel(), self.q.ravel(), self.b])
+
+    @classmethod
+    def of(cls, flat: np.ndarray) -> Model:
+        cells = (SYMBOLS + 1) * WIDTH * CONTEXT
+        return cls(flat[:cells].reshape(CONTEXT, SYMBOLS + 1, WIDTH), flat[cells : cells + SYMBOLS * WIDTH].reshape(SYMBOLS, WIDTH), flat[cells + SYMBOLS * WIDTH :])
+
+    def predicted(self, before: np.ndarray) -> np.ndarray:
+        out = self.r[0][before[:, 0]]
+        for k in range(1, CONTEXT):
+            out = out + self.r[k][before[:, k]]
+        return out
+
+    def learn(self, before: np.ndarray, now: np.ndarray, noise: np.ndarray, unigram: np.ndarray, squares: list[np.ndarray]) -> None:
+        """One update: the tokens that followed against noise symbols that all of them share; steps shrink with what each row has moved."""
+        made = self.predicted(before)
+        share = np.log(len(noise) * unigram).astype(np.float32)
+        real = 1 / (1 + np.exp(-(np.einsum("ij,ij->i", made, self.q[now]) + self.b[now] - share[now])))
+        false = 1 / (1 + np.exp(-(made @ self.q[noise].T + self.b[noise] - share[noise])))
+        up = 1 - real
+        back = up[:, None] * self.q[now] - false @ self.q[noise]
+        gains = [_rows(before[:, k], back, SYMBOLS + 1) for k in range(CONTEXT)]
+        gain_q = _rows(now, up[:, None] * made, SYMBOLS)
+        np.add.at(gain_q, noise, -(false.T @ made))
+        gain_b = np.bincount(now, weights=up, minlength=SYMBOLS)
+        np.add.at(gain_b, noise, -false.sum(axis=0))
+        for target, gain, square in zip((*self.r, self.q, self.b), (*gains, gain_q, gain_b), squares, strict=True):
+            gain = gain.astype(np.float32) / len(now)
+            square += gain * gain
+            target += RATE * gain / np.sqrt(square + 1e-12)
+
+
+def _rows(keys: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of each key."""
+    order = np.argsort(keys, kind="stable")
+    held, first = np.unique(keys[order], return_index=True)
+    out = np.zeros((n, values.shape[1]), dtype=np.float32)
+    out[held] = np.add.reduceat(values[order], first, axis=0)
     return out
 
 
-_tables: dict[bytes, np.ndarray] = {}
+@tidied
+def _trained(batches: Iterator[pa.RecordBatch], shortlist: bytes, begun: np.ndarray, unigram: np.ndarray, ranges: int) -> Iterator[pa.RecordBatch]:
+    """A task's model after its training texts, times their tokens, in ranges; and the tokens."""
+    own, model, seen, done = np.frombuffer(shortlist, np.uint64), Model.of(begun.copy()), 0, 0
+    rng = np.random.default_rng(5)
+    squares = [np.full_like(p, 1e-6) for p in (*model.r, model.q, model.b)]
+    ends = np.cumsum(unigram)
+
+    def update(before: np.ndarray, now: np.ndarray) -> int:
+        order = rng.permutation(len(now))
+        for at in range(0, len(now), BATCH):
+            some = order[at : at + BATCH]
+            noise = np.minimum(np.searchsorted(ends, rng.random(SHARED)), SYMBOLS - 1)
+            model.learn(before[some], now[some], noise, unigram, squares)
+        return -(-len(now) // BATCH)
+
+    held = None
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            texts = Texts.of(batch.slice(at, 2000))
+            before, now = texts.contexts(texts.symbols(own))
+            train = np.repeat(~texts.out, texts.lengths)
+            held = before[train], now[train]
+            seen += len(held[1])
+            done += update(*held)
+    while held is not None and len(held[1]) and done < STEPS:  # a task of few texts
+        done += update(*held)
+    if seen:
+        parts = np.array_split(model.flat().astype(np.float64) * seen, ranges)
+        yield pa.RecordBatch.from_arrays([pa.array(range(ranges), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([seen] * ranges, pa.int64())], names=["range", "sums", "tokens"])
+
+
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    tokens: dict[int, int] = {}
+    for batch in batches:
+        for r, raw, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            sums[r] = sums.get(r, 0) + np.frombuffer(raw, np.float64)
+            tokens[r] = tokens.get(r, 0) + n
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([(x / tokens[r]).tobytes() for r, x in sums.items()], pa.binary())], names=["range", "mean"])
+
+
+def log_probabilities(model: Model, before: np.ndarray, batch: int = 2048) -> Iterator[np.ndarray]:
+    """log10 P(symbol | contexts), normalised, by batches of contexts."""
+    for at in range(0, len(before), batch):
+        logits = model.predicted(before[at : at + batch]) @ model.q.T + model.b
+        logits -= logits.max(axis=1, keepdims=True)
+        yield (logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))) / np.float32(np.log(10))
+
+
+def _symbol_logs(model: Model, before: np.ndarray, now: np.ndarray) -> np.ndarray:
+    """log10 P of each token's symbol; equal contexts are worked out once."""
+    key = before[:, 0].astype(np.int64)
+    for k in range(1, CONTEXT):
+        key = key * (SYMBOLS + 1) + before[:, k]
+    _, first, which = np.unique(key, return_index=True, return_inverse=True)
+    order = np.argsort(which, kind="stable")
+    ends = np.searchsorted(which[order], np.arange(len(first)), "right")
+    out = np.empty(len(now))
+    at, begin = 0, 0
+    for logs in log_probabilities(model, before[first]):
+        stop = int(ends[at + len(logs) - 1])
+        rows = order[begin:stop]
+        out[rows] = logs[which[rows] - at, now[rows]]
+        at, begin = at + len(logs), stop
+    return out
 
 
+@tidy
 def _scores(table: pa.Table, said: pa.Table, model: dict) -> pa.Table:
     texts = Texts.of(table)
-    key = model["r"].tobytes()[:64] + model["b"].tobytes()[:64]
-    if key not in _tables:
-        _tables.clear()
-        _tables[key] = log_probabilities(model["r"], model["q"], model["b"])
-    logs = _tables[key]
-    parts = sorted(zip(said.column("bucket").to_pylist(), said.column("said").to_pylist(), strict=True))
-    counts = np.empty(len(texts.words), dtype=np.int64)
-    counts[np.argsort(texts.hashes)] = np.concatenate([np.frombuffer(x, np.uint32) for _, x in parts]) if parts else 0
+    h, totals = said.column("h").to_numpy().view(np.uint64), said.column("total").to_numpy()
+    order = np.argsort(h)
+    counts = totals[order][np.searchsorted(h[order], texts.hashes)]
     symbols = texts.symbols(model["shortlist"])
     n, v = model["n"], model["v"]
     base = np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))
@@ -229,8 +305,8 @@ def _scores(table: pa.Table, said: pa.Table, model: dict) -> pa.Table:
     known = counts > 0
     unseen = np.log10(model["unseen"])
     seen = np.log10(max(1 - model["unseen"], 1e-300))
-    pairs = texts.pairs(symbols)
-    token = np.where(known[texts.tokens], logs.ravel()[pairs] + in_class[texts.tokens] + seen, unseen)
+    logs = _symbol_logs(model["model"], *texts.contexts(symbols))
+    token = np.where(known[texts.tokens], logs + in_class[texts.tokens] + seen, unseen)
     add = lambda x: np.add.reduceat(x, texts.begins) if len(texts.begins) else np.empty(0)
     return pa.table({
         "doc_id": table.column("doc_id"), "held_out": pa.array(texts.out), "n_tokens": pa.array(texts.lengths),
@@ -241,30 +317,40 @@ def _scores(table: pa.Table, said: pa.Table, model: dict) -> pa.Table:
 
 def scored(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs."""
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     size = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     chunks = max(1, -(-((size[0] or 0) + 16 * size[1]) // chunk))
-    by_chunk = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")).groupBy("chunk")
-    asked = by_chunk.applyInArrow(lambda t: _counts_out(t, chunks), "bucket int, chunk int, hashes binary, counts binary, classes binary")
-    answers = settle(asked.groupBy("bucket").applyInArrow(_answers, f"chunk int, bucket int, said binary, {_FIGURES}"))
-    figures, left = answers.where("chunk is null").select(*(c for c, _ in _FIGURE_FIELDS)), chunks
-    while left > 32:
-        left = -(-left // 32)
-        figures = figures.groupBy(F.pmod(F.xxhash64("top"), F.lit(left)).alias("g")).applyInArrow(_combined, _FIGURES)
-    figures = figures.toArrow()
-    one = _combined(figures).to_pylist()[0] if figures.num_rows else None
-    if one is None:
-        return rows.select("doc_id", *(F.lit(None).cast(t).alias(c) for c, t in (("held_out", "boolean"), ("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double"))))
-    top, times, kind = np.frombuffer(one["top"], np.uint64), np.frombuffer(one["top_count"], np.int64), np.frombuffer(one["top_class"], np.int64)
-    shortlist = np.sort(top)
-    weights = np.frombuffer(one["sums"], np.int64) + 0.1 * np.frombuffer(one["kinds"], np.int64) - np.bincount(kind, weights=times + 0.1, minlength=CLASSES)
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(chunks)).cast("int"))
+    by_chunk = dealt.repartition(chunks, "chunk").groupBy("chunk")
+    asked = by_chunk.applyInArrow(lambda t: _counts_out(t), "chunk int, h long, n long, kind short")
+    same = Window.partitionBy("h").orderBy("chunk")
+    whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    answers = settle(asked.select("chunk", "h", "kind", F.sum("n").over(whole).alias("total"), (F.row_number().over(same) == 1).alias("first")))
+    words = answers.where("first")
+    one = words.agg(F.sum("total"), F.count_if(F.col("total") > 0), F.count_if(F.col("total") == 1)).first()
+    n, v, once = (int(x or 0) for x in one)
+    kinds = words.where("total > 0").groupBy("kind").agg(F.sum("total").alias("sum"), F.count("*").alias("words")).collect()  # at most CLASSES rows
+    top = words.where("total > 0").orderBy(F.col("total").desc(), "h").limit(SHORTLIST).select("h", "total", "kind").collect()
+    shortlist = np.sort(np.array([r["h"] for r in top], dtype=np.int64).view(np.uint64))
+    weights = np.zeros(CLASSES)
+    for r in kinds:
+        weights[r["kind"]] += r["sum"] + 0.1 * r["words"]
+    for r in top:
+        weights[r["kind"]] -= r["total"] + 0.1
     ranges = 16
     near = rows.mapInArrow(lambda b: _neighbours(b, shortlist.tobytes(), ranges), "range int, counts binary")
     near = near.repartition("range").mapInArrow(lambda b: _added(b, ranges), "range int, counts binary").collect()
-    counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(near, key=lambda r: r["range"])]).reshape(SYMBOLS + 1, SYMBOLS)
-    r, q, b = train(counts.astype(np.float64))
-    model = {"r": r, "q": q, "b": b, "shortlist": shortlist, "weights": weights, "n": one["n"], "v": one["v"], "unseen": (one["once"] + 0.1) / (one["n"] + 0.1)}
-    given = docs.sparkSession.sparkContext.broadcast(model)
-    said = answers.where("chunk is not null").select("chunk", "bucket", "said")
-    made = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return by_chunk.cogroup(said.groupBy("chunk")).applyInArrow(lambda t, s: _scores(t, s, given.value), made)
+    cells = [np.frombuffer(r["counts"], np.int64) for r in sorted(near, key=lambda r: r["range"])]
+    counts = np.concatenate(cells).reshape(SYMBOLS + 1, SYMBOLS).astype(np.float64) if cells else np.zeros((SYMBOLS + 1, SYMBOLS))
+    begun = Model.begun(*train(counts)).flat()
+    unigram = (counts.sum(axis=0) + 0.1) / (counts.sum() + 0.1 * SYMBOLS)
+    start = spark.sparkContext.broadcast((shortlist.tobytes(), begun, unigram))
+    made = rows.mapInArrow(lambda b: _trained(b, *start.value, ranges), "range int, sums binary, tokens long")
+    mean = made.repartition("range").mapInArrow(_averaged, "range int, mean binary").collect()
+    flat = np.concatenate([np.frombuffer(r["mean"], np.float64) for r in sorted(mean, key=lambda r: r["range"])]) if mean else begun
+    model = {"model": Model.of(flat.astype(np.float32)), "shortlist": shortlist, "weights": weights, "n": n, "v": v, "unseen": (once + 0.1) / (n + 0.1)}
+    given = spark.sparkContext.broadcast(model)
+    said = answers.select("chunk", "h", "total")
+    shape = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return by_chunk.cogroup(said.groupBy("chunk")).applyInArrow(lambda t, s: _scores(t, s, given.value), shape)

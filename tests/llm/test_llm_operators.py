@@ -371,18 +371,45 @@ def test_lm_scores(spark, none):
 def test_lm_is_normalised():
     rng = np.random.default_rng(2)
     counts = rng.integers(0, 9, (lm.SYMBOLS + 1, lm.SYMBOLS)).astype(float)
-    logs = lm.log_probabilities(*lm.train(counts, steps=3))
-    assert np.allclose((10.0**logs).sum(axis=1), 1)
+    model = lm.Model.begun(*lm.train(counts, steps=3))
+    before = rng.integers(0, lm.SYMBOLS + 1, (5000, lm.CONTEXT))
+    model.r[1:] = rng.normal(size=model.r[1:].shape)
+    logs = np.concatenate(list(lm.log_probabilities(model, before)))
+    assert logs.shape == (5000, lm.SYMBOLS) and np.allclose((10.0 ** logs.astype(float)).sum(axis=1), 1, atol=1e-4)
+    now = rng.integers(0, lm.SYMBOLS, 5000)
+    before[2500:] = before[:2500]  # equal contexts are worked out once
+    slow = []
+    for context, symbol in zip(before.tolist(), now.tolist(), strict=True):
+        logits = sum(model.r[k][context[k]].astype(float) for k in range(lm.CONTEXT)) @ model.q.T.astype(float) + model.b
+        slow.append((logits[symbol] - logits.max() - np.log(np.exp(logits - logits.max()).sum())) / np.log(10))
+    assert np.allclose(lm._symbol_logs(model, before.astype(np.int32), now.astype(np.int32)), slow, atol=1e-3)
 
 
 def test_lm_learns_what_follows():
     counts = np.zeros((lm.SYMBOLS + 1, lm.SYMBOLS))
     counts[1, 2] = counts[2, 1] = counts[lm.BEGIN, 1] = 500
     counts[3, 4] = counts[4, 3] = 500
-    logs = lm.log_probabilities(*lm.train(counts))
+    model = lm.Model.begun(*lm.train(counts))
+    before = np.full((4, lm.CONTEXT), lm.BEGIN)
+    before[:, 0] = range(4)
+    logs = np.concatenate(list(lm.log_probabilities(model, before)))
     assert logs[1, 2] > logs[1, 4] + 1 and logs[3, 4] > logs[3, 2] + 1
 
 
+def test_lm_learns_from_places_further_back():
+    """What follows depends on the symbol two places before alone."""
+    rng = np.random.default_rng(7)
+    model = lm.Model.begun(*lm.train(np.ones((lm.SYMBOLS + 1, lm.SYMBOLS)), steps=3))
+    squares = [np.full_like(p, 1e-6) for p in (*model.r, model.q, model.b)]
+    unigram = np.full(lm.SYMBOLS, 1 / lm.SYMBOLS)
+    for _ in range(600):
+        before = rng.integers(0, 4, (512, lm.CONTEXT)).astype(np.int32)
+        model.learn(before, before[:, 1] + 10, rng.integers(0, lm.SYMBOLS, lm.SHARED), unigram, squares)
+    before = np.array([[0, 2, 1], [3, 1, 0]])[:, : lm.CONTEXT]
+    logs = np.concatenate(list(lm.log_probabilities(model, before)))
+    assert logs[0, 12] > logs[0, 11] + 0.5 and logs[1, 11] > logs[1, 12] + 0.5
+
+
 # 6 -----------------------------------------------------------------------------------------------------------------
 
 MARKED = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p><p>no";</script></head><body><nav><ul><li><a href="/a">Menu</a></li></ul></nav>
@@ -469,6 +496,16 @@ def test_repeated_runs_of_a_host(spark, lot):
     assert all(foot not in t for t in want.values()) and all(shared in want[n] for n in (0, 4)) and "home" not in want[1]
 
 
+def test_articles_of_a_host_in_several_lots(spark):
+    """What stands in all articles of a host goes, what is in every fourth stays, though no lot sees all pages."""
+    foot, shared = prose(14, 1), prose(30, 2)
+    rows = [(n, "http://h.example/x", "<article>" + "".join(f"<p>{line}</p>" for line in [prose(12, 900 + n), *([shared] if n % 4 == 0 else []), foot]) + "</article>") for n in range(120)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for lot in (400_000, 1500):
+        got = {r.page_id: r.text for r in pages.extracted(df, lot=lot).collect()}
+        assert all(got[n] == "\n".join([prose(12, 900 + n), *([shared] if n % 4 == 0 else [])]) for n in range(120))
+
+
 def test_quotes_inside_unquoted_values():
     assert [t for _, t in pages.blocks("<p title=don't>hello</p><p>it's fine</p><p class=a'b\"c id='x'>next</p>")] == ["hello", "it's fine", "next"]
     assert [t for _, t in pages.blocks("<p a = 'x > y' b=\"<i>\" c>one</p><br/><img src=a/b.png>two <x y=1")] == ["one", "two <x y=1"]
