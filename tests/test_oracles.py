@@ -7,11 +7,11 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from sparkmeter.plans import context, logs, reports, text, usage
+from sparkmeter.plans import context, logs, planted, reports, text, usage
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-MODULES = (usage, logs, text, context, reports)
+MODULES = (usage, logs, text, context, reports, planted)
 PAIRS = [(m, n) for m in MODULES for n in sorted(m.SQL)]
 
 
