@@ -22,13 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none (tests), one is made."""
+    """The folder that driver and executors share. Only a local session that names none (tests) gets one made; on a cluster that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="shared-")
     spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -69,12 +71,18 @@ def settle(df: DataFrame, codec: str = "none") -> DataFrame:
     return out
 
 
-def discard(df: DataFrame | None) -> None:
-    """Remove a settled table that nothing reads any more."""
-    path = getattr(df, "_settled_path", None)
-    if path:
-        _remove(df.sparkSession, path)
-        _written.remove(path)
+def settled() -> int:
+    """How many tables are settled by now, for discard()."""
+    return len(_written)
+
+
+def discard(spark: SparkSession, since: int, keep: DataFrame) -> None:
+    """Remove the tables settled since then, but for one: what they were for is done."""
+    kept = getattr(keep, "_settled_path", None)
+    for path in _written[since:]:
+        if path != kept:
+            _remove(spark, path)
+    _written[since:] = [kept] if kept else []
 
 
 def placed(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:

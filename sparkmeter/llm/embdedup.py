@@ -7,7 +7,7 @@ are read by the one before it too, so the links found do not depend on the numbe
 are united into components. The number of passes follows from the number of vectors, so that a pair at the threshold is
 met with probability RECALL if vectors spread evenly. Where they do not, the order itself tells: a vector that shares
 more bits with the one WINDOW places on than log2(n / WINDOW), on the mean of the passes, takes part in further passes,
-as many as the shared bits of such vectors call for, at most MORE.
+as many as the shared bits of such vectors call for, at most MORE in all; not so in a group whose vectors all link anyway.
 
 A bounded window cannot count the links of a vector in a group larger than itself. So members of a component are counted
 by their angle to its centre: those within half the linking angle (core) all link with each other and are counted by
@@ -185,13 +185,18 @@ def _met(ordered: DataFrame, classes: DataFrame, turns: int, window: int, link:
     return zoned.repartition(tasks, "bucket").sortWithinPartitions("bucket", "place").select("zone", "cid", "v").mapInArrow(lambda b: _windows(b, window, link), "a long, b long")
 
 
-def _crowded(ordered: DataFrame, window: int, n: int) -> DataFrame:
-    """(cid, bits) of vectors that share more bits, on the mean of the passes, with the one a window further on than an even spread would give."""
+def _crowded(ordered: DataFrame, window: int, n: int, link: float) -> DataFrame:
+    """(cid, bits) of vectors that share more bits, on the mean of the passes, with the one a window further on than an even spread would give.
+
+    Not those of a tight group, which differ from it in so few of all bits that all in between link with each other.
+    """
     later = lambda c: F.lead(c, window).over(Window.partitionBy("bucket").orderBy("place"))  # noqa: E731  at most TASK + WINDOW rows
     apart = F.col("code").bitwiseXOR(later("code"))
     bits = F.when(later("turn") != F.col("turn"), 0).when(apart == 0, BITS).otherwise(BITS - F.length(F.bin(apart)))
-    own = ordered.withColumn("bits", F.coalesce(bits, F.lit(0))).where(F.floor(F.col("place") / TASK) == F.col("bucket"))
-    return own.groupBy("cid").agg(F.avg("bits").alias("bits")).where(F.col("bits") > math.log2(max(2.0, n / window)))
+    own = ordered.withColumn("bits", F.coalesce(bits, F.lit(0))).withColumn("apart", F.coalesce(F.bit_count(apart), F.lit(BITS)))
+    own = own.where(F.floor(F.col("place") / TASK) == F.col("bucket")).groupBy("cid").agg(F.avg("bits").alias("bits"), F.avg("apart").alias("apart"))
+    tight = BITS * math.acos(link) / math.pi * 0.7
+    return own.where((F.col("bits") > math.log2(max(2.0, n / window))) & (F.col("apart") > tight)).select("cid", "bits")
 
 
 def _sums(batches: Iterator[pa.RecordBatch], held: int = 20_000) -> Iterator[pa.RecordBatch]:
@@ -265,7 +270,7 @@ def near_duplicates(rows: DataFrame, link: float = LINK, window: int = WINDOW, r
     turns = passes_for(n, window, recall, link)
     ordered = settle(_ordered(classes, 0, turns, window, seed))
     met = _met(ordered, classes, turns, window, link)
-    crowded = settle(_crowded(ordered, window, n))
+    crowded = settle(_crowded(ordered, window, n, link))
     some, bits = crowded.agg(F.count("*"), F.percentile_approx("bits", 0.95)).first()
     if some > window:
         more = min(MORE, passes_of_bits(bits, recall, link)) - turns

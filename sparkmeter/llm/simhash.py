@@ -298,11 +298,22 @@ def similar(docs: DataFrame) -> DataFrame:
 def representatives(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """The rows of docs that stand for their component, with all columns: the row with the component's smallest doc_id.
 
-    Components are those of near_duplicates() joined by the links of similar(). Rows that share a doc_id are one document,
-    of which one row stays; rows without one have nothing to stand for and stay.
+    Components are those of near_duplicates() joined by the links of similar(). A document is an id with a text: rows that
+    repeat both are one, of which one row stays; rows that share an id and not the text are judged apart. Rows without an
+    id have nothing to stand for and stay.
     """
-    own = near_duplicates(docs, bucket).where("doc_id is not null").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    gone = components(own.unionByName(similar(docs))).select(F.col("node").alias("__gone"))
+    node = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     named = docs.where("doc_id is not null")
-    kept = named.join(gone, named.doc_id == F.col("__gone"), "left_anti").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    own = named.select(node.alias("doc_id"), "text")
+    prints = near_duplicates(own, bucket)
+    links_ = prints.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).unionByName(similar(own))
+    roots = settle(components(links_))
+    whole = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    ids = named.select(node.alias("n"), F.col("doc_id").cast("long").alias("id")).distinct()
+    first = F.min(F.struct("id", "node"))
+    members = whole.join(ids, whole.node == ids.n).select("node", "root", "id")
+    stay = members.groupBy("root").agg(first.alias("first")).select(F.col("first.node").alias("stay"))
+    gone = members.join(stay, members.node == F.col("stay"), "left_anti").select(F.col("node").alias("gone"))
+    rows = named.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), node.alias("node"))
+    kept = rows.join(gone, rows.node == F.col("gone"), "left_anti").dropDuplicates(["node"]).select("row.*")
+    return kept.unionByName(docs.where("doc_id is null"))
