@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,6 +89,19 @@ class Texts:
     def of(cls, table: pa.Table | pa.RecordBatch) -> Texts:
         return cls(table.column("doc_id").to_pylist(), table.column("text").cast(pa.binary()).to_pylist())
 
+    @classmethod
+    def slices(cls, batch: pa.RecordBatch, size: int = 2 << 20) -> Iterator[tuple[Texts, pa.RecordBatch]]:
+        """The texts of a batch in turn, about so many bytes at a time, however long each is."""
+        lengths = pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lengths + 16)
+        at = 0
+        while at < batch.num_rows:
+            done = int(ends[at - 1]) if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, done + size, "right")))
+            part = batch.slice(at, stop - at)
+            yield cls.of(part), part
+            at = stop
+
     def symbols(self, shortlist: np.ndarray) -> np.ndarray:
         """The symbol of each different word; shortlist: the hashes of the tokens that are their own, in order."""
         at = np.searchsorted(shortlist, self.hashes)
@@ -124,8 +138,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch], shortlist: bytes, ranges: int
     own = np.frombuffer(shortlist, np.uint64)
     counts = np.zeros((SYMBOLS + 1) * SYMBOLS, dtype=np.int64)
     for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            texts = Texts.of(batch.slice(at, 2000))
+        for texts, _ in Texts.slices(batch):
             before, now = texts.contexts(texts.symbols(own))
             pairs = (before[:, 0].astype(np.int64) * SYMBOLS + now)[np.repeat(~texts.out, texts.lengths)]
             np.add(counts, np.bincount(pairs, minlength=len(counts)), out=counts)
@@ -241,8 +254,7 @@ def _trained(batches: Iterator[pa.RecordBatch], shortlist: bytes, begun: np.ndar
 
     held = None
     for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            texts = Texts.of(batch.slice(at, 2000))
+        for texts, _ in Texts.slices(batch):
             before, now = texts.contexts(texts.symbols(own))
             train = np.repeat(~texts.out, texts.lengths)
             held = before[train], now[train]
@@ -274,22 +286,24 @@ def log_probabilities(model: Model, before: np.ndarray, batch: int = 2048) -> It
         yield (logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))) / np.float32(np.log(10))
 
 
-def _symbol_logs(model: Model, before: np.ndarray, now: np.ndarray) -> np.ndarray:
-    """log10 P of each token's symbol; equal contexts are worked out once."""
+def _symbol_logs(model: Model, before: np.ndarray, now: np.ndarray, batch: int = 2048) -> np.ndarray:
+    """log10 P of each token's symbol; what equal contexts are normalised by is worked out once."""
     key = before[:, 0].astype(np.int64)
     for k in range(1, CONTEXT):
         key = key * (SYMBOLS + 1) + before[:, k]
     _, first, which = np.unique(key, return_index=True, return_inverse=True)
-    order = np.argsort(which, kind="stable")
-    ends = np.searchsorted(which[order], np.arange(len(first)), "right")
+    made = model.predicted(before[first])
+    whole = np.empty(len(first), dtype=np.float32)
+    for at in range(0, len(first), batch):
+        logits = made[at : at + batch] @ model.q.T + model.b
+        top = logits.max(initial=0.0)
+        logits -= top
+        whole[at : at + batch] = np.log(np.maximum(np.exp(logits, out=logits).sum(axis=1), 1e-37)) + top
     out = np.empty(len(now))
-    at, begin = 0, 0
-    for logs in log_probabilities(model, before[first]):
-        stop = int(ends[at + len(logs) - 1])
-        rows = order[begin:stop]
-        out[rows] = logs[which[rows] - at, now[rows]]
-        at, begin = at + len(logs), stop
-    return out
+    for at in range(0, len(now), 1 << 16):
+        some = slice(at, at + (1 << 16))
+        out[some] = np.einsum("ij,ij->i", made[which[some]], model.q[now[some]]) + model.b[now[some]] - whole[which[some]]
+    return out / np.log(10)
 
 
 @tidy

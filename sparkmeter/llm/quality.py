@@ -68,9 +68,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bucket counts of a task: of all texts, of the good ones of each fold, and of the toxic ones of each fold."""
     sums = np.zeros((MODELS, BUCKETS), dtype=np.int64)
     for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            part = batch.slice(at, 2000)
-            texts = Texts.of(part)
+        for texts, part in Texts.slices(batch):
             found = grams(texts)
             fold = np.repeat(part.column("fold").to_numpy(zero_copy_only=False), texts.lengths)
             for m in range(MODELS):
@@ -169,19 +167,17 @@ def _other(fold: np.ndarray) -> np.ndarray:
 
 def _label_features(batches: Iterator[pa.RecordBatch], ratios: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            part = batch.slice(at, 2000)
-            x = features(Texts.of(part), ratios, _other(part.column("half").to_numpy()))
+        for texts, part in Texts.slices(batch):
+            x = features(texts, ratios, _other(part.column("half").to_numpy()))
             yield pa.RecordBatch.from_arrays([part.column("good"), part.column("half"), *(pa.array(c) for c in x.T)], names=["good", "half", *(f"x{k}" for k in range(FEATURES))])
 
 
 @tidied
 def _weights(batches: Iterator[pa.RecordBatch], ratios: np.ndarray, fit: dict | None, half: str, weight: str, key: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            part = batch.slice(at, 2000)
+        for texts, part in Texts.slices(batch):
             ids = part.column("doc_id").to_pylist()
-            weights = weigh(fit, features(Texts.of(part), ratios, _other(part.column(half).to_numpy(zero_copy_only=False)))) if fit else np.zeros(len(ids))
+            weights = weigh(fit, features(texts, ratios, _other(part.column(half).to_numpy(zero_copy_only=False)))) if fit else np.zeros(len(ids))
             chance = (np.array([zlib.crc32(b"gumbel %d" % (-1 if i is None else i)) for i in ids], dtype=np.float64) + 0.5) / (1 << 32)
             columns = {n: part.column(n) for n in part.schema.names if n != half}
             yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(weights), pa.array(weights / TEMPERATURE - np.log(-np.log(chance)))], names=[*columns, weight, key])
