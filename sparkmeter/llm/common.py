@@ -6,8 +6,10 @@ import atexit
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import wraps
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -137,27 +139,51 @@ def tidy(work):
     return done
 
 
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links (u, v) of a partition as stars: each node with the smallest that these links reach from it."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not parts:
+        return
+    nodes, where = np.unique(np.concatenate([np.concatenate(p) for p in zip(*parts, strict=True)]), return_inverse=True)
+    a, b = np.split(where, 2)
+    root = np.arange(len(nodes))
+    while True:
+        least = np.minimum(root[a], root[b])
+        new = root.copy()
+        for at in (a, b, root[a], root[b]):
+            np.minimum.at(new, at, least)
+        new = new[new]
+        if np.array_equal(new, root):
+            break
+        root = new
+    own = np.flatnonzero(root != np.arange(len(nodes)))
+    if len(own):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[root[own]])], names=["u", "v"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the links (a, b), both long.
 
     Alternating large-star and small-star rounds over settled tables: every node ends up linked to the smallest node
-    of its component. A round is two group-bys (combined before the shuffle, so a hub with a third of all links costs
-    one row a task) and two equality joins, which Spark may split where a hub is hot. Nothing goes to the driver but
-    two counts a round. Returns (node, root) for each node that has a link; root is the component's smallest node.
+    of its component. Before a round each partition, of about ROWS links, contracts its own. A round is two group-bys
+    (combined before the shuffle, so a hub with a third of all links costs one row a task) and two equality joins, which
+    Spark may split where a hub is hot. Nothing goes to the driver but two counts a round. Returns (node, root) for each
+    node that has a link; root is the component's smallest node.
     """
     shared_root(edges.sparkSession)
     kept = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    settled_ = lambda links, n: links.coalesce(2 + n // ROWS).mapInArrow(_contracted, "u long, v long").checkpoint()
     now, seen = kept.checkpoint(), None
+    now = settled_(now, now.count())
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(mark) == seen or mark[0] == 0:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = tuple(mark)
-        now = now.coalesce(2 + mark[0] // ROWS)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         star = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        now = star.coalesce(2 + mark[0] // ROWS).checkpoint()
+        now = settled_(star, mark[0])
