@@ -58,7 +58,7 @@ def packed_index(blocks: DataFrame, budget: int) -> DataFrame:
     zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("names"))
     fold = lambda s, x: F.when((F.size(s["names"]) == 0) | (s["used"] + x["tokens"] <= budget), F.struct((s["used"] + x["tokens"]).alias("used"), F.concat(s["names"], F.array(x["server"])).alias("names"))).otherwise(s)
     chosen = blocks.agg(F.aggregate(order, zero, fold).alias("p")).select(F.explode("p.names").alias("server"))
-    return blocks.join(F.broadcast(chosen), "server")
+    return blocks.join(chosen, "server", "left_semi")
 
 
 def eta_seconds(chip: Column, prompt: Column, answer: Column) -> Column:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.markup import without_comments
 from ..functions.models import PRICES
 from ..functions.scalars import approx_tokens
-from .audit import clusters, minhash
+from .audit import minhash
 from .redact import redact
 
 # Known servers; the first row any of whose marks is in a server's text is its entry.
@@ -369,20 +371,50 @@ def lints(rows: DataFrame) -> DataFrame:
 
 
 def near_duplicate_descriptions(rows: DataFrame, alike: float = 0.7, least: int = 60) -> DataFrame:
-    """(server, first, members) of tools whose descriptions are the same but for case and space, or alike and not short."""
+    """(server, first, members) of tools whose descriptions are the same but for case and space, or alike and not short.
+
+    Only descriptions that share a band of their min-hash slots are compared; alike ones always share one.
+    """
+
+    slots = 64
+    bands = slots - math.ceil(alike * slots) + 1  # so many bands: slots that differ spoil all but one at most
+    width = slots // bands
 
     def group(table: pa.Table) -> pa.Table:
         names, texts = table.column("name").to_pylist(), [(d or "").strip() for d in table.column("description").to_pylist()]
         order = sorted(range(len(names)), key=lambda i: (names[i], texts[i]))
         names, texts = [names[i] for i in order], [texts[i] for i in order]
-        signs = [minhash(t.encode()) if len(t.encode()) >= least else None for t in texts]
-
-        def near(i: int, j: int) -> bool:
-            if texts[i] and texts[i].lower() == texts[j].lower():
-                return True
-            return signs[i] is not None and signs[j] is not None and (signs[i] == signs[j]).mean() >= alike
-
-        found = clusters(len(names), near)
+        root = list(range(len(names)))
+
+        def top(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        def join(i: int, j: int) -> None:
+            a, b = sorted((top(i), top(j)))
+            root[b] = a
+
+        same: dict[str, int] = {}
+        held: dict[tuple[int, bytes], list[int]] = {}
+        signs: dict[int, np.ndarray] = {}
+        for i, text in enumerate(texts):
+            if text and same.setdefault(text.lower(), i) != i:
+                join(i, same[text.lower()])
+            if len(text.encode()) < least:
+                continue
+            signs[i] = minhash(text.encode())
+            for band in range(bands):
+                met = held.setdefault((band, signs[i][band * width : (band + 1) * width].tobytes()), [])
+                for j in met:
+                    if top(i) != top(j) and (signs[i] == signs[j]).mean() >= alike:
+                        join(i, j)
+                met.append(i)
+        groups: dict[int, list[int]] = {}
+        for i in range(len(names)):
+            groups.setdefault(top(i), []).append(i)
+        found = [g for g in groups.values() if len(g) > 1]
         server = table.column("server")[0].as_py()
         return pa.table({"server": pa.array([server] * len(found), pa.string()), "first": pa.array([names[g[0]] for g in found], pa.string()), "members": pa.array([[names[i] for i in g] for g in found], pa.list_(pa.string()))})
 
