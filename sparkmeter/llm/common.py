@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -79,12 +80,14 @@ def settled() -> int:
 
 
 def discard(spark: SparkSession, since: int, keep: DataFrame) -> None:
-    """Remove the tables settled since then, but for one: what they were for is done."""
+    """Remove the tables settled since then, but for one: what they were for is done. So are the shuffles that nothing refers to."""
     kept = getattr(keep, "_settled_path", None)
     for path in _written[since:]:
         if path != kept:
             _remove(spark, path)
-    _written[since:] = [kept] if kept else []
+    _written[since:] = [kept] if kept in _written[since:] else []
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # Spark removes the files of collected shuffles and broadcasts
 
 
 def placed(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:

@@ -32,8 +32,8 @@ CAP = 2
 WEIGHTS = (3, 1, 2)
 ROWS = 64
 SOURCES = 4096
-SHARD = 1 << 24
-LEVELS = 4  # at least
+SHARD = 1 << 23
+LEVELS = 1  # at least
 RANGE = 4096
 SEED = 20
 
