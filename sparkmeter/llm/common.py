@@ -74,18 +74,17 @@ def settle(df: DataFrame, codec: str = "none") -> DataFrame:
     return out
 
 
-def settled() -> int:
-    """How many tables are settled by now, for discard()."""
-    return len(_written)
+def settled() -> list[str]:
+    """The tables settled by now."""
+    return list(_written)
 
 
-def discard(spark: SparkSession, since: int, keep: DataFrame) -> None:
-    """Remove the tables settled since then, but for one: what they were for is done. So are the shuffles that nothing refers to."""
-    kept = getattr(keep, "_settled_path", None)
-    for path in _written[since:]:
-        if path != kept:
+def discard(spark: SparkSession, paths: list[str], keep: DataFrame | None = None) -> None:
+    """Remove settled tables, but for one: what they were for is done. So are the shuffles that nothing refers to."""
+    for path in paths:
+        if path in _written and path != getattr(keep, "_settled_path", None):
             _remove(spark, path)
-    _written[since:] = [kept] if kept in _written[since:] else []
+            _written.remove(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # Spark removes the files of collected shuffles and broadcasts
 

@@ -59,7 +59,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("EPL-2.0", "SPDX-License-Identifier: EPL-2.0"),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License"),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
@@ -71,6 +72,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 )
 TERM = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 CUE = re.compile(r"licen[sc]e|licensed|copyright|spdx|permission|redistribut|public domain|free software|mozilla public|unencumbered", re.I)
+#: Licences that are another one and a clause of their own, which decides.
+EXTENDS = {"BSD-2-Clause": "BSD-3-Clause"}
 NAMES = r"(?i)^(un)?licen[sc]e([.\-_].*)?$|^copying([.\-_].*)?$|^copyright([.\-_].*)?$|^notice([.\-_].*)?$"
 
 
@@ -125,6 +128,9 @@ class Scanner:
         if not best:
             return None, 0.0
         score, _, name = min(best, key=lambda s: (-s[0], -s[1], s[2]))
+        more = [x for x in best if x[2] == EXTENDS.get(name)]
+        if more:
+            score, _, name = min(more, key=lambda s: (-s[0], -s[1]))
         return name, score
 
 

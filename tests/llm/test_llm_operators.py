@@ -219,6 +219,43 @@ def test_licenses(spark, docs, none):
     assert licenses.scanned(licenses.as_files(none)).count() == 0 and licenses.scanned(licenses.as_files(docs)).count() == len(ODD)
 
 
+def test_licenses_by_brute_force(spark):
+    """Each file's best unit of lines, from document frequencies counted again and cosines summed term by term."""
+    import math
+
+    notices = [t for _, t in licenses.TEMPLATES]
+    rng = np.random.default_rng(12)
+    rows = []
+    for n in range(60):
+        lines = [prose(int(rng.integers(1, 9)), 40_000 + 9 * n + k) for k in range(4)]
+        if n % 2:
+            words = notices[n % len(notices)].split()
+            words = [w for w in words if n % 3 or rng.random() < 0.8]
+            lines.insert(2, " ".join(words[: len(words) // 2]) + "\n" + " ".join(words[len(words) // 2 :]))
+        rows.append((n, f"f{n}", "\n".join(lines)))
+    split = [[licenses.terms(line) for line in t.split("\n")] for _, _, t in rows]
+    vocabulary = {t for text in notices for t in licenses.terms(text)}
+    files = Counter(t for lines in split for t in {t for line in lines for t in line} & vocabulary)
+    idf = lambda t: math.log((len(rows) + 1) / (files[t] + 1)) + 1
+
+    def cosine(a, b):
+        x, y = ({t: (1 + math.log(n)) * idf(t) for t, n in Counter(terms).items()} for terms in (a, b))
+        return sum(x[t] * y.get(t, 0) for t in x) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+
+    got = {r.doc_id: r for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    for (n, _, text), lines in zip(rows, split, strict=True):
+        raw, best = text.split("\n"), (0.0, "")
+        for a in range(len(raw)):
+            for b in range(a + 1, min(len(raw), a + licenses.LINES) + 1):
+                if any(licenses.CUE.search(line) for line in raw[a:b]):
+                    unit = [t for line in lines[a:b] for t in line]
+                    best = max(best, *((cosine(unit, licenses.terms(t)), name) for name, t in licenses.TEMPLATES)) if unit else best
+        if best[0] >= licenses.COSINE + 1e-6:
+            assert got[n].origin == "own" and abs(got[n].score - best[0]) < 1e-6, n
+        elif best[0] < licenses.COSINE - 1e-6:
+            assert got[n].license is None, n
+
+
 def test_headers_of_each_version():
     wrapped = {
         "GPL-2.0": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.",
@@ -232,6 +269,28 @@ def test_headers_of_each_version():
         assert scanner.scan("int x;\n\n * " + text.replace("\n", "\n * ") + "\n\nint main() {}")[0] == name, name
 
 
+def test_two_and_three_clauses():
+    two = """Copyright (c) 2020, Someone
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+    three = two + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+    end = "\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS\n"
+    scanner = licenses.Scanner(10, {})
+    assert scanner.scan(two + end)[0] == "BSD-2-Clause" and scanner.scan(three + end)[0] == "BSD-3-Clause"
+
+
 # 4 and 10 ----------------------------------------------------------------------------------------------------------
 
 
@@ -609,6 +668,41 @@ def test_quality(judged):
     assert quality.sampled(docs.limit(0), labels).count() == 0
 
 
+def test_quality_ratios_and_draw_by_brute_force(judged):
+    """Counts of all n-grams one by one, their smoothed ratios, and the k greatest keys of all."""
+    docs, labels = judged
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    judge = quality.Judge(docs, labels)
+    half = {r.label_id: (r.half, r.good) for r in judge.known.collect()}
+    raw, good = np.zeros(quality.BUCKETS), np.zeros((quality.FOLDS, quality.BUCKETS))
+    marks = quality.PUNCTUATION
+    for i, text in rows:
+        words = [*(text or "").encode().lower().split(), lm.END]
+        cores = [w.strip(marks) for w in words]
+        hashed = [zlib.crc32(c) % quality.WORDS if c else 0 for c in cores]
+        for k, (w, c) in enumerate(zip(words, cores, strict=True)):
+            before = hashed[k - 1] if k else 1
+            pair = 0 if before == hashed[k] > 0 else (before * 40503 + hashed[k] * 2654435761) % quality.PAIRS
+            for bucket in (hashed[k], quality.WORDS + zlib.crc32(w.replace(c, b"\0", 1) if c else w) % quality.MARKS, quality.WORDS + quality.MARKS + pair):
+                raw[bucket] += 1
+                if half.get(i, (0, False))[1]:
+                    good[half[i][0], bucket] += 1
+    kinds = (slice(0, quality.WORDS), slice(quality.WORDS, quality.WORDS + quality.MARKS), slice(quality.WORDS + quality.MARKS, quality.BUCKETS))
+    for fold in range(quality.FOLDS):
+        for part in kinds:
+            due = raw[part] / raw[part].sum() * good[fold][part].sum()
+            assert np.allclose(judge.ratios[fold][part], np.log((good[fold][part] + quality.SMOOTH) / (due + quality.SMOOTH)))
+    weighed, weight, key = judge.weights(docs.select("doc_id", "text"))
+    every = [(r.doc_id, r[weight], r[key]) for r in weighed.collect()]
+    for i, w, g in every:
+        chance = (zlib.crc32(b"gumbel %d" % (-1 if i is None else i)) + 0.5) / (1 << 32)
+        assert np.isclose(g, w / quality.TEMPERATURE - np.log(-np.log(chance)))
+    k = sum(w >= judge.cut for _, w, _ in every)
+    last = sorted((g for _, _, g in every), reverse=True)[k - 1]
+    got = sorted(r.gumbel_key for r in quality.sampled(docs, labels).collect())
+    assert np.allclose(got, sorted(g for _, _, g in every if g >= last))
+
+
 def test_toxic_documents_go(spark):
     rude = [f"grunk{c}" for c in "abcdefghij"]
     said = lambda n: " ".join(rude[(n * 3 + k) % 10] for k in range(3))
