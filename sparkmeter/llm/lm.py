@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 
 from .common import settle, tidied, tidy
 
-SHORTLIST = 512
-CLASSES = 255
+SHORTLIST = 448
+CLASSES = 191
 SYMBOLS = SHORTLIST + CLASSES
 BEGIN = SYMBOLS  # what stands before a text's first token
 CONTEXT = 2
@@ -48,7 +48,7 @@ NOISE = 10
 PAIR_STEPS = 220
 STEPS = 60
 BATCH = 4096
-SHARED = 96  # noise symbols a batch
+SHARED = 64  # noise symbols a batch
 RATE = 0.03
 CHUNK = 6 << 20
 FOLDS = 10
@@ -111,15 +111,15 @@ class Texts:
         classes = np.fromiter(map(class_of, self.words), dtype=np.int32, count=len(self.words))
         return np.where(own, at, SHORTLIST + classes).astype(np.int32)
 
-    def contexts(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each token the symbols before it, nearest first, and its own."""
-        now = symbols[self.tokens].astype(np.int32)
-        place = np.arange(len(now)) - np.repeat(self.begins, self.lengths)
-        before = np.full((len(now), CONTEXT), BEGIN, dtype=np.int32)
-        for k in range(CONTEXT):
-            inside = np.flatnonzero(place > k)
-            before[inside, k] = now[inside - k - 1]
-        return before, now
+
+def contexts(now: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each token of texts of these lengths the symbols before it, nearest first."""
+    place = np.arange(len(now)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    before = np.full((len(now), CONTEXT), BEGIN, dtype=np.int32)
+    for k in range(CONTEXT):
+        inside = np.flatnonzero(place > k)
+        before[inside, k] = now[inside - k - 1]
+    return before
 
 
 @tidy
@@ -133,15 +133,29 @@ def _counts_out(table: pa.Table) -> pa.Table:
 
 
 @tidied
-def _neighbours(batches: Iterator[pa.RecordBatch], shortlist: bytes, ranges: int) -> Iterator[pa.RecordBatch]:
-    """How often each symbol follows each in the training texts of a task, in ranges of contexts."""
+def _symbols_out(batches: Iterator[pa.RecordBatch], shortlist: bytes) -> Iterator[pa.RecordBatch]:
+    """The training texts as symbols, a row for each slice: (symbols, lengths)."""
     own = np.frombuffer(shortlist, np.uint64)
-    counts = np.zeros((SYMBOLS + 1) * SYMBOLS, dtype=np.int64)
     for batch in batches:
         for texts, _ in Texts.slices(batch):
-            before, now = texts.contexts(texts.symbols(own))
-            pairs = (before[:, 0].astype(np.int64) * SYMBOLS + now)[np.repeat(~texts.out, texts.lengths)]
-            np.add(counts, np.bincount(pairs, minlength=len(counts)), out=counts)
+            now = texts.symbols(own).astype(np.int16)[texts.tokens[np.repeat(~texts.out, texts.lengths)]]
+            yield pa.RecordBatch.from_arrays([pa.array([now.tobytes()], pa.binary()), pa.array([texts.lengths[~texts.out].tobytes()], pa.binary())], names=["symbols", "lengths"])
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(contexts, symbols) of each slice."""
+    for batch in batches:
+        for symbols, lengths in zip(batch.column(0), batch.column(1), strict=True):
+            now = np.frombuffer(symbols.as_buffer(), np.int16).astype(np.int32)
+            yield contexts(now, np.frombuffer(lengths.as_buffer(), np.int64)), now
+
+
+@tidied
+def _neighbours(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
+    """How often each symbol follows each in the training texts of a task, in ranges of contexts."""
+    counts = np.zeros((SYMBOLS + 1) * SYMBOLS, dtype=np.int64)
+    for before, now in _read(batches):
+        np.add(counts, np.bincount(before[:, 0].astype(np.int64) * SYMBOLS + now, minlength=len(counts)), out=counts)
     parts = np.array_split(counts.reshape(SYMBOLS + 1, SYMBOLS), ranges)
     yield pa.RecordBatch.from_arrays([pa.array(range(ranges), pa.int32()), pa.array([p.astype(np.uint32 if p.max(initial=0) < 1 << 32 else np.uint64).tobytes() for p in parts], pa.binary())], names=["range", "counts"])
 
@@ -212,12 +226,15 @@ class Model:
         """One update: the tokens that followed against noise symbols that all of them share; steps shrink with what each row has moved."""
         made = self.predicted(before)
         share = np.log(len(noise) * unigram).astype(np.float32)
-        real = 1 / (1 + np.exp(-(np.einsum("ij,ij->i", made, self.q[now]) + self.b[now] - share[now])))
-        false = 1 / (1 + np.exp(-(made @ self.q[noise].T + self.b[noise] - share[noise])))
-        up = 1 - real
-        back = up[:, None] * self.q[now] - false @ self.q[noise]
-        gains = [_rows(before[:, k], back, SYMBOLS + 1) for k in range(CONTEXT)]
-        gain_q = _rows(now, up[:, None] * made, SYMBOLS)
+        of_now, of_noise = self.q[now], self.q[noise]
+        up = _sigmoid(share[now] - np.einsum("ij,ij->i", made, of_now) - self.b[now])
+        false = made @ of_noise.T
+        false += self.b[noise] - share[noise]
+        false = _sigmoid(false)
+        up_made, of_now = up[:, None] * made, of_now * up[:, None]
+        of_now -= false @ of_noise
+        gains = [_rows(before[:, k], of_now, SYMBOLS + 1) for k in range(CONTEXT)]
+        gain_q = _rows(now, up_made, SYMBOLS)
         np.add.at(gain_q, noise, -(false.T @ made))
         gain_b = np.bincount(now, weights=up, minlength=SYMBOLS)
         np.add.at(gain_b, noise, -false.sum(axis=0))
@@ -227,19 +244,27 @@ class Model:
             target += RATE * gain / np.sqrt(square + 1e-12)
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
 def _rows(keys: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Sums of the rows of each key."""
-    order = np.argsort(keys, kind="stable")
-    held, first = np.unique(keys[order], return_index=True)
+    order = np.argsort(keys.astype(np.int16), kind="stable")  # by radix
+    held = keys[order]
+    first = np.flatnonzero(np.append(True, held[1:] != held[:-1]))
     out = np.zeros((n, values.shape[1]), dtype=np.float32)
-    out[held] = np.add.reduceat(values[order], first, axis=0)
+    out[held[first]] = np.add.reduceat(values[order], first, axis=0)
     return out
 
 
 @tidied
-def _trained(batches: Iterator[pa.RecordBatch], shortlist: bytes, begun: np.ndarray, unigram: np.ndarray, ranges: int) -> Iterator[pa.RecordBatch]:
+def _trained(batches: Iterator[pa.RecordBatch], begun: np.ndarray, unigram: np.ndarray, ranges: int) -> Iterator[pa.RecordBatch]:
     """A task's model after its training texts, times their tokens, in ranges; and the tokens."""
-    own, model, seen, done = np.frombuffer(shortlist, np.uint64), Model.of(begun.copy()), 0, 0
+    model, seen, done = Model.of(begun.copy()), 0, 0
     rng = np.random.default_rng(5)
     squares = [np.full_like(p, 1e-6) for p in (*model.r, model.q, model.b)]
     ends = np.cumsum(unigram)
@@ -253,13 +278,9 @@ def _trained(batches: Iterator[pa.RecordBatch], shortlist: bytes, begun: np.ndar
         return -(-len(now) // BATCH)
 
     held = None
-    for batch in batches:
-        for texts, _ in Texts.slices(batch):
-            before, now = texts.contexts(texts.symbols(own))
-            train = np.repeat(~texts.out, texts.lengths)
-            held = before[train], now[train]
-            seen += len(held[1])
-            done += update(*held)
+    for held in _read(batches):
+        seen += len(held[1])
+        done += update(*held)
     while held is not None and len(held[1]) and done < STEPS:  # a task of few texts
         done += update(*held)
     if seen:
@@ -319,7 +340,8 @@ def _scores(table: pa.Table, said: pa.Table, model: dict) -> pa.Table:
     known = counts > 0
     unseen = np.log10(model["unseen"])
     seen = np.log10(max(1 - model["unseen"], 1e-300))
-    logs = _symbol_logs(model["model"], *texts.contexts(symbols))
+    now = symbols[texts.tokens]
+    logs = _symbol_logs(model["model"], contexts(now, texts.lengths), now)
     token = np.where(known[texts.tokens], logs + in_class[texts.tokens] + seen, unseen)
     add = lambda x: np.add.reduceat(x, texts.begins) if len(texts.begins) else np.empty(0)
     return pa.table({
@@ -353,14 +375,15 @@ def scored(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     for r in top:
         weights[r["kind"]] -= r["total"] + 0.1
     ranges = 16
-    near = rows.mapInArrow(lambda b: _neighbours(b, shortlist.tobytes(), ranges), "range int, counts binary")
+    coded = settle(rows.mapInArrow(lambda b: _symbols_out(b, shortlist.tobytes()), "symbols binary, lengths binary"))
+    near = coded.mapInArrow(lambda b: _neighbours(b, ranges), "range int, counts binary")
     near = near.repartition("range").mapInArrow(lambda b: _added(b, ranges), "range int, counts binary").collect()
     cells = [np.frombuffer(r["counts"], np.int64) for r in sorted(near, key=lambda r: r["range"])]
     counts = np.concatenate(cells).reshape(SYMBOLS + 1, SYMBOLS).astype(np.float64) if cells else np.zeros((SYMBOLS + 1, SYMBOLS))
     begun = Model.begun(*train(counts)).flat()
     unigram = (counts.sum(axis=0) + 0.1) / (counts.sum() + 0.1 * SYMBOLS)
-    start = spark.sparkContext.broadcast((shortlist.tobytes(), begun, unigram))
-    made = rows.mapInArrow(lambda b: _trained(b, *start.value, ranges), "range int, sums binary, tokens long")
+    start = spark.sparkContext.broadcast((begun, unigram))
+    made = coded.mapInArrow(lambda b: _trained(b, *start.value, ranges), "range int, sums binary, tokens long")
     mean = made.repartition("range").mapInArrow(_averaged, "range int, mean binary").collect()
     flat = np.concatenate([np.frombuffer(r["mean"], np.float64) for r in sorted(mean, key=lambda r: r["range"])]) if mean else begun
     model = {"model": Model.of(flat.astype(np.float32)), "shortlist": shortlist, "weights": weights, "n": n, "v": v, "unseen": (once + 0.1) / (n + 0.1)}
