@@ -50,7 +50,7 @@ STEPS = 60
 BATCH = 4096
 SHARED = 64  # noise symbols a batch
 RATE = 0.03
-CHUNK = 6 << 20
+CHUNK = 12 << 20
 FOLDS = 10
 END = b" end"  # no word has a space in it
 
