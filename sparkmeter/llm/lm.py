@@ -28,6 +28,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -59,8 +60,10 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(str("null" if doc_id is None else doc_id).encode()) % FOLDS == 0
 
 
-def class_of(word: bytes) -> int:
-    return zlib.crc32(word[-3:]) % CLASSES
+def classes_of(words: list[bytes]) -> np.ndarray:
+    """The class of each word, by its last bytes."""
+    crc = zlib.crc32
+    return np.array([crc(w[-3:]) for w in words], dtype=np.int64) % CLASSES
 
 
 class Texts:
@@ -83,7 +86,7 @@ class Texts:
         self.words = list(number)
         self.begins = np.append(0, np.cumsum(self.lengths)[:-1]) if rows else np.empty(0, np.int64)
         self.out = np.array([held_out(i) for i in ids], dtype=bool)
-        self.hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in self.words), dtype=np.uint64, count=len(self.words))
+        self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.words, repeat(42)), dtype=np.uint64, count=len(self.words))
 
     @classmethod
     def of(cls, table: pa.Table | pa.RecordBatch) -> Texts:
@@ -108,7 +111,7 @@ class Texts:
         own = np.zeros(len(self.hashes), dtype=bool)
         if len(shortlist):
             own = shortlist[np.minimum(at, len(shortlist) - 1)] == self.hashes
-        classes = np.fromiter(map(class_of, self.words), dtype=np.int32, count=len(self.words))
+        classes = classes_of(self.words)
         return np.where(own, at, SHORTLIST + classes).astype(np.int32)
 
 
@@ -127,7 +130,7 @@ def _counts_out(table: pa.Table) -> pa.Table:
     texts = Texts.of(table)
     train = np.repeat(~texts.out, texts.lengths)
     counts = np.bincount(texts.tokens[train], minlength=len(texts.words)).astype(np.int64)
-    classes = np.fromiter(map(class_of, texts.words), dtype=np.int16, count=len(texts.words))
+    classes = classes_of(texts.words).astype(np.int16)
     number = table.column("chunk")[0].as_py()
     return pa.table({"chunk": pa.array(np.full(len(counts), number, np.int32)), "h": pa.array(texts.hashes.view(np.int64)), "n": pa.array(counts), "kind": pa.array(classes)})
 
