@@ -233,8 +233,8 @@ def taken(sized: DataFrame, seed: int = SEED, levels: int | None = None, **how:
 
 
 def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, draws) for each row of docs; draws: where in which shards it stands, null if nowhere."""
-    return taken(sizes(docs), seed).select("doc_id", "size", "source_size", "target", "taken", "draws")
+    """(doc_id, size, source_size, target, taken, draws) for each row of docs; draws: where in which shards it stands, as JSON, null if nowhere."""
+    return taken(sizes(docs), seed).select("doc_id", "size", "source_size", "target", "taken", F.to_json("draws").alias("draws"))
 
 
 def repeated(docs: DataFrame, seed: int = SEED) -> DataFrame:

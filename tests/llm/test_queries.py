@@ -14,7 +14,7 @@ COLUMNS = {
     "op3_license_scan": ("documents", {"doc_id", "path", "license", "score", "origin", "from_path"}),
     "op5_lm_scoring": ("documents", {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"}),
     "op6_html_extraction": ("pages", {"page_id", "url", "text", "n_chars"}),
-    "op9_mixing": ("documents", {"doc_id", "size", "source_size", "target", "taken"}),
+    "op9_mixing": ("documents", {"doc_id", "size", "source_size", "target", "taken", "draws"}),
     "op10_embedding_near_dedup": ("embeddings", {"vec_id", "n_links", "component_id", "kept"}),
 }
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
