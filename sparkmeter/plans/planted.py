@@ -120,6 +120,10 @@ def planted_file_secrets(spark, d):
 # Scanning rules -------------------------------------------------------------------------------------------------------
 
 
+#: Rows a task, of tables whose rows become texts of some KB.
+ROWS = 4096
+
+
 def found(spark: SparkSession, texts: DataFrame, rule: str) -> DataFrame:
     return A.scanning_rules(texts.select(F.col("c_custkey").alias("doc_id"), "text")).where(F.col("rule") == rule)
 
@@ -141,7 +145,8 @@ _OTHER = "trim(repeat('Something else entirely, ' || c_name || '; ', 12))"
 )
 def planted_paragraph_copies(spark, d):
     """A paragraph, another one, and the first once or twice again."""
-    c = table(spark, d, "customer")
+    c = table(spark, d, "customer").select("c_custkey", "c_name")
+    c = c.repartition(1 + c.count() // ROWS, "c_custkey")  # a few MB of keys become a hundred times as much text
     p, o, gap = F.expr(_PARAGRAPH), F.expr(_OTHER), F.lit("\n\n")
     return found(spark, c.withColumn("text", F.concat(p, gap, o, gap, p, F.when(F.pmod("c_custkey", F.lit(2)) == 1, F.concat(gap, p)).otherwise(""))), "near-duplicate-paragraphs")
 

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -242,3 +243,23 @@ def test_stream_equals_batch(spark, tmp_path):
     once, mark = str(tmp_path / "once"), str(tmp_path / "mark2")
     S.run(S.once(S.source(spark, str(folder)), "10 days"), once, mark).awaitTermination()
     assert spark.read.parquet(once).count() == 30
+
+
+def test_minhash_mixes_all_seeds_together(monkeypatch):
+    """One call a block of strings, not one a seed; the values are those of each seed alone."""
+    raw = "".join(f"Line {i} é. " for i in range(900)).encode()
+    calls, mix = [], A._mix
+    monkeypatch.setattr(A, "_mix", lambda x: calls.append(1) or mix(x))
+    got = A.minhash(raw)
+    assert len(calls) < len(A.SEEDS)
+    grams = {raw[i : i + 5] for i in range(len(raw) - 4)}
+    assert len(grams) > A.BLOCK
+
+    def fnv(gram):
+        h = 0xCBF29CE484222325
+        for byte in gram:
+            h = (h ^ byte) * 0x100000001B3 % (1 << 64)
+        return h
+
+    h = np.array([fnv(g) for g in grams], dtype=np.uint64)
+    assert got.tolist() == [int(mix(h ^ s).min()) for s in A.SEEDS]
