@@ -11,7 +11,8 @@ representatives() also joins documents whose sets of WIDE-word shingles have a J
 most near copies with changed words are, though their fingerprints differ by more bits than segments can be cut for.
 Candidates share one of BANDS keys of ROWS min-hashes (a pair at SIMILAR does in all but 4 of 10,000 cases) and are
 verified by their exact sets: first each with the least document of its key, then all pairs of the keys whose documents
-that leaves apart. Only there, PART documents of one key are compared in a task with each other and with its least one.
+that leaves apart. Only there, a key of more than PART documents is cut into parts, and each two parts are compared in a
+task, so that any two of its documents meet.
 
 Defined cases: null or blank text has fingerprint zero and links like any other; equal fingerprints are one node,
 however many documents share them; a null doc_id keeps its row and takes the smallest id of its component (null if
@@ -289,7 +290,8 @@ def similar(docs: DataFrame) -> DataFrame:
     placed = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     parts = F.ceil(F.col("m") / F.lit(PART)).cast("int")
-    some = F.when(F.col("node") == F.col("lead"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), parts).cast("int")))
+    own_part = F.pmod(F.xxhash64("node"), parts).cast("int")
+    some = F.transform(F.sequence(F.lit(0), parts - 1), lambda q: F.least(own_part, q) * parts.cast("long") + F.greatest(own_part, q))
     rest = placed.join(split, "key").select("key", F.explode(some).alias("part"), "node", "root").join(sets, "node").select("key", "part", "node", "root", "grams")
     more = rest.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_apart, "a long, b long")
     return same.unionByName(first).unionByName(more)

@@ -136,6 +136,27 @@ def test_near_copies_go(spark, monkeypatch, part):
     assert {r.doc_id for r in simhash.representatives(df).collect()} <= set(root)
 
 
+@pytest.mark.parametrize("part", [2])
+def test_any_two_documents_of_a_key_meet(spark, monkeypatch, part):
+    """Whatever the size of the parts, the components are those of all pairs."""
+    monkeypatch.setattr(simhash, "PART", part)
+    rows, rng = [], np.random.default_rng(8)
+    for n in range(60):
+        words = prose(200, 20_000 + n // 20).split()
+        for at in rng.integers(0, 200, n % 6).tolist():
+            words[at] = f"new{n}"
+        rows.append((n, " ".join(words)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    root = list(range(60))
+    for a in range(60):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    got = {r.node: r.root for r in components(simhash.similar(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert [got.get(n, n) for n in range(60)] == root
+
+
 # 2 -----------------------------------------------------------------------------------------------------------------
 
 
