@@ -17,9 +17,12 @@ a block in a marked article goes only if runs on at least PAGES pages and on MOS
 host of at least ENOUGH pages.
 
 Hosts of more than LOT tokens are dealt over lots by row, so a host with a third of all pages is many tasks; each lot
-orders its own suffixes. If some page of such a host marks no article, where three pages of all lots matter, each lot
-says on how many pages its runs are, and the sums over all lots come back to it. Else a lot, which holds hundreds of the
-host's pages at random, judges by its own pages what is on most of them.
+orders its own suffixes. What goes does not depend on lots: each page is judged by the pages of all lots its runs are on.
+If some page of such a host marks no article, where three pages of all lots matter, each lot says on how many pages its
+runs are, and the sums over all lots come back to it. Else only runs on MOST of the host's pages matter, and there are few:
+each lot says which runs are on SOME of its pages or more, and on how many. What a lot does not say is on fewer there, so the
+sums bound from both sides on how many pages of the host a run is; where that leaves it open whether those are enough, every
+lot counts the run. A run on MOST of all pages is on SOME of some lot's, so none is missed.
 
 Defined cases: null html is empty and gives empty text; a null or unparsable url is a host of its own kind; repeated
 rows and ids are pages of their own; an empty table gives no rows; other columns of the input play no part.
@@ -46,6 +49,7 @@ RUN = 8
 PAGES = 3
 SHARE = 0.3
 MOST = 0.5
+SOME = 0.25
 ENOUGH = 8
 DEPTH = 32
 LOT = 400_000
@@ -386,20 +390,55 @@ def _tell(table: pa.Table, side: pa.Table, run: int) -> pa.Table:
     return pa.table({"host": pa.array([host] * len(values), pa.string()), "lot": pa.array(np.full(len(values), lot, np.int32)), "value": pa.array(values.view(np.int64)), "n": pa.array(times)})
 
 
+@tidy
+def _common(table: pa.Table, side: pa.Table, run: int) -> pa.Table:
+    """Runs on at least SOME of a lot's pages with the pages they are on, and the lot's pages; nothing for a host that is one lot, tells all its runs or has too few pages."""
+    lots, open_, total = (table.column(c)[0].as_py() if len(table) else 0 for c in ("lots", "open", "contents"))
+    if lots <= 1 or open_ or total < ENOUGH:
+        return _COMMON.empty_table()
+    pages, _, which, rows = _opened(table)
+    stream = Stream(pages)
+    counts = _counting(which, rows, side.column("value").to_numpy(), len(pages))
+    keys = stream.classes(run)
+    values, times = _distinct(keys, stream.page_of, counts)
+    often = (times > 0) & (times >= SOME * counts.sum())
+    starts = np.flatnonzero(often[np.searchsorted(values, keys)]) if often.any() else np.empty(0, np.int64)
+    h = stream.run_hashes(run)[starts] if len(starts) else np.empty(0, np.uint64)
+    starts, h = starts[h > 0], h[h > 0]
+    h, first = np.unique(h, return_index=True)
+    n = times[np.searchsorted(values, keys[starts[first]])]
+    host = table.column("host")[0].as_py()
+    return pa.table({"host": pa.array([host] * len(h), pa.string()), "value": pa.array(h.view(np.int64)), "n": pa.array(n), "pages": pa.array(np.full(len(h), counts.sum(), np.int64))})
+
+
+@tidy
+def _counted(table: pa.Table, side: pa.Table, run: int) -> pa.Table:
+    """On how many pages of a lot runs are. side: (kind, value, n): the rows that count (0), what is known already (1), what is to be counted (2)."""
+    kind, value, n = (side.column(c).to_numpy() for c in ("kind", "value", "n"))
+    values, times = value[kind == 1], n[kind == 1]
+    if len(table) and (kind == 2).any():
+        pages, _, which, rows = _opened(table)
+        stream = Stream(pages)
+        h = stream.run_hashes(run)
+        asked = np.isin(h, value[kind == 2].view(np.uint64))
+        own, on = _distinct(h[asked], stream.page_of[asked], _counting(which, rows, value[kind == 0], len(pages)))
+        values, times = np.append(values, own.view(np.int64)), np.append(times, on)
+    host = side.column("host")[0].as_py() if len(side) else ""
+    return pa.table({"host": pa.array([host] * len(values), pa.string()), "value": pa.array(values), "n": pa.array(times)})
+
+
 @tidy
 def _main_text(table: pa.Table, side: pa.Table, run: int, least: int, share: float) -> pa.Table:
     """The pages of a lot with their texts. side: (kind, value, n): the rows that count (0) and, for a host of several lots, what they told (1)."""
     pages, marked, which, rows = _opened(table)
     kind, value, n = (side.column(c).to_numpy() for c in ("kind", "value", "n"))
-    lots, total, open_ = (int(table.column(c)[0].as_py()) if len(table) else 0 for c in ("lots", "contents", "open"))
+    lots, total = (table.column(c)[0].as_py() if len(table) else 0 for c in ("lots", "contents"))
     counts, told = _counting(which, rows, value[kind == 0], len(pages)), None
-    if lots > 1 and not open_:
-        total = int(counts.sum())
-    elif lots > 1:
+    if lots > 1:
         h, times = value[kind == 1].view(np.uint64), n[kind == 1]
         order = np.argsort(h)
         told = h[order], times[order]
-    if total >= least:
+    if total >= least and (told is None or len(told[0])):
         gone = repeated(pages, marked, counts, total, run, least, share, told)
         pages = [[line for line, g in zip(lines, out, strict=True) if not g] for lines, out in zip(pages, gone, strict=True)]
     texts = pa.array(["\n".join(lines) for lines in pages], pa.string())
@@ -417,13 +456,25 @@ def extracted(pages: DataFrame, run: int = RUN, least: int = PAGES, share: float
     dealt = lambda df, row: df.join(hosts, "host").withColumn("lot", F.pmod(F.xxhash64(row, F.lit(5)), F.col("lots")).cast("int"))
     tasks = 1 + int((leads.agg(F.sum("tokens")).first()[0] or 0) // lot)
     placed = dealt(parsed, "row").repartition(tasks, "host", "lot").groupBy("host", "lot")
-    side = dealt(leads.drop("open"), "value").select("host", "lot", F.lit(0).alias("kind"), "value", F.lit(0).cast("long").alias("n"))
+    counting = dealt(leads.drop("open"), "value").select("host", "lot", F.lit(0).alias("kind"), "value", F.lit(0).cast("long").alias("n"))
+    met = lambda side, work, columns: placed.cogroup(side.repartition(tasks, "host", "lot").groupBy("host", "lot")).applyInArrow(work, columns)
+    side, each = counting, F.sequence(F.lit(0), F.col("lots") - 1)
     if hosts.where("lots > 1 and open").limit(1).count():
-        told = placed.cogroup(side.repartition(tasks, "host", "lot").groupBy("host", "lot")).applyInArrow(lambda t, s: _tell(t, s, run), "host string, lot int, value long, n long")
+        told = met(counting, lambda t, s: _tell(t, s, run), "host string, lot int, value long, n long")
         every = told.withColumn("n", F.sum("n").over(Window.partitionBy("host", "value"))).where(F.col("n") >= least)
         side = side.unionByName(every.select("host", "lot", F.lit(1).alias("kind"), "value", "n"))
-    out = placed.cogroup(side.repartition(tasks, "host", "lot").groupBy("host", "lot")).applyInArrow(lambda t, s: _main_text(t, s, run, least, share), "page_id long, url string, text string")
+    if hosts.where(f"lots > 1 and not open and contents >= {ENOUGH}").limit(1).count():
+        said = met(counting, lambda t, s: _common(t, s, run), "host string, value long, n long, pages long")
+        summed = said.groupBy("host", "value").agg(F.sum("n").alias("n"), F.sum("pages").alias("pages")).join(hosts, "host")
+        most = F.greatest(F.lit(least), MOST * F.col("contents"))
+        known, may = F.col("n") >= most, F.col("n") + SOME * (F.col("contents") - F.col("pages")) >= most
+        asked = summed.where(known | may).select("host", F.explode(F.when(known, F.array(F.lit(0))).otherwise(each)).alias("lot"), F.when(known, 1).otherwise(2).alias("kind"), "value", "n")
+        sums = met(counting.unionByName(asked), lambda t, s: _counted(t, s, run), "host string, value long, n long").groupBy("host", "value").agg(F.sum("n").alias("n"))
+        common = sums.join(hosts, "host").where(F.col("n") >= most)
+        side = side.unionByName(common.select("host", F.explode(each).alias("lot"), F.lit(1).alias("kind"), "value", "n"))
+    out = met(side, lambda t, s: _main_text(t, s, run, least, share), "page_id long, url string, text string")
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 _TOLD = pa.schema([("host", pa.string()), ("lot", pa.int32()), ("value", pa.int64()), ("n", pa.int64())])
+_COMMON = pa.schema([("host", pa.string()), ("value", pa.int64()), ("n", pa.int64()), ("pages", pa.int64())])

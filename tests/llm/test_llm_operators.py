@@ -586,6 +586,26 @@ def test_articles_of_a_host_in_several_lots(spark):
         assert all(got[n] == "\n".join([prose(12, 900 + n), *([shared] if n % 4 == 0 else [])]) for n in range(120))
 
 
+def test_what_goes_does_not_depend_on_lots(spark):
+    """Marked articles with passages on 20 to 80 % of a host's pages, on exactly half and just below: many lots, one lot and brute force agree."""
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for host, count in (("a", 48), ("b", 31), ("c", 7)):
+        on = [set(rng.permutation(count)[: max(1, int(share * count))].tolist()) for share in (0.2, 0.3, 0.4, 0.45, 0.5, 0.5, 0.55, 0.6, 0.8)] + [set(range(count // 2 - 1)), set(range(count // 2))]
+        seen = []
+        for n in range(count):
+            lines = [prose(10 + n % 9, own := 10_000 + 100 * ord(host) + n), *(prose(9 + 2 * k, 700 + k) for k in range(len(on)) if n in on[k]), prose(3, own + 5000)]
+            seen.append((True, lines))
+            rows += [(len(rows), f"http://{host}.example/{n}", "<article>" + "".join(f"<p>{line}</p>" for line in lines) + "</article>")] * (1 + n % 3)
+        for n, lines in enumerate(slow_repeats(seen, pages.RUN, pages.PAGES, pages.SHARE)):
+            want[host, n] = lines
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for lot in (400_000, 2000, 500, 100):
+        got = pages.extracted(df, lot=lot).collect()
+        assert len(got) == len(rows)
+        assert all(r.text == "\n".join(want[r.url[7], int(r.url.rsplit("/", 1)[1])]) for r in got), lot
+
+
 def test_quotes_inside_unquoted_values():
     assert [t for _, t in pages.blocks("<p title=don't>hello</p><p>it's fine</p><p class=a'b\"c id='x'>next</p>")] == ["hello", "it's fine", "next"]
     assert [t for _, t in pages.blocks("<p a = 'x > y' b=\"<i>\" c>one</p><br/><img src=a/b.png>two <x y=1")] == ["one", "two <x y=1"]
