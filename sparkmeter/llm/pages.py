@@ -20,9 +20,9 @@ Hosts of more than LOT tokens are dealt over lots by row, so a host with a third
 orders its own suffixes. What goes does not depend on lots: each page is judged by the pages of all lots its runs are on.
 If some page of such a host marks no article, where three pages of all lots matter, each lot says on how many pages its
 runs are, and the sums over all lots come back to it. Else only runs on MOST of the host's pages matter, and there are few:
-each lot says which runs are on SOME of its pages or more, and on how many. What a lot does not say is on fewer there, so the
-sums bound from both sides on how many pages of the host a run is; where that leaves it open whether those are enough, every
-lot counts the run. A run on MOST of all pages is on SOME of some lot's, so none is missed.
+each lot says which runs are on more than one in SOME of its pages, and on how many. What a lot does not say is on no more
+there, so the sums bound from both sides on how many pages of the host a run is; where that leaves it open whether those are
+enough, every lot counts the run. A run on MOST of all pages is on as many of some lot's, so none is missed.
 
 Defined cases: null html is empty and gives empty text; a null or unparsable url is a host of its own kind; repeated
 rows and ids are pages of their own; an empty table gives no rows; other columns of the input play no part.
@@ -49,7 +49,7 @@ RUN = 8
 PAGES = 3
 SHARE = 0.3
 MOST = 0.5
-SOME = 0.25
+SOME = 3
 ENOUGH = 8
 DEPTH = 32
 LOT = 400_000
@@ -392,7 +392,7 @@ def _tell(table: pa.Table, side: pa.Table, run: int) -> pa.Table:
 
 @tidy
 def _common(table: pa.Table, side: pa.Table, run: int) -> pa.Table:
-    """Runs on at least SOME of a lot's pages with the pages they are on, and the lot's pages; nothing for a host that is one lot, tells all its runs or has too few pages."""
+    """Runs on more than one in SOME of a lot's pages with the pages they are on, and the lot's pages; nothing for a host that is one lot, tells all its runs or has too few pages."""
     lots, open_, total = (table.column(c)[0].as_py() if len(table) else 0 for c in ("lots", "open", "contents"))
     if lots <= 1 or open_ or total < ENOUGH:
         return _COMMON.empty_table()
@@ -401,7 +401,7 @@ def _common(table: pa.Table, side: pa.Table, run: int) -> pa.Table:
     counts = _counting(which, rows, side.column("value").to_numpy(), len(pages))
     keys = stream.classes(run)
     values, times = _distinct(keys, stream.page_of, counts)
-    often = (times > 0) & (times >= SOME * counts.sum())
+    often = SOME * times > counts.sum()
     starts = np.flatnonzero(often[np.searchsorted(values, keys)]) if often.any() else np.empty(0, np.int64)
     h = stream.run_hashes(run)[starts] if len(starts) else np.empty(0, np.uint64)
     starts, h = starts[h > 0], h[h > 0]
@@ -467,7 +467,7 @@ def extracted(pages: DataFrame, run: int = RUN, least: int = PAGES, share: float
         said = met(counting, lambda t, s: _common(t, s, run), "host string, value long, n long, pages long")
         summed = said.groupBy("host", "value").agg(F.sum("n").alias("n"), F.sum("pages").alias("pages")).join(hosts, "host")
         most = F.greatest(F.lit(least), MOST * F.col("contents"))
-        known, may = F.col("n") >= most, F.col("n") + SOME * (F.col("contents") - F.col("pages")) >= most
+        known, may = F.col("n") >= most, SOME * F.col("n") + F.col("contents") - F.col("pages") >= SOME * most
         asked = summed.where(known | may).select("host", F.explode(F.when(known, F.array(F.lit(0))).otherwise(each)).alias("lot"), F.when(known, 1).otherwise(2).alias("kind"), "value", "n")
         sums = met(counting.unionByName(asked), lambda t, s: _counted(t, s, run), "host string, value long, n long").groupBy("host", "value").agg(F.sum("n").alias("n"))
         common = sums.join(hosts, "host").where(F.col("n") >= most)
